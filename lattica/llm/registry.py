@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, exact_dedup, line_dedup, mixing
+from lattica.llm import decontaminate, exact_dedup, langid, line_dedup, minhash, mixing, quality
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_langid": langid.op3_langid,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op9_minhash": minhash.op9_minhash,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
