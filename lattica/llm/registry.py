@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, exact_dedup, langid, line_dedup, minhash, mixing, quality
+from lattica.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, minhash, mixing, quality
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_langid": langid.op3_langid,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_html": html_extract.op8_html,
     "op9_minhash": minhash.op9_minhash,
     "op10_mixing": mixing.op10_mixing,
 }
