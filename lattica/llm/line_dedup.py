@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.session import table
+from lattica.session import ensure_checkpoint_dir, table
 
 WS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,6 +43,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
     """
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be 'none' or 'first', not {keep!r}")
+    ensure_checkpoint_dir(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     occurrences = (
         docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(_lines(ascii_lower(F.col("text")))).alias("p", "line"))
@@ -58,6 +59,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.min(F.struct("d", "t", "p")).alias("first"))
         .where(F.col("n_docs") >= min_docs)
+        .checkpoint()  # a join with it can then be split where one key has very many lines
     )
     going = ranged.select("h1", "h2", "d", "t", "p")
     if keep == "none":
