@@ -109,15 +109,8 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids as strings, sorted) and spans (code points of the original) of every row.
-
-    The items are read to the driver in pages of max_item_bytes; beyond one page the text is still scanned once,
-    each page's automaton in turn.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    limits(spark)
+def _pages(benchmark: DataFrame, max_item_bytes: int) -> list[list[tuple]]:
+    """The items in pages of max_item_bytes of text, read one after the other."""
     blocks: list[list[tuple]] = [[]]
     size = 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("text is not null").toLocalIterator():
@@ -126,11 +119,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_
             size = 0
         blocks[-1].append((row["i"], row["text"]))
         size += len(row["text"])
+    return blocks
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids as strings, sorted) and spans (code points of the original) of every row."""
+    spark = docs.sparkSession
+    ship(spark)
+    limits(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = spark.sparkContext.broadcast(blocks)
+    sent = spark.sparkContext.broadcast(_pages(benchmark, max_item_bytes))
     return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, sent.value, window), f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
 
 
+def _clean(batches: Iterable[pa.RecordBatch], blocks: list[list[tuple]], k: int) -> Iterator[pa.RecordBatch]:
+    matchers = [Matcher(b, k) for b in blocks]
+    for batch in batches:
+        found = [any(m.scan(words)[1] for m in matchers) for words in map(words_of, batch.column("text").to_pylist())]
+        yield batch.filter(pa.array([not x for x in found], pa.bool_()))
+
+
+def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that hold no window of an item."""
+    spark = docs.sparkSession
+    ship(spark)
+    limits(spark)
+    sent = spark.sparkContext.broadcast(_pages(benchmark, max_item_bytes))
+    return docs.mapInArrow(lambda it: _clean(it, sent.value, window), docs.schema)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside occurrences of ten-word windows of the benchmark's items."""
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

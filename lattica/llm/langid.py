@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -207,6 +208,21 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
     return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(lambda it: _predict(it, sent), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def _known(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = next(_predict([pa.RecordBatch.from_arrays([batch.column("text"), pa.nulls(batch.num_rows), batch.column("text")], names=["doc_id", "held_out", "text"])], sent))
+        yield batch.filter(pc.not_equal(found.column("lang_pred"), "und"))
+
+
+def known_only(docs: DataFrame, parser: Parser) -> DataFrame:
+    """The rows of docs, all columns, whose language isn't ``und``."""
+    spark = docs.sparkSession
+    ship(spark)
+    limits(spark)
+    sent = spark.sparkContext.broadcast(parser)
+    return docs.mapInArrow(lambda it: _known(it, sent), docs.schema)
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from lang of documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")

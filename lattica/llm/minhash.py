@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.llm._text import U, limits, shingles, slices, splitmix, words
 from lattica.llm.components import components
@@ -226,6 +227,17 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLO
     return out.select(F.col("d").alias("doc_id"), class_id.alias("class_id"), (F.col("d").isNull() | (F.col("d") == class_id)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, with one document of each class: its least doc_id; of rows that repeat a doc_id, one.
+
+    Rows with a null doc_id stay.
+    """
+    kept = near_classes(docs.select("doc_id", "text"), threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return named.withColumn("__nth", nth).where("__nth = 1").drop("__nth").unionByName(docs.where("doc_id is null"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_classes(table(spark, sf_dir, "documents"))

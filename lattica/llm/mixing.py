@@ -147,6 +147,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     )
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.xxhash64("text").cast("string")))
+    keyed = docs.withColumn("__key", key).withColumn("__size", word_count(F.col("text")))
+    picks = mix(keyed.select(F.col("__key").alias("doc_id"), "text", "source"), **options).where("times > 0")
+    # Rows of one key (repeats) are matched by place in order of size.
+    lists = picks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("size", "times"))).alias("__picks")).withColumnRenamed("doc_id", "__id")
+    nth = F.row_number().over(Window.partitionBy("__key", "__size").orderBy(F.xxhash64("text")))
+    joined = keyed.withColumn("__nth", nth).join(lists, F.col("__key") == F.col("__id"))
+    own = F.expr("get(filter(__picks, x -> x.size = __size), __nth - 1).times")
+    times = F.coalesce(own, F.lit(0)).cast("int")
+    return joined.withColumn("__times", times).where("__times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed at weights 5, 2, 1, repeating, over the sources in order."""
     out = mix(table(spark, sf_dir, "documents"))
