@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lattica.catalogue import episodes, graphs, ingest, metrics, texts, vectors
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {}
+ORACLES = {}
+for _part in (graphs, vectors, texts, metrics, episodes, ingest):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
