@@ -1,2 +1,116 @@
-QUERIES = {}
-ORACLES = {}
+"""Ranked answers against golden sets: metrics, reports, rewards, policies."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lattica.catalogue.graphs import edges_of
+from lattica.catalogue.vectors import base, queries
+from lattica.functions import parsing
+from lattica.functions.ranking import RewardConfig, outcome, reward
+from lattica.operators import evaluation, vectors
+from lattica.plans.templates import TEMPLATES, golden, golden_sql
+from lattica.plans.triples import TRIPLE_CTE
+
+USED = ("chain_person_company_founder", "star_school_occupation", "intersection_founder_school_owner")
+JUNK = ("Q1", "Q2", "Q3")
+
+
+def questions(spark, sf_dir) -> DataFrame:
+    """id, source, answers, bridges of three templates' golden sets."""
+    parts = [golden(TEMPLATES[t], edges_of(spark, sf_dir)).select("id", F.lit(TEMPLATES[t].kind).alias("source"), "answers", "bridges", "difficulty") for t in USED]
+    return reduce(DataFrame.union, parts)
+
+
+def predictions(golden_sets: DataFrame) -> DataFrame:
+    """Golden ids and junk in the order of a hash, so that every question has hits and misses at known places."""
+    mixed = F.array_distinct(F.concat("answers", "bridges", F.array(*(F.lit(q) for q in JUNK))))
+    ordered = F.transform(F.array_sort(F.transform(mixed, lambda q: F.struct(F.sha2(F.concat(F.col("id"), F.lit("|"), q), 256).alias("h"), q.alias("q")))), lambda x: x["q"])
+    return golden_sets.select("id", ordered.alias("predicted"))
+
+
+def scored(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    return evaluation.score_questions(q, predictions(q))
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def per_question(spark, sf_dir):
+    return rounded(scored(spark, sf_dir), "ndcg", "recall", "f1")
+
+
+def report(spark, sf_dir):
+    return rounded(evaluation.report(scored(spark, sf_dir)), "mean_ndcg", "mean_recall", "mean_f1")
+
+
+def reward_breakdown(spark, sf_dir):
+    """Rewards with the ground truth given as JSON text and a length penalty."""
+    q = questions(spark, sf_dir)
+    truth = F.to_json(F.struct(F.col("answers").alias("answer_qids"), F.col("bridges").alias("bridge_qids")))
+    rows = q.join(predictions(q), "id").withColumn("truth", parsing.ground_truth(truth)).withColumn("tokens", 3000 + 100 * F.size("answers"))
+    empty = F.when(F.startswith("id", F.lit("kg-0")), F.array().cast("array<string>")).otherwise(F.col("predicted"))
+    r = reward(empty, F.col("truth.answer_qids"), F.col("truth.bridge_qids"), F.col("tokens"), RewardConfig(length_penalty=True))
+    out = rows.select("id", r.alias("r")).select("id", "r.*").withColumn("outcome", outcome(F.col("parsed"), F.col("n_entities")))
+    out = out.withColumns({c: F.col(c).cast("long") for c in ("junk_count", "n_entities")})
+    return rounded(out, "total", "task_score", "format_bonus", "dump_penalty", "length_penalty")
+
+
+def golden_pool(spark, sf_dir):
+    return evaluation.golden_pool(questions(spark, sf_dir))
+
+
+def random_policy(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    got = evaluation.random_policy(q, 5, seed=1, buckets=4)
+    return got.select("id", F.array_join("predicted", ",").alias("predicted"))
+
+
+def vector_policy(spark, sf_dir):
+    got = evaluation.vector_policy(vectors.top_k(queries(spark, sf_dir), base(spark, sf_dir), 5))
+    return got.select("id", F.array_join("predicted", ",").alias("predicted"))
+
+
+_G = "g AS (" + " UNION ALL ".join(f"SELECT id, '{TEMPLATES[t].kind}' AS source, answers, bridges, difficulty FROM ({golden_sql(TEMPLATES[t], TRIPLE_CTE)})" for t in USED) + ")"
+_SCORED = f"""
+{_G}, a AS (SELECT id, unnest(string_split(answers, ',')) AS q FROM g), b AS (SELECT id, unnest(string_split(bridges, ',')) AS q FROM g WHERE bridges <> ''),
+m AS (SELECT * FROM a UNION SELECT * FROM b UNION SELECT id, unnest(['Q1', 'Q2', 'Q3']) FROM g),
+p AS (SELECT id, q, row_number() OVER (PARTITION BY id ORDER BY sha256(id || '|' || q)) AS i FROM m),
+h AS (SELECT p.id, p.q, p.i, a.q IS NOT NULL AS ina, b.q IS NOT NULL AS inb FROM p LEFT JOIN a ON a.id = p.id AND a.q = p.q LEFT JOIN b ON b.id = p.id AND b.q = p.q),
+n AS (SELECT g.id, g.source, (SELECT count(*) FROM a WHERE a.id = g.id) AS na, (SELECT count(*) FROM b WHERE b.id = g.id) AS nb FROM g),
+ideal AS (SELECT n.id, sum(CASE WHEN j <= na THEN 2.0 ELSE 1.0 END / log2(j + 1.0)) AS best FROM n, range(1, 51) r(j) WHERE j <= na + nb GROUP BY n.id),
+s AS (SELECT n.id, n.source, n.na, count(*) AS n_predicted,
+  sum(CASE WHEN i > 50 THEN 0.0 WHEN ina THEN 2.0 WHEN inb THEN 1.0 ELSE 0.0 END / log2(i + 1.0)) / max(ideal.best) AS ndcg, count(*) FILTER (WHERE ina AND i <= 50) / n.na AS recall,
+  2.0 * count(*) FILTER (WHERE ina) / (count(*) + n.na) AS f1, count(*) FILTER (WHERE i <= 50 AND NOT ina AND NOT inb) AS junk, least(50, count(*)) AS n_entities, count(*) > 50 AS truncated
+  FROM n JOIN h ON h.id = n.id JOIN ideal ON ideal.id = n.id GROUP BY n.id, n.source, n.na)"""
+QUERIES = {
+    "ndcg_recall_f1_per_question": per_question,
+    "eval_report_by_source": report,
+    "reward_breakdown": reward_breakdown,
+    "golden_pool": golden_pool,
+    "random_policy": random_policy,
+    "vector_policy": vector_policy,
+}
+ORACLES = {
+    "ndcg_recall_f1_per_question": f"WITH {_SCORED} SELECT id, source, n_predicted, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM s",
+    "eval_report_by_source": f"WITH {_SCORED} SELECT coalesce(source, 'all') AS source, count(*) AS n, round(avg(ndcg), 6) AS mean_ndcg, round(avg(recall), 6) AS mean_recall, round(avg(f1), 6) AS mean_f1 FROM s GROUP BY GROUPING SETS ((), (source))",
+    "reward_breakdown": f"""
+WITH {_SCORED}, r AS (SELECT *, id NOT LIKE 'kg-0%' AS parsed, 0.2 * junk / 50.0 AS dump, 0.0001 * greatest(0, 3000 + 100 * na - 3072) AS len FROM s)
+SELECT id, round(CASE WHEN parsed THEN greatest(0.0, ndcg + 0.1 - dump - len) ELSE 0.0 END, 6) AS total, round(CASE WHEN parsed THEN ndcg ELSE 0.0 END, 6) AS task_score, CASE WHEN parsed THEN CAST(0.1 AS DOUBLE) ELSE 0.0 END AS format_bonus,
+round(CAST(CASE WHEN parsed THEN dump ELSE 0.0 END AS DOUBLE), 6) AS dump_penalty, CASE WHEN parsed THEN junk ELSE 0 END AS junk_count, round(CAST(CASE WHEN parsed THEN len ELSE 0.0 END AS DOUBLE), 6) AS length_penalty,
+parsed, CASE WHEN parsed THEN n_entities ELSE 0 END AS n_entities, parsed AND truncated AS truncated, CASE WHEN parsed THEN 'ok' ELSE 'unparsed' END AS outcome FROM r""",
+    "golden_pool": f"WITH {_G} SELECT DISTINCT unnest(string_split(answers || CASE WHEN bridges = '' THEN '' ELSE ',' || bridges END, ',')) AS qid FROM g",
+    "random_policy": f"""
+WITH {_G}, pool AS (SELECT DISTINCT unnest(string_split(answers || CASE WHEN bridges = '' THEN '' ELSE ',' || bridges END, ',')) AS qid FROM g),
+b AS (SELECT qid, CAST('0x' || left(sha256('1|' || qid), 6) AS INT) % 4 AS b, sha256('1|' || qid) AS h FROM pool), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY h) AS n FROM b),
+l AS (SELECT b, string_agg(qid, ',' ORDER BY n) AS predicted FROM r WHERE n <= 5 GROUP BY b)
+SELECT g.id, coalesce(l.predicted, '') AS predicted FROM g LEFT JOIN l ON l.b = CAST('0x' || left(sha256('1|' || g.id), 6) AS INT) % 4""",
+    "vector_policy": """
+WITH s AS (SELECT q.vec_id AS q, v.vec_id AS id, list_inner_product([CAST(x AS DOUBLE) FOR x IN q.embedding], [CAST(x AS DOUBLE) FOR x IN v.embedding]) / sqrt(list_inner_product([CAST(x AS DOUBLE) FOR x IN q.embedding], [CAST(x AS DOUBLE) FOR x IN q.embedding]) * list_inner_product([CAST(x AS DOUBLE) FOR x IN v.embedding], [CAST(x AS DOUBLE) FOR x IN v.embedding])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS k FROM s) SELECT q AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) AS predicted FROM r WHERE k <= 5 GROUP BY q""",
+}

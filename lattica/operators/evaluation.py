@@ -32,7 +32,7 @@ def golden_pool(golden: DataFrame) -> DataFrame:
 
 def random_policy(golden: DataFrame, n: int = 50, seed: int = 0, buckets: int = 64) -> DataFrame:
     """(id, predicted): n ids of the pool for each question, from the pool's bucket that the question hashes to."""
-    bucket = lambda c: F.pmod(F.crc32(F.concat(F.lit(str(seed)), c).cast("binary")), F.lit(buckets))
+    bucket = lambda c: F.conv(F.substring(seeded(seed, c), 1, 6), 16, 10).cast("int") % buckets
     pool = golden_pool(golden).withColumn("b", bucket(F.col("qid")))
     w = Window.partitionBy("b").orderBy(seeded(seed, F.col("qid")))
     pool = pool.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("n", "qid"))).alias("x"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.functions.ids import seeded, split_of
+from lattica.session import ensure_checkpoint_dir
 
 MAX_VAL = 512
 # The names of the retrieval tools.
@@ -50,7 +51,9 @@ def indexed(rows: DataFrame, *order) -> DataFrame:
     keys = [f"__o{i}" for i in range(len(order))]
     rows = rows.withColumns(dict(zip(keys, order)))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id())
+    ensure_checkpoint_dir(rows.sparkSession)
+    # Checkpointed, as ranges drawn a second time could differ from those that were counted.
+    ranged = rows.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("__part", before.alias("__before"))  # one row a partition
