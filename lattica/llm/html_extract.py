@@ -48,7 +48,7 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 _HINT = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|notices?|alerts?|menus?|nav|navbar|navigation|breadcrumbs?|sidebars?|footer|header|masthead|comments?|commentlist|disqus|repl(?:y|ies)|responses?|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|widgets?|toolbar|pagination|pager|skip-link)(?![a-z])"
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WS = re.compile(r"\s+")
 

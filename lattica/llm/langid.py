@@ -137,9 +137,9 @@ class Parser:
         padded = np.append(syms, np.zeros(PIECE, np.uint8))
         grid = np.ascontiguousarray(padded[begin[:, None] + np.arange(PIECE)].T).astype(np.int64) if total else np.zeros((PIECE, 0), np.int64)
         for i, t in enumerate(self.automata):
+            # State 0 has no transitions: a piece begins there, and goes there on a symbol that the sample lacks.
             flat, root = t.ravel(), t[1].astype(np.int64)
-            root[root == 0] = 1
-            state, count = np.ones(total, np.int64), np.ones(total)
+            state, count = np.zeros(total, np.int64), np.zeros(total)
             for k in range(PIECE):
                 m = live[k]
                 if not m:
