@@ -87,7 +87,7 @@ def title_ok(title: Column, qid: Column) -> Column:
 
 def mentioned(title: Column, text: Column, least: int = 4) -> Column:
     """The title occurs in the text as whole words, in any case; titles under ``least`` characters never do."""
-    quoted = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.replace(F.lower(title), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?!\\w)"))
+    quoted = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.lower(title), F.lit("\\E(?!\\w)"))
     return (F.length(title) >= least) & F.coalesce(F.rlike(F.lower(F.coalesce(text, F.lit(""))), quoted), F.lit(False))
 
 

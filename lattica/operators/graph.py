@@ -68,7 +68,7 @@ def neighbors(triples: DataFrame, titles: DataFrame, labels: DataFrame, qid: str
     total = found.agg(F.count("*").alias("total"))
     page = found.orderBy("rel", "dst", "src").offset(offset).limit(limit)
     page = label_edges(page, labels).join(titles.select(F.col("qid").alias("dst"), F.col("title").alias("dst_title")), "dst", "left")
-    return page.select(total.scalar().alias("total"), "src", "rel", "rel_label", "dst", F.coalesce("dst_title", "dst").alias("dst_title"))
+    return page.select(total.scalar().alias("total"), "src", "rel", "rel_label", "dst", F.coalesce("dst_title", "dst").alias("dst_title")).orderBy("rel", "dst", "src")
 
 
 def hop(triples: DataFrame, anchors: DataFrame, seed: int = 0, pool: int = 25) -> DataFrame:
