@@ -21,7 +21,7 @@ def docs(spark, sf_dir):
 
 def doc_text(spark, sf_dir):
     t = X.doc_text(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), F.col("text"))
-    return docs(spark, sf_dir).select("doc_id", F.sha2(t, 256).alias("doc_text"), parsing.words_in(t).cast("long").alias("words"))
+    return docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.sha2("t", 256).alias("doc_text"), parsing.words_in(F.col("t")).cast("long").alias("words"))
 
 
 def snippets(spark, sf_dir):

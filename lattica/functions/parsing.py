@@ -9,7 +9,6 @@ from lattica.functions.text import LINE, WS, collapse, strip
 
 MAX_ENTITIES = 50
 TRUTH = "struct<answer_qids: array<string>, bridge_qids: array<string>>"
-CALL = "struct<name: string, arguments: map<string, string>>"
 
 
 def _last_block(text: Column, pattern: str) -> Column:
@@ -56,11 +55,11 @@ def judge_accepts(judged: Column, relations: Column) -> Column:
 def parse_tool_calls(text: Column) -> Column:
     """<tool_call>{json}</tool_call> calls with a name; bad JSON is skipped, arguments given as text are read again."""
     bodies = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), F.lit(1))
-    plain = lambda x: F.from_json(x, CALL)
-    quoted = lambda x: F.from_json(x, "struct<name: string, arguments: string>")
+    # Arguments come as their JSON text, whether they were an object or a text that holds one; each is parsed once.
+    outer = F.transform(bodies, lambda x: F.from_json(x, "struct<name: string, arguments: string>"))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    calls = F.transform(bodies, lambda x: F.struct(quoted(x)["name"].alias("name"), F.coalesce(plain(x)["arguments"], F.from_json(quoted(x)["arguments"], "map<string,string>"), none).alias("arguments")))
-    return F.filter(calls, lambda c: c["name"].isNotNull())
+    calls = F.transform(F.filter(outer, lambda c: c["name"].isNotNull()), lambda c: F.struct(c["name"].alias("name"), F.coalesce(F.from_json(c["arguments"], "map<string,string>"), none).alias("arguments")))
+    return calls
 
 
 def parse_function_calls(text: Column) -> Column:
@@ -91,4 +90,4 @@ def ground_truth(text: Column) -> Column:
 
 def words_in(text: Column) -> Column:
     """Words by white space; a stand-in for a tokenizer's length."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WS}]+"), lambda x: x != ""))
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), f"(?U)[{WS}]+"), lambda x: x != ""))

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Python's str.split() and str.strip() see it, as a Java character class body.
-WS = r"\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: White space as Python's str.split() and str.strip() see it, as the body of a Java character class under (?U).
+WS = r"\s\x1C-\x1F"
 LINE = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
 QUOTES = "\"'`‘’“”«»"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.regexp_replace(c, f"(?U)^[{WS}]+|[{WS}]+$", "")
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(c, f"(?U)[{WS}]+", " "))
 
 
 def normalise(c: Column) -> Column:
@@ -27,7 +27,7 @@ def normalise(c: Column) -> Column:
 
 def opening(abstract: Column) -> Column:
     """An abstract without leading white space, then quotes, then white space."""
-    return F.regexp_replace(abstract, f"^[{WS}]*[{QUOTES}]*[{WS}]*", "")
+    return F.regexp_replace(abstract, f"(?U)^[{WS}]*[{QUOTES}]*[{WS}]*", "")
 
 
 def title_rule(aliases: Column, abstract: Column, qid: Column) -> Column:
