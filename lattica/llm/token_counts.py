@@ -60,29 +60,36 @@ class Counter:
 
     def word(self, word: str) -> int:
         """Tokens of the best path through one word."""
-        n = len(word)
-        # Matches come by end, longest first; by end is all that the recurrence needs, as starts before an end are settled.
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        if self.vocab:
-            for end, found in self.automaton.iter(word):
-                ends[end + 1].append(found)
-        single = bytearray(n + 1)
-        for e in range(1, n + 1):
-            single[e] = any(k == 1 for k, _ in ends[e])
+        n, unknown = len(word), self.unknown
         best, count, unk = [0.0] * (n + 1), [0] * (n + 1), bytearray(n + 1)
-        for e in range(1, n + 1):
-            top = None
-            options = sorted(ends[e], key=lambda x: -x[0])  # by start
-            if not single[e]:
-                options.append((1, None))
-            for k, score in options:
-                s = e - k
-                total = best[s] + (self.unknown if score is None else score)
-                if top is None or total > top:
-                    top = total
-                    unk[e] = score is None
-                    count[e] = count[s] + (0 if score is None and unk[s] else 1)
-            best[e] = top
+
+        def skip(e: int) -> None:
+            """An unknown character before place e."""
+            total = best[e - 1] + unknown
+            if total > best[e]:
+                best[e], count[e], unk[e] = total, count[e - 1] + (not unk[e - 1]), 1
+
+        # Matches come by end, and of one end the longest first; what starts before an end is settled by then.
+        at, single, least = 0, True, float("-inf")
+        for end, (k, score) in self.automaton.iter(word) if self.vocab else ():
+            end += 1
+            if end != at:
+                if not single:
+                    skip(at)
+                for e in range(at + 1, end):
+                    best[e] = least
+                    skip(e)
+                at, single, best[end] = end, False, least
+            total = best[end - k] + score
+            if total > best[end]:
+                best[end], count[end] = total, count[end - k] + 1
+            if k == 1:
+                single = True
+        if not single:
+            skip(at)
+        for e in range(at + 1, n + 1):
+            best[e] = least
+            skip(e)
         return count[n]
 
     def texts(self, texts: list[str]) -> list[int]:
