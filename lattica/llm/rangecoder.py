@@ -1,189 +1,235 @@
 """Adaptive context-mixing range coder for token ids, many blocks at once.
 
-A sequence of ids is cut into blocks of BLOCK ids. Every block starts from the same empty model and has a checksum of
-its own, so any block can be decoded alone. A model predicts the next id from three orders:
+A sequence of ids is cut into blocks of BLOCK ids. Every block starts from the same model state and has a checksum of its
+own, so any block can be decoded alone. A model predicts the next id from three orders:
 
 * order 2 and order 1: a hashed slot of the last two ids, and of the last one, holds the id that followed and a
-  confidence; how far a confidence is believed is itself learnt, as a probability a confidence level;
-* order 0: adaptive counts of CLASSES classes of ids (widths grow with the id, as frequent ids come first in BPE
-  vocabularies), uniform within a class.
-
-The mix is one interval partition of [0, 2^32): first the order-2 id, then the order-1 id's share of the rest, then
-order 0 with what remains; an id is coded by one step of a carry-less 64-bit range coder with 16-bit output. The blocks
-are lanes of numpy arrays that step together, so a step is a few dozen array operations for all of them.
+  confidence; how far a confidence is believed is itself learnt, as a probability a confidence level, in each block;
+* order 0: the frequencies of ids in the whole sequence, which the prior carries.
+
+A prior (frequencies of the ids that occur, and the commonest successor of each slot) is where blocks start from; it is
+stored once a sequence. The mix is one interval partition of [0, 2^24): first the order-2 id, then the order-1 id's share
+of the rest, then order 0 with what remains; an id is one step of a 64-bit range coder with 16-bit output, and a carry is
+added to the words that are out. The blocks are lanes of numpy arrays that step together, so a step is a few dozen array
+operations for all of them.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
 U = np.uint64
-BLOCK = 4096
+#: Ids of a block; fewer where a sequence is short, so that it still has many blocks in step.
+BLOCK, LEAST, LANES = 4096, 256, 2048
 VOCAB = 1 << 16
-CLASSES, T1, T2 = 256, 1 << 10, 1 << 11
-START, GAIN, MOST = 8, 32, 57344
-_edges = np.unique(np.round((VOCAB - 256) * (np.expm1(np.linspace(0, 3.2, CLASSES + 1)) / np.expm1(3.2)) + np.arange(CLASSES + 1)).astype(np.int64))
-BASE = _edges[:-1]
-WIDTH = np.diff(_edges)
-CLASS = np.repeat(np.arange(CLASSES), WIDTH)
-BOT, BITS48 = U(1 << 48), U((1 << 48) - 1)
-assert len(BASE) == CLASSES and len(CLASS) == VOCAB and WIDTH.max() <= 1024
+T1, T2 = 1 << 10, 1 << 11
+MOST = 57344
+LOW40 = U(1 << 40)
+
+
+def _slot1(a: np.ndarray) -> np.ndarray:
+    return (a * 40503 >> 4) & (T1 - 1)
+
+
+def _slot2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a * 40503 + b * 60493) >> 5) & (T2 - 1)
+
+
+def _commonest(slot: np.ndarray, follows: np.ndarray, slots: int) -> np.ndarray:
+    pair, n = np.unique(slot.astype(np.int64) << 16 | follows, return_counts=True)
+    order = np.lexsort((pair, n))  # the last write of a slot is its commonest successor
+    out = np.zeros(slots, np.uint16)
+    out[pair[order] >> 16] = pair[order] & 0xFFFF
+    return out
+
+
+class Prior:
+    """What blocks start from: order-0 frequencies that sum to 2^16 and a first prediction of each slot."""
+
+    def __init__(self, freq: np.ndarray, first1: np.ndarray, first2: np.ndarray):
+        self.freq, self.first1, self.first2 = freq.astype(np.int64), first1, first2
+        self.cum = np.concatenate([[0], np.cumsum(self.freq)])
+        self.slot = np.repeat(np.arange(len(freq)), self.freq)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Prior:
+        n = np.bincount(ids, minlength=VOCAB)
+        some = np.flatnonzero(n)
+        freq = np.zeros(VOCAB, np.int64)
+        freq[some] = np.maximum(1, n[some] * (65536 - len(some)) // n.sum())
+        freq[some[np.argmax(n[some])]] += 65536 - freq.sum()
+        ids = ids.astype(np.int64)
+        a = np.concatenate([[0], ids[:-1]])
+        b = np.concatenate([[0, 0], ids[:-2]])[: len(ids)]
+        return cls(freq, _commonest(_slot1(a), ids, T1), _commonest(_slot2(a, b), ids, T2))
+
+    def pack(self) -> bytes:
+        some = np.flatnonzero(self.freq)
+        raw = struct.pack("<I", len(some)) + np.diff(some, prepend=0).astype("<u2").tobytes() + (self.freq[some] - 1).astype("<u2").tobytes() + self.first1.astype("<u2").tobytes() + self.first2.astype("<u2").tobytes()
+        return zlib.compress(raw, 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Prior:
+        raw = zlib.decompress(data)
+        (n,) = struct.unpack_from("<I", raw)
+        some = np.cumsum(np.frombuffer(raw, "<u2", n, 4).astype(np.int64))
+        freq = np.zeros(VOCAB, np.int64)
+        freq[some] = np.frombuffer(raw, "<u2", n, 4 + 2 * n).astype(np.int64) + 1
+        return cls(freq, np.frombuffer(raw, "<u2", T1, 4 + 4 * n), np.frombuffer(raw, "<u2", T2, 4 + 4 * n + 2 * T1))
 
 
 class Model:
-    """The state of all lanes; ``lanes`` are blocks in step."""
-
-    def __init__(self, lanes: int):
-        self.t1, self.t2 = np.zeros(lanes * T1, np.int32), np.zeros(lanes * T2, np.int32)
-        self.w1, self.w2 = (np.tile(np.minimum(4096 + 3072 * np.arange(16), MOST).astype(np.int32), lanes) for _ in range(2))
-        self.counts = np.full((lanes, CLASSES), START, np.int32)
-        self.cum = np.zeros((lanes, CLASSES + 1), np.int64)
-        self.at1, self.at2, self.at16, self.at_c = (np.arange(lanes) * k for k in (T1, T2, 16, CLASSES + 1))
-        self.p1 = np.zeros(lanes, np.int64)
-        self.p2 = np.zeros(lanes, np.int64)
-        self.step = 0
+    """The adaptive state of all lanes; ``lanes`` are blocks in step."""
+
+    def __init__(self, lanes: int, prior: Prior):
+        # A slot holds id << 4 | confidence.
+        self.t1, self.t2 = (np.tile(first.astype(np.int32) << 4 | 1, lanes) for first in (prior.first1, prior.first2))
+        self.w1, self.w2 = (np.tile(np.minimum(2048 + 3072 * np.arange(16), MOST).astype(np.int32), lanes) for _ in range(2))
+        self.at1, self.at2, self.at16 = (np.arange(lanes, dtype=np.int64) * k for k in (T1, T2, 16))
+        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, m: int) -> tuple[np.ndarray, ...]:
-        """For the first m lanes: ids and ends of the order-2 and order-1 intervals (16 bits)."""
-        k = self.step
-        if k % 64 == 0 or k & (k - 1) == 0:
-            c = np.cumsum(self.counts, 1, dtype=np.int64)
-            self.cum[:, 1:] = c * (65536 - CLASSES) // c[:, -1:] + np.arange(1, CLASSES + 1)
-        a, b = self.p1[:m], self.p2[:m]
-        self.i1 = self.at1[:m] + (a * 40503 >> 4 & T1 - 1)
-        self.i2 = self.at2[:m] + ((a * 40503 + b * 60493) >> 5 & T2 - 1)
-        e1, e2 = self.t1[self.i1], self.t2[self.i2]
-        self.e1, self.e2 = e1, e2
-        self.j1, self.j2 = self.at16[:m] + (e1 & 15), self.at16[:m] + (e2 & 15)
-        y1, y2 = e1 >> 4, e2 >> 4
-        self.v1, self.v2 = self.w1[self.j1], self.w2[self.j2]
+        """For the first m lanes: the two ids, and the ends of their intervals of 2^16."""
+        a = self.p1[:m]
+        h = a * 40503
+        self.i1 = self.at1[:m] + (h >> 4 & (T1 - 1))
+        self.i2 = self.at2[:m] + (h + self.p2[:m] * 60493 >> 5 & (T2 - 1))
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.j1, self.j2 = self.at16[:m] + (self.e1 & 15), self.at16[:m] + (self.e2 & 15)
+        y1, y2 = self.e1 >> 4, self.e2 >> 4
+        self.v1, self.v2 = self.w1.take(self.j1), self.w2.take(self.j2)
         end2 = self.v2.astype(np.int64)
-        share = ((65536 - end2) * self.v1 >> 16) * (y1 != y2)
-        return y1, y2, end2, end2 + share
+        return y1, y2, end2, end2 + ((65536 - end2) * self.v1 >> 16) * (y1 != y2)
 
-    def update(self, m: int, ids: np.ndarray, literal: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> None:
+    def update(self, m: int, ids: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> None:
         for y, e, table, i, weight, j, v in ((y1, self.e1, self.t1, self.i1, self.w1, self.j1, self.v1), (y2, self.e2, self.t2, self.i2, self.w2, self.j2, self.v2)):
             hit = y == ids
-            conf = e & 15
-            stay = hit | (conf > 1)
-            conf = np.where(hit, np.minimum(conf + 1, 15), np.where(stay, conf >> 1, 1))
-            table[i] = np.where(stay, y, ids) << 4 | conf
-            weight[j] = v + ((hit * (MOST - 64) + 32 - v) >> 5)
-        self.counts[literal, CLASS[ids[literal]]] += GAIN
+            new = np.where((e & 15) > 1, e - 1, ids << 4 | 1)  # a miss: less confidence, or the id that came
+            np.copyto(new, np.where((e & 15) < 14, e + 2, e), where=hit)
+            table[i] = new
+            weight[j] = v + (hit * (MOST - 64) + 32 - v >> 5)
         self.p2[:m] = self.p1[:m]
         self.p1[:m] = ids
-        self.step += 1
 
 
-def _live(n: int, lanes: int, k: int) -> int:
+def block_size(n: int) -> int:
+    """The block size for a sequence of n ids."""
+    block = LEAST
+    while block < BLOCK and n > block * LANES:
+        block *= 2
+    return block
+
+
+def _live(n: int, lanes: int, block: int, k: int) -> int:
     """Lanes that have an id at step k; only the last block may be short."""
-    return lanes if k < n - (lanes - 1) * BLOCK else lanes - 1
+    return lanes if k < n - (lanes - 1) * block else lanes - 1
+
 
+def _carry(out: np.ndarray, pos: np.ndarray, lanes: np.ndarray) -> None:
+    """Adds one to what these lanes have put out."""
+    at = pos[lanes] - 1
+    while len(lanes):
+        out[lanes, at] += 1
+        on = out[lanes, at] == 0
+        lanes, at = lanes[on], at[on] - 1
 
-def encode(ids: np.ndarray) -> list[bytes]:
-    """The coded blocks of a sequence of ids under 2^16."""
+
+def encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
+    """The coded blocks of a sequence of ids that the prior knows."""
     n = len(ids)
-    lanes = -(-n // BLOCK)
-    grid = np.zeros(lanes * BLOCK, np.int32)
+    lanes = -(-n // block)
+    grid = np.zeros(lanes * block, np.int32)
     grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
-    model = Model(lanes)
-    low, rng = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-    room = 3 * BLOCK + 16
-    out, pos = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
-    for k in range(min(n, BLOCK)):
-        m = _live(n, lanes, k)
+    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
+    model = Model(lanes, prior)
+    low, rng = np.zeros(lanes, U), np.full(lanes, 1 << 56, U)
+    out, pos = np.zeros((lanes, 2 * block + 16), np.uint16), np.zeros(lanes, np.int64)
+    for k in range(min(n, block)):
+        m = _live(n, lanes, block, k)
         x = grid[k, :m]
         y1, y2, end2, end1 = model.predict(m)
+        rem = 65536 - end1
+        c = prior.cum.take(x)
+        start = rem * c >> 8
+        size = (rem * (c + prior.freq.take(x)) >> 8) - start
+        start += end1 << 8
+        is1 = (x == y1) & (end1 > end2)
+        np.copyto(start, end2 << 8, where=is1)
+        np.copyto(size, end1 - end2 << 8, where=is1)
         is2 = x == y2
-        is1 = (x == y1) & ~is2
-        start = np.where(is1, end2, 0) << 16
-        size = np.where(is1, end1 - end2, end2) << 16
-        lit = np.flatnonzero(~(is1 | is2))
-        c = CLASS[x[lit]]
-        at = model.at_c[lit] + c
-        lo = model.cum.ravel()[at]
-        rem = 65536 - end1[lit]
-        unit = rem * (model.cum.ravel()[at + 1] - lo) // WIDTH[c]
-        start[lit] = (end1[lit] << 16) + rem * lo + (x[lit] - BASE[c]) * unit
-        size[lit] = unit
-        r = rng[:m] >> U(32)
-        low[:m] += r * start.astype(U)
-        rng[:m] = r * size.astype(U)
-        _shift(low, rng, m, out, pos)
-        model.update(m, x, lit, y1, y2)
-    for k in range(4):
-        out[np.arange(lanes), pos] = (low >> U(48)).astype(np.uint16)
+        np.copyto(start, 0, where=is2)
+        np.copyto(size, end2 << 8, where=is2)
+        r = rng[:m] >> U(24)
+        old = low[:m]
+        new = old + r * start.view(U)
+        over = np.flatnonzero(new < old)
+        if len(over):
+            _carry(out, pos, over)
+        low[:m] = new
+        rng[:m] = r * size.view(U)
+        on = np.flatnonzero(rng[:m] < LOW40)
+        while len(on):
+            lo = low[on]
+            out[on, pos[on]] = lo >> U(48)
+            pos[on] += 1
+            low[on] = lo << U(16)
+            ra = rng[on] << U(16)
+            rng[on] = ra
+            on = on[ra < LOW40]
+        model.update(m, x, y1, y2)
+    for _ in range(4):
+        out[np.arange(lanes), pos] = low >> U(48)
         low <<= U(16)
         pos += 1
     return [out[i, : pos[i]].astype("<u2").tobytes() for i in range(lanes)]
 
 
-def _shift(low: np.ndarray, rng: np.ndarray, m: int, out: np.ndarray, pos: np.ndarray) -> None:
-    lo, ra = low[:m], rng[:m]
-    on = np.flatnonzero(((lo ^ (lo + ra)) < BOT) | (ra < BOT))
-    while len(on):
-        lo, ra = low[on], rng[on]
-        narrow = (lo ^ (lo + ra)) >= BOT
-        ra = np.where(narrow, (~lo + U(1)) & BITS48, ra)
-        out[on, pos[on]] = (lo >> U(48)).astype(np.uint16)
-        pos[on] += 1
-        lo, ra = lo << U(16), ra << U(16)
-        low[on], rng[on] = lo, ra
-        on = on[((lo ^ (lo + ra)) < BOT) | (ra < BOT)]
-
-
-def decode(blocks: list[bytes], n: int) -> np.ndarray:
-    """The n ids of coded blocks, in their order; all blocks but the last hold BLOCK ids."""
+def decode(blocks: list[bytes], n: int, prior: Prior, block: int) -> np.ndarray:
+    """The n ids of coded blocks, in their order; all blocks but the last hold ``block`` ids."""
     lanes = len(blocks)
     if not lanes:
         return np.zeros(0, np.int32)
     words = np.frombuffer(b"".join(blocks) + bytes(16), "<u2").astype(U)
-    size = np.array([len(b) // 2 for b in blocks])
-    pos = np.concatenate([[0], np.cumsum(size)[:-1]])
-    model = Model(lanes)
-    low, rng, code = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U), np.zeros(lanes, U)
+    pos = np.concatenate([[0], np.cumsum([len(b) // 2 for b in blocks])[:-1]])
+    model = Model(lanes, prior)
+    # The decoder needs the code less low only.
+    rng, code = np.full(lanes, 1 << 56, U), np.zeros(lanes, U)
     for _ in range(4):
         code = code << U(16) | words[pos]
         pos += 1
-    grid = np.zeros((BLOCK, lanes), np.int32)
-    for k in range(min(n, BLOCK)):
-        m = _live(n, lanes, k)
+    grid = np.zeros((block, lanes), np.int32)
+    for k in range(min(n, block)):
+        m = _live(n, lanes, block, k)
         y1, y2, end2, end1 = model.predict(m)
-        r = rng[:m] >> U(32)
-        v = np.minimum((code[:m] - low[:m]) // r, U(2**32 - 1)).astype(np.int64)
-        high = v >> 16
-        is2 = high < end2
-        is1 = ~is2 & (high < end1)
-        x = np.where(is2, y2, y1)
-        start = np.where(is1, end2, 0) << 16
-        size_ = np.where(is1, end1 - end2, end2) << 16
-        lit = np.flatnonzero(high >= end1)
-        v = v[lit] - (end1[lit] << 16)
-        rem = 65536 - end1[lit]
-        cum, at = model.cum.ravel(), model.at_c[lit]
-        want, c = v // rem, np.zeros(len(lit), np.int64)
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            c += step * (cum[at + c + step] <= want)
-        lo = cum[at + c]
-        unit = rem * (cum[at + c + 1] - lo) // WIDTH[c]
-        inside = np.minimum((v - rem * lo) // unit, WIDTH[c] - 1)
-        x[lit] = BASE[c] + inside
-        start[lit] = (end1[lit] << 16) + rem * lo + inside * unit
-        size_[lit] = unit
-        low[:m] += r * start.astype(U)
-        rng[:m] = r * size_.astype(U)
-        lo, ra = low[:m], rng[:m]
-        on = np.flatnonzero(((lo ^ (lo + ra)) < BOT) | (ra < BOT))
+        r = rng[:m] >> U(24)
+        v = np.minimum(code[:m] // r, U(0xFFFFFF)).view(np.int64)
+        rem = 65536 - end1
+        inside = np.maximum(v - (end1 << 8), 0)
+        x = prior.slot.take(np.minimum(((inside + 1 << 8) - 1) // rem, 65535))
+        c = prior.cum.take(x)
+        start = rem * c >> 8
+        size = (rem * (c + prior.freq.take(x)) >> 8) - start
+        start += end1 << 8
+        is1 = v < end1 << 8
+        np.copyto(x, y1, where=is1)
+        np.copyto(start, end2 << 8, where=is1)
+        np.copyto(size, end1 - end2 << 8, where=is1)
+        is2 = v < end2 << 8
+        np.copyto(x, y2, where=is2)
+        np.copyto(start, 0, where=is2)
+        np.copyto(size, end2 << 8, where=is2)
+        code[:m] -= r * start.view(U)
+        rng[:m] = r * size.view(U)
+        on = np.flatnonzero(rng[:m] < LOW40)
         while len(on):
-            lo, ra = low[on], rng[on]
-            narrow = (lo ^ (lo + ra)) >= BOT
-            ra = np.where(narrow, (~lo + U(1)) & BITS48, ra)
             code[on] = code[on] << U(16) | words[pos[on]]
             pos[on] += 1
-            lo, ra = lo << U(16), ra << U(16)
-            low[on], rng[on] = lo, ra
-            on = on[((lo ^ (lo + ra)) < BOT) | (ra < BOT)]
+            ra = rng[on] << U(16)
+            rng[on] = ra
+            on = on[ra < LOW40]
         grid[k, :m] = x
-        model.update(m, x, lit, y1, y2)
+        model.update(m, x, y1, y2)
     return np.ascontiguousarray(grid.T).ravel()[:n]

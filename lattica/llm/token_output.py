@@ -4,8 +4,9 @@ Documents are range-partitioned and sorted by doc_id, encoded, and packed into s
 more each). A shard is one row of a Parquet table that Spark writes (so attempts that are lost leave nothing):
 part (range) and seq (place within it) give the order; ``shard`` holds the bytes below, which stand by themselves.
 
-    magic 'LTS1' | version u16 | block u16 | documents u32 | ids u64 | blocks u32 | CRC-32 of the header so far u32
+    magic 'LTS1' | version u16 | block u16 | documents u32 | ids u64 | blocks u32 | prior's bytes u32 | CRC-32 of these u32
     doc_ids i64 x documents, null flags u8 x documents, lengths u32 x documents, CRC-32 of these u32
+    the coder's prior, CRC-32 of it u32
     bytes u32 and CRC-32 u32 of each block, CRC-32 of these u32
     the blocks' bytes, each decodable from its own start (little-endian throughout)
 
@@ -22,7 +23,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +35,25 @@ from lattica.llm._text import limits
 from lattica.session import ensure_checkpoint_dir, ship, table
 
 END, SHARD = 2, 6_000_000
-#: Words whose ids a worker remembers.
-MEMO = 300_000
-HEAD = struct.Struct("<4sHHIQI")
+#: Words whose ids a worker remembers, in each of two generations.
+MEMO = 250_000
+HEAD = struct.Struct("<4sHHIQII")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 itself, others from U+0100 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [i for i in range(256) if i not in own]
+    return {i: chr(i) for i in own} | {i: chr(256 + k) for k, i in enumerate(rest)}
 
 
 class Encoder:
     """Ids of texts as little-endian 16-bit bytes, equal to the library's own; words seen before come from a memo.
 
     A byte-level BPE splits before a space between two other characters, so a text is the sum of its space-separated words. A
-    text with any other use of white space next to a space goes to the library whole.
+    text with any other use of white space next to a space goes to the library whole. A word of letters, or of letters and then
+    punctuation, is known to be one pre-token, or two: it goes to the library's BPE model directly.
+    The memo has two generations; when the younger is full, what it hasn't met since goes.
     """
 
     def __init__(self, path: str):
@@ -55,11 +64,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.memo: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        ids = [t.id for t in self.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def _learn(self, words: set[str]) -> None:
+        memo, old, rest = self.memo, self.old, []
+        for w in words:
+            if w in old:
+                memo[w] = old[w]
+                continue
+            body = w.rstrip(".,;:!?")
+            if (body[1:] if body[:1] == " " else body).isalpha():
+                ids = memo.get(body) or old.get(body) or self._piece(body)
+                memo[body] = ids
+                if len(body) < len(w):
+                    memo[w] = ids + self._piece(w[len(body) :])
+            elif w and w != " " and (core := w[1:] if w[0] == " " else w).strip() == core:
+                rest.append(w)
+            else:
+                memo[w] = None
+        memo.update(zip(rest, self._ids(rest)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         for c in cut:
@@ -67,16 +102,12 @@ class Encoder:
         need = set().union(*cut)
         new = need - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = need
-        plain = [w for w in new if w and (w[1:] if w[0] == " " else w).strip() == (w[1:] if w[0] == " " else w) and w != " "]
-        memo = self.memo
-        memo.update(zip(new, repeat(None)))
-        memo.update(zip(plain, self._ids(plain)))
+            self.memo, self.old, new = {}, self.memo, need
+        self._learn(new)
         out = []
         for text, words in zip(texts, cut):
             try:
-                out.append(b"".join(map(memo.__getitem__, words)))
+                out.append(b"".join(map(self.memo.__getitem__, words)))
             except TypeError:
                 out.append(self._ids([text])[0] if text else b"")
         return out
@@ -84,11 +115,14 @@ class Encoder:
 
 def pack(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     """The bytes of a shard."""
-    blocks = rangecoder.encode(ids)
-    head = HEAD.pack(b"LTS1", 1, rangecoder.BLOCK, len(doc_ids), len(ids), len(blocks))
+    block = rangecoder.block_size(len(ids))
+    prior = rangecoder.Prior.of(ids) if len(ids) else None
+    blocks = rangecoder.encode(ids, prior, block) if len(ids) else []
+    start = prior.pack() if prior else b""
+    head = HEAD.pack(b"LTS1", 1, block, len(doc_ids), len(ids), len(blocks), len(start))
     docs = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(lengths, "<u4").tobytes()
     index = np.array([(len(b), zlib.crc32(b)) for b in blocks], "<u4").tobytes()
-    return b"".join(x + struct.pack("<I", zlib.crc32(x)) for x in (head, docs, index)) + b"".join(blocks)
+    return b"".join(x + struct.pack("<I", zlib.crc32(x)) for x in (head, docs, start, index)) + b"".join(blocks)
 
 
 def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -101,10 +135,11 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         return x, at + n + 4
 
     head, at = part(0, HEAD.size)
-    magic, version, block, n_docs, n_ids, n_blocks = HEAD.unpack(head)
-    if magic != b"LTS1" or version != 1 or block != rangecoder.BLOCK:
+    magic, version, block, n_docs, n_ids, n_blocks, n_prior = HEAD.unpack(head)
+    if magic != b"LTS1" or version != 1:
         raise ValueError("not a shard of this format")
     docs, at = part(at, n_docs * 13)
+    start, at = part(at, n_prior)
     index, at = part(at, n_blocks * 8)
     blocks = []
     for size, crc in np.frombuffer(index, "<u4").reshape(-1, 2).tolist():
@@ -114,7 +149,7 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
             raise ValueError(f"block {len(blocks) - 1} is damaged")
     nulls = np.frombuffer(docs, "u1", n_docs, n_docs * 8)
     doc_ids = [None if z else d for d, z in zip(np.frombuffer(docs, "<i8", n_docs).tolist(), nulls)]
-    return doc_ids, np.frombuffer(docs, "<u4", n_docs, n_docs * 9).astype(np.int64), rangecoder.decode(blocks, n_ids)
+    return doc_ids, np.frombuffer(docs, "<u4", n_docs, n_docs * 9).astype(np.int64), rangecoder.decode(blocks, n_ids, rangecoder.Prior.unpack(start), block) if n_ids else np.zeros(0, np.int32)
 
 
 def _write(batches: Iterable[pa.RecordBatch], vocab: str, shard: int) -> Iterator[pa.RecordBatch]:

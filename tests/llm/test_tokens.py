@@ -17,20 +17,36 @@ def tokenizer():
     return t
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, rangecoder.BLOCK - 1, rangecoder.BLOCK, rangecoder.BLOCK + 1, 3 * rangecoder.BLOCK + 7])
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 5 * 256 + 7, 20_000])
 @pytest.mark.parametrize("kind", ["random", "same", "periodic", "skewed"])
-def test_coder_round_trip(n, kind):
+@pytest.mark.parametrize("block", [256, rangecoder.BLOCK])
+def test_coder_round_trip(n, kind, block):
     rng = np.random.default_rng(n)
-    ids = {"random": rng.integers(0, 1 << 16, n), "same": np.full(n, 50256), "periodic": np.arange(n) % 23, "skewed": rng.zipf(1.2, n) % 50257}[kind].astype(np.int32)
-    blocks = rangecoder.encode(ids)
-    assert len(blocks) == -(-n // rangecoder.BLOCK)
-    assert (rangecoder.decode(blocks, n) == ids).all()
-    if n > rangecoder.BLOCK:  # any block alone
-        assert (rangecoder.decode(blocks[1:2], min(n - rangecoder.BLOCK, rangecoder.BLOCK)) == ids[rangecoder.BLOCK : 2 * rangecoder.BLOCK]).all()
-    if kind in ("same", "periodic") and n >= rangecoder.BLOCK:
+    ids = {"random": rng.integers(0, 50257, n), "same": np.full(n, 50256), "periodic": np.arange(n) % 23, "skewed": rng.zipf(1.2, n) % 50257}[kind].astype(np.int32)
+    prior = rangecoder.Prior.of(ids)
+    stored = rangecoder.Prior.unpack(prior.pack())
+    assert prior.freq.sum() == 1 << 16 and (stored.freq == prior.freq).all()
+    blocks = rangecoder.encode(ids, prior, block)
+    assert len(blocks) == -(-n // block)
+    assert (rangecoder.decode(blocks, n, stored, block) == ids).all()
+    if n > block:  # any block alone
+        assert (rangecoder.decode(blocks[1:2], min(n - block, block), stored, block) == ids[block : 2 * block]).all()
+    if kind in ("same", "periodic") and n == 20_000 and block == rangecoder.BLOCK:
         assert sum(map(len, blocks)) < n / 8
 
 
+def test_carries_go_far_back():
+    ids = np.concatenate([np.tile([5, 9], 3000), np.random.default_rng(1).integers(0, 50257, 3000), np.full(4000, 50256)]).astype(np.int32)
+    for seed in range(5):
+        x = np.random.default_rng(seed).permutation(ids)
+        p = rangecoder.Prior.of(ids)
+        assert (rangecoder.decode(rangecoder.encode(x, p, 256), len(x), p, 256) == x).all()
+
+
+def test_block_sizes():
+    assert [rangecoder.block_size(n) for n in (0, 1, 256 * 2048, 256 * 2048 + 1, 10**8)] == [256, 256, 256, 512, 4096]
+
+
 def test_shard_round_trip_and_damage():
     rng = np.random.default_rng(0)
     lengths = [1, 5000, 0, 3]
@@ -45,7 +61,7 @@ def test_shard_round_trip_and_damage():
 
 def test_encoder_equals_the_library():
     rng = random.Random(1)
-    texts = ODD + ["".join(rng.choice("ab 1.,'\n\té ") for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts = ODD + ["one, two!? don't. U.S.A. 3rd x1, ,. . !", "ʼn ªº ǅ ⅷ ², ½."] + ["".join(rng.choice("ab 1.,'\n\té ") for _ in range(rng.randrange(60))) for _ in range(400)]
     e, t = token_output.Encoder(token_output.default_vocab()), tokenizer()
     for _ in range(2):
         assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
