@@ -5,8 +5,9 @@ consecutive item words is a key of the automaton, as a sequence of word numbers;
 none, is one key. A text is scanned once as word numbers; a match ending at word e marks the words it covers, and
 word positions map back to code-point offsets of the original text where spans are asked for.
 
-The automaton is broadcast; the items' text must stay under MAX_ITEM_BYTES, which is checked, and a larger benchmark
-is scanned in blocks of that size, whose marks are joined by document.
+The automaton's items are broadcast in pages of MAX_ITEM_BYTES at most. A benchmark of one page is one scan of the texts;
+a larger one is scanned page by page, each adding to the marks of the pages before it, so that neither the driver nor a
+worker ever holds more than a page.
 
 Cases: a null or empty text or item has no words; equal items are each listed; repeated rows each get a row; columns
 other than doc_id, text and item_id are ignored; no benchmark rows means nothing is hit.
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm._text import TO_WORDS, limits
-from lattica.session import ship, table
+from lattica.session import ensure_checkpoint_dir, ship, table
 
 WINDOW = 10
-#: Items whose automata a worker holds at once, in bytes of text (about 60 times that in memory).
+#: Bytes of item text of a page; its automaton takes about 60 times that.
 MAX_ITEM_BYTES = 2 << 20
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -79,24 +80,22 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-def _scan(batches: Iterable[pa.RecordBatch], blocks: list[list[tuple]], k: int) -> Iterator[pa.RecordBatch]:
-    matchers = [Matcher(b, k) for b in blocks]
+def _scan(batches: Iterable[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
+    """Adds a page's matches to those of the pages before it (hits are spans of words)."""
+    matcher = Matcher(sent.value, k)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        n_words, n_hit, items, where = [], [], [], []
-        for text in batch.column("text").to_pylist():
+        n_words, hits, items, where = [], [], [], []
+        for text, had, known in zip(*(batch.column(c).to_pylist() for c in ("text", "hits", "items"))):
             words = words_of(text)
-            spans, found = [], set()
-            for m in matchers:
-                s, f = m.scan(words)
-                spans, found = spans + s, found | f
-            if len(matchers) > 1:
-                spans = _merge(spans)
+            found, who = matcher.scan(words)
+            if had:
+                found = _merge(found + [(x["start"], x["end"]) for x in had])
             n_words.append(len(words))
-            n_hit.append(sum(b - a for a, b in spans))
-            items.append(sorted(found))
-            where.append([{"start": a, "end": b} for a, b in original_spans(text or "", spans)])
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(where, span)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+            hits.append([{"start": a, "end": b} for a, b in found])
+            items.append(sorted(who.union(known)))
+            where.append([{"start": a, "end": b} for a, b in original_spans(text or "", found)])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string())), pa.array(where, span)], names=["doc_id", "text", "n_words", "hits", "items", "spans"])
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -109,43 +108,53 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pages(benchmark: DataFrame, max_item_bytes: int) -> list[list[tuple]]:
-    """The items in pages of max_item_bytes of text, read one after the other."""
-    blocks: list[list[tuple]] = [[]]
-    size = 0
+def _pages(benchmark: DataFrame, max_item_bytes: int) -> Iterator[list[tuple]]:
+    """The items in pages of max_item_bytes of text (an item that is longer is a page), of which the driver holds one; at least one page."""
+    page: list[tuple] = []
+    size = sent = 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("text is not null").toLocalIterator():
-        if size + len(row["text"]) > max_item_bytes and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["i"], row["text"]))
-        size += len(row["text"])
-    return blocks
+        n = len(row["text"].encode("utf-8", "replace"))
+        if page and size + n > max_item_bytes:
+            yield page
+            page, size, sent = [], 0, sent + 1
+        page.append((row["i"], row["text"]))
+        size += n
+    if page or not sent:
+        yield page
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids as strings, sorted) and spans (code points of the original) of every row."""
-    spark = docs.sparkSession
-    ship(spark)
-    limits(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = spark.sparkContext.broadcast(_pages(benchmark, max_item_bytes))
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, sent.value, window), f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+def _each_page(rows: DataFrame, benchmark: DataFrame, max_item_bytes: int, step) -> DataFrame:
+    """step(rows, broadcast page) for one page after the other; between pages rows are checkpointed, so a worker has one automaton."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    for i, page in enumerate(_pages(benchmark, max_item_bytes)):
+        rows = step(rows.checkpoint() if i else rows, rows.sparkSession.sparkContext.broadcast(page))
+    return rows
 
 
-def _clean(batches: Iterable[pa.RecordBatch], blocks: list[list[tuple]], k: int) -> Iterator[pa.RecordBatch]:
-    matchers = [Matcher(b, k) for b in blocks]
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids as strings, sorted) and spans (code points of the original) of every row."""
+    ship(docs.sparkSession)
+    limits(docs.sparkSession)
+    spans = "array<struct<start: long, end: long>>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words long, hits {spans}, items array<string>, spans {spans}"
+    rows = docs.select("doc_id", "text", F.array().cast(spans).alias("hits"), F.array().cast("array<string>").alias("items"))
+    found = _each_page(rows, benchmark, max_item_bytes, lambda df, sent: df.mapInArrow(lambda it: _scan(it, sent, window), schema))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+
+
+def _clean(batches: Iterable[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
+    matcher = Matcher(sent.value, k)
     for batch in batches:
-        found = [any(m.scan(words)[1] for m in matchers) for words in map(words_of, batch.column("text").to_pylist())]
-        yield batch.filter(pa.array([not x for x in found], pa.bool_()))
+        found = [not matcher.scan(words_of(t))[1] for t in batch.column("text").to_pylist()]
+        yield batch.filter(pa.array(found, pa.bool_()))
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """The rows of docs, all columns, that hold no window of an item."""
-    spark = docs.sparkSession
-    ship(spark)
-    limits(spark)
-    sent = spark.sparkContext.broadcast(_pages(benchmark, max_item_bytes))
-    return docs.mapInArrow(lambda it: _clean(it, sent.value, window), docs.schema)
+    ship(docs.sparkSession)
+    limits(docs.sparkSession)
+    return _each_page(docs, benchmark, max_item_bytes, lambda df, sent: df.mapInArrow(lambda it: _clean(it, sent, window), docs.schema))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,9 @@ from lattica.llm._text import limits, slices
 from lattica.llm.quality import held_out
 from lattica.session import ship, table
 
-#: The sample: documents a language, code points taken of each, symbols a language; languages at most.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, MAX_LANGS = 48, 1500, 20_000, 400
+#: The sample: documents a language, code points taken of each, symbols a language and of all languages (which bounds the
+#: tables at about 100 MB); languages at most.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, SAMPLE_ALL, MAX_LANGS = 48, 1500, 20_000, 400_000, 400
 SYMBOLS, PIECE = 64, 512
 SPACE, OTHER = 0, SYMBOLS - 1
 _POINTS = 0x10000
@@ -174,7 +175,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Parser:
     automata = []
     for lang in langs:
         p = points("\n".join(texts[lang]))
-        automata.append(suffix_automaton(symbols.of(p, np.array([0, len(p)]))[0][:SAMPLE_SYMBOLS]))
+        automata.append(suffix_automaton(symbols.of(p, np.array([0, len(p)]))[0][: min(SAMPLE_SYMBOLS, SAMPLE_ALL // len(langs))]))
     symbols.low = None
     return Parser(langs, symbols, automata)
 
