@@ -35,3 +35,11 @@ def test_every_order_is_a_record(spark, sf_dir, name):
         assert len(got) == n
     if name == "hash_split_counts":
         assert got["n"].sum() == n
+
+
+def test_every_title_is_asked(spark, sf_dir):
+    c = tables(sf_dir)
+    got = same(spark, sf_dir, "title_lookup_variants_all")
+    assert set(got["title"]) >= {t for (t,) in c.execute("select p_name from part union select p_brand from part").fetchall()}
+    got = same(spark, sf_dir, "title_list_to_ids_all")
+    assert len(got) == c.execute("select count(*) from part").fetchone()[0]
