@@ -1,18 +1,21 @@
 """HTML main text by equivalence-class template deduction across the pages of a host.
 
 Each page is read into elements and text blocks with their paths (tag and class names from the root). Over the pages of
-a host, every path and every block of text outside an article is a token with an occurrence vector: how often it
+a host, every path and every block of text outside an article (but in ``main``, too) is a token with an occurrence vector: how often it
 comes in each page. Tokens of equal vectors form an equivalence class (vectors are compared by a hash that adds up over
 pages with map-side combine). A class is valid if it has at least two tokens and is found in most pages; classes nest
 where the paths of one extend those of another. The nested valid classes are the host's template:
 
-* its text tokens are fixed text (menus, notices, imprints) wherever they come outside an article;
-* its paths with their slots give the host's main container where a page names none (``article``, ``main``): the
-  deepest template path that holds most of the slot text, and the slots that are mostly links.
+* its text tokens are fixed text (menus, notices, imprints, boxes in ``main``) wherever they come outside an article;
+* its slots say whether the names hold: what is below ``article`` or ``main`` must be at least half of the host's text
+  without links and fixed text. If it is less (teasers, cards), that text counts as no slot at all;
+* its paths with their slots give the host's main container: the template path that holds most of the slot text, the
+  deepest or, where the names hold, the first that has such a name; and the slots that are mostly links.
 
 A page's main text is then what its slots below the main container hold, without elements that are by name or class
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments. Text inside an article is never dropped
-for being repeated. Hosts of one or two pages have no valid classes and go by names alone.
+for being repeated or linked. Where the names hold, it is what lies below them. A page without the container goes by names, on
+hosts where the names don't hold only if they have half of that page's text. Hosts of one or two pages have no valid classes and go by names alone.
 
 Templates are one row a host. They are broadcast if they have at most MAX_TEMPLATES rows, which is counted first; else pages
 are joined with them by host, in a join that can be split under skew.
@@ -54,14 +57,14 @@ _WS = re.compile(r"\s+")
 
 
 class Page:
-    """Elements and blocks of a page. A block is (path, text, characters in links, below main, dropped by name)."""
+    """Elements and blocks of a page. A block is (path, text, characters in links, below main (1) or article (2), dropped by name)."""
 
     def __init__(self, html: str | None):
         self.paths: list[str] = []
-        self.blocks: list[tuple[str, str, int, bool, bool]] = []
+        self.blocks: list[tuple[str, str, int, int, bool]] = []
         self._buf: list[str] = []
         self._links = 0
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, below main, dropped
+        stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, path, below main, dropped
         s, at, in_link, n = html or "", 0, 0, len(html or "")
         while at < n:
             m = _TOKEN.search(s, at)
@@ -98,7 +101,7 @@ class Page:
             above = stack[-1]
             hints = " ".join(x[1] or x[2] or x[3] for x in _ATTR.findall(m[3])).lower() if m[3] else ""
             name = f"{tag}.{'.'.join(sorted(hints.split()))}" if hints else tag
-            main = above[2] or tag in MAIN or "main" in hints.split()
+            main = 2 if tag == "article" else above[2] or int(tag in MAIN or "main" in hints.split())
             drop = above[3] or tag in DROP or (tag == "header" and not above[2]) or bool(hints and tag not in ("html", "body", "article", "main") and _HINT.search(hints))
             path = f"{above[1]}/{re.sub(r'[0-9]+', '0', name)}"
             self.paths.append(path)
@@ -120,13 +123,15 @@ class Page:
 
 def main_text(page: Page, template: dict | None) -> str:
     """The main text of a page under its host's template."""
-    if any(b[3] for b in page.blocks):
-        return "\n\n".join(text for _, text, _, main, drop in page.blocks if main and not drop)
     t = template or {}
-    fixed, links, root = set(t.get("text", ())), set(t.get("links", ())), t.get("main") or ""
-    if root and not any(p == root or p.startswith(root + "/") for p in page.paths):
-        root = ""
-    return "\n\n".join(text for path, text, _, _, drop in page.blocks if not drop and (path == root or path.startswith(root + "/") or not root) and f"{path}\n{text}" not in fixed and path not in links)
+    fixed, links, root, holds = set(t.get("text", ())), set(t.get("links", ())), t.get("main") or "", t.get("named", True)
+    free = [b for b in page.blocks if not b[4] and (b[3] == 2 or b[0] not in links and f"{b[0]}\n{b[1]}" not in fixed)]
+    inside = [b for b in free if root and (b[0] == root or b[0].startswith(root + "/"))]
+    rows = inside or free
+    named = [b for b in rows if b[3]]
+    if named and (holds or not inside and 2 * sum(len(b[1]) for b in named) >= sum(len(b[1]) for b in rows)):
+        rows = named
+    return "\n\n".join(b[1] for b in rows)
 
 
 def _mix(page: int, n: int) -> int:
@@ -137,7 +142,10 @@ def _mix(page: int, n: int) -> int:
 
 
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, pages, vector hash, characters, link characters) of each batch, added up over its pages."""
+    """(host, token, pages, vector hash, characters, link characters) of each batch, added up over its pages.
+
+    Characters of text tokens are those outside links; of the token '' they are the page's, and its last are those below main.
+    """
     for batch in batches:
         seen: dict[tuple[str, str], list] = {}
         for host, page_id, html in zip(batch.column("host").to_pylist(), batch.column("h").to_pylist(), batch.column("html").to_pylist()):
@@ -146,11 +154,18 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path in page.paths:
                 own.setdefault(path, [0, 0, 0])[0] += 1
             for path, text, links, main, drop in page.blocks:
-                if path in own:
+                if drop:
+                    continue
+                told = max(0, len(text) - links)
+                if path in own and path:
                     own[path][1] += len(text)
                     own[path][2] += links
-                if not main and not drop:
-                    own.setdefault(f"{path}\n{text}", [0, 0, 0])[0] += 1
+                own[""][1] += told
+                own[""][2] += told if main else 0
+                if main < 2:
+                    x = own.setdefault(f"{path}\n{text}", [0, 0, 0])
+                    x[0] += 1
+                    x[1] += told
             for token, (n, chars, links) in own.items():
                 x = seen.setdefault((host, token), [0, 0, 0, 0])
                 x[0] += 1
@@ -165,6 +180,11 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _named(path: str) -> bool:
+    """Whether a path lies below an article or main."""
+    return any(x[0] in MAIN or "main" in x[1:] for x in (e.split(".") for e in path.split("/")))
+
+
 def deduce(rows: list[tuple[str, int, object, int, int]]) -> dict:
     """A template from the frequent tokens of a host: (token, pages, vector, characters, link characters)."""
     classes: dict = {}
@@ -187,17 +207,28 @@ def deduce(rows: list[tuple[str, int, object, int, int]]) -> dict:
         if new is not None:
             paths = inside
             text += [t for t in new if "\n" in t]
-    slots = {r[0]: (r[3], r[4]) for r in rows if "\n" not in r[0]}
+    slots = {r[0]: (r[3], r[4]) for r in rows if r[0] and "\n" not in r[0]}
     links = sorted(p for p, (chars, inside) in slots.items() if chars and inside > 0.6 * chars and p in paths)
-    free = {p: c for p, (c, _) in slots.items() if p not in links and not _HINT.search(p.lower()) and not DROP & set(re.split(r"[/.]", p))}
-    total, main = sum(free.values()), ""
-    while total:
+    total, under = next(((r[3], r[4]) for r in rows if not r[0]), (0, 0))
+    free = {p: chars - inside for p, (chars, inside) in slots.items()}
+    told = {r[0]: r[3] for r in rows if "\n" in r[0]}
+    for t in text:
+        path = t.partition("\n")[0]
+        total -= told[t]
+        under -= told[t] if _named(path) else 0
+        free[path] = free.get(path, 0) - told[t]
+    named, main = under > 0 and 2 * under >= total, ""
+    if not named:
+        total -= under
+        free = {p: c for p, c in free.items() if not _named(p)}
+    free = {p: c for p, c in free.items() if p not in links}
+    while total > 0 and not _named(main):
         below = {p: sum(c for q, c in free.items() if q == p or q.startswith(p + "/")) for p in paths if p.rpartition("/")[0] == main and p != main}
         best = max(sorted(below), key=below.get, default=None)
-        if best is None or below[best] < 0.8 * total or best.rpartition("/")[2].split(".")[0] in ("p", "li", "td", "h1", "h2", "h3"):
+        if best is None or below[best] < 0.8 * total or best.rpartition("/")[2].split(".")[0] in ("p", "li", "td", "h0"):
             break
         main = best
-    return {"main": main, "text": sorted(text), "links": links}
+    return {"main": main, "named": named or under <= 0, "text": sorted(text), "links": links}
 
 
 def _deduce_host(pdf: pd.DataFrame) -> pd.DataFrame:
