@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lattica.functions.ids import seeded
 from lattica.operators import graph
 from lattica.plans import triples as T
-from lattica.plans.templates import TEMPLATES, anchor_pool, golden, golden_sql
+from lattica.plans.templates import MAX_ANSWERS, TEMPLATES, anchor_pool, golden, golden_sql
 
 NAMES = {
     "golden_chain_2hop_film_school": "chain_film_director_school",
@@ -38,8 +38,13 @@ def flat(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.array_join(c, ",") for c in columns})
 
 
-def golden_of(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(golden(TEMPLATES[name], edges_of(spark, sf_dir)), "answers", "bridges")
+def golden_of(name: str, spark: SparkSession, sf_dir: str, max_answers: int | None = MAX_ANSWERS) -> DataFrame:
+    return flat(golden(TEMPLATES[name], edges_of(spark, sf_dir), max_answers), "answers", "bridges")
+
+
+def uncapped(sql: str) -> str:
+    """The SQL of golden sets of any size."""
+    return sql.replace(f" HAVING count(*) <= {MAX_ANSWERS}", "")
 
 
 def anchor_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +141,7 @@ def common_neighbors(spark, sf_dir):
 
 QUERIES = {
     **{q: partial(golden_of, t) for q, t in NAMES.items()},
+    **{f"{q}_uncapped": partial(golden_of, t, max_answers=None) for q, t in NAMES.items()},
     "anchor_pool_by_template": anchor_pools,
     "entity_degrees": entity_degrees,
     "get_entity_card": get_entity_card,
@@ -177,3 +183,4 @@ SELECT 'linked' AS kind, count(*) AS n, min(a) AS first FROM x WHERE e UNION ALL
 WITH {T.TRIPLE_CTE} SELECT dst AS qid FROM (SELECT dst FROM triple WHERE src = 'Q2000000003' UNION SELECT src FROM triple WHERE dst = 'Q2000000003')
 INTERSECT (SELECT dst FROM triple WHERE src = 'Q8000000003' UNION SELECT src FROM triple WHERE dst = 'Q8000000003')""",
 }
+ORACLES |= {f"{q}_uncapped": uncapped(ORACLES[q]) for q in NAMES}

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.catalogue.graphs import edges_of
+from lattica.catalogue.graphs import edges_of, uncapped
 from lattica.catalogue.vectors import base, queries
 from lattica.functions import parsing
 from lattica.functions.ranking import RewardConfig, outcome, reward
 from lattica.operators import evaluation, vectors
-from lattica.plans.templates import TEMPLATES, golden, golden_sql
+from lattica.plans.templates import MAX_ANSWERS, TEMPLATES, golden, golden_sql
 from lattica.plans.triples import TRIPLE_CTE
 
 USED = ("chain_person_company_founder", "star_school_occupation", "intersection_founder_school_owner")
 JUNK = ("Q1", "Q2", "Q3")
 
 
-def questions(spark, sf_dir) -> DataFrame:
+def questions(spark, sf_dir, max_answers: int | None = MAX_ANSWERS) -> DataFrame:
     """id, source, answers, bridges of three templates' golden sets."""
-    parts = [golden(TEMPLATES[t], edges_of(spark, sf_dir)).select("id", F.lit(TEMPLATES[t].kind).alias("source"), "answers", "bridges", "difficulty") for t in USED]
+    parts = [golden(TEMPLATES[t], edges_of(spark, sf_dir), max_answers).select("id", F.lit(TEMPLATES[t].kind).alias("source"), "answers", "bridges", "difficulty") for t in USED]
     return reduce(DataFrame.union, parts)
 
 
@@ -32,8 +32,8 @@ def predictions(golden_sets: DataFrame) -> DataFrame:
     return golden_sets.select("id", ordered.alias("predicted"))
 
 
-def scored(spark, sf_dir):
-    q = questions(spark, sf_dir)
+def scored(spark, sf_dir, max_answers=MAX_ANSWERS):
+    q = questions(spark, sf_dir, max_answers)
     return evaluation.score_questions(q, predictions(q))
 
 
@@ -41,17 +41,17 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def per_question(spark, sf_dir):
-    return rounded(scored(spark, sf_dir), "ndcg", "recall", "f1")
+def per_question(spark, sf_dir, max_answers=MAX_ANSWERS):
+    return rounded(scored(spark, sf_dir, max_answers), "ndcg", "recall", "f1")
 
 
-def report(spark, sf_dir):
-    return rounded(evaluation.report(scored(spark, sf_dir)), "mean_ndcg", "mean_recall", "mean_f1")
+def report(spark, sf_dir, max_answers=MAX_ANSWERS):
+    return rounded(evaluation.report(scored(spark, sf_dir, max_answers)), "mean_ndcg", "mean_recall", "mean_f1")
 
 
-def reward_breakdown(spark, sf_dir):
+def reward_breakdown(spark, sf_dir, max_answers=MAX_ANSWERS):
     """Rewards with the ground truth given as JSON text and a length penalty."""
-    q = questions(spark, sf_dir)
+    q = questions(spark, sf_dir, max_answers)
     truth = F.to_json(F.struct(F.col("answers").alias("answer_qids"), F.col("bridges").alias("bridge_qids")))
     rows = q.join(predictions(q), "id").withColumn("truth", parsing.ground_truth(truth)).withColumn("tokens", 3000 + 100 * F.size("answers"))
     empty = F.when(F.startswith("id", F.lit("kg-0")), F.array().cast("array<string>")).otherwise(F.col("predicted"))
@@ -88,11 +88,13 @@ s AS (SELECT n.id, n.source, n.na, count(*) AS n_predicted,
   sum(CASE WHEN i > 50 THEN 0.0 WHEN ina THEN 2.0 WHEN inb THEN 1.0 ELSE 0.0 END / log2(i + 1.0)) / max(ideal.best) AS ndcg, count(*) FILTER (WHERE ina AND i <= 50) / n.na AS recall,
   2.0 * count(*) FILTER (WHERE ina) / (count(*) + n.na) AS f1, count(*) FILTER (WHERE i <= 50 AND NOT ina AND NOT inb) AS junk, least(50, count(*)) AS n_entities, count(*) > 50 AS truncated
   FROM n JOIN h ON h.id = n.id JOIN ideal ON ideal.id = n.id GROUP BY n.id, n.source, n.na)"""
+SIZED = {"ndcg_recall_f1_per_question": per_question, "eval_report_by_source": report, "reward_breakdown": reward_breakdown}
 QUERIES = {
     "ndcg_recall_f1_per_question": per_question,
     "eval_report_by_source": report,
     "reward_breakdown": reward_breakdown,
     "golden_pool": golden_pool,
+    **{f"{q}_uncapped": partial(f, max_answers=None) for q, f in SIZED.items()},
     "random_policy": random_policy,
     "vector_policy": vector_policy,
 }
@@ -114,3 +116,4 @@ SELECT g.id, coalesce(l.predicted, '') AS predicted FROM g LEFT JOIN l ON l.b =
 WITH s AS (SELECT q.vec_id AS q, v.vec_id AS id, list_inner_product([CAST(x AS DOUBLE) FOR x IN q.embedding], [CAST(x AS DOUBLE) FOR x IN v.embedding]) / sqrt(list_inner_product([CAST(x AS DOUBLE) FOR x IN q.embedding], [CAST(x AS DOUBLE) FOR x IN q.embedding]) * list_inner_product([CAST(x AS DOUBLE) FOR x IN v.embedding], [CAST(x AS DOUBLE) FOR x IN v.embedding])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
 r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS k FROM s) SELECT q AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) AS predicted FROM r WHERE k <= 5 GROUP BY q""",
 }
+ORACLES |= {f"{q}_uncapped": uncapped(ORACLES[q]) for q in SIZED}

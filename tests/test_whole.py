@@ -43,3 +43,20 @@ def test_every_title_is_asked(spark, sf_dir):
     assert set(got["title"]) >= {t for (t,) in c.execute("select p_name from part union select p_brand from part").fetchall()}
     got = same(spark, sf_dir, "title_list_to_ids_all")
     assert len(got) == c.execute("select count(*) from part").fetchone()[0]
+
+
+@pytest.mark.parametrize("name", ["golden_star_costars", "golden_chain_4hop_same_school", "eval_report_by_source", "reward_breakdown"])
+def test_golden_sets_of_any_size(spark, sf_dir, name):
+    same(spark, sf_dir, f"{name}_uncapped")
+
+
+def test_large_sets_stay(spark):
+    from pyspark.sql import functions as F
+
+    from lattica.plans.templates import TEMPLATES, golden
+
+    t = TEMPLATES["chain_film_director_school"]
+    films = spark.range(40).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("src"), F.lit("d").alias("dst"))
+    edges = {"P57": films, "P69": spark.createDataFrame([("d", "s")], "src string, dst string")}.get
+    assert golden(t, edges).count() == 0
+    assert golden(t, edges, None).count() == 1
