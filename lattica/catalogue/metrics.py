@@ -71,6 +71,12 @@ def random_policy(spark, sf_dir):
     return got.select("id", F.array_join("predicted", ",").alias("predicted"))
 
 
+def random_own(spark, sf_dir):
+    """Five ids of the whole pool for each question, its own."""
+    got = evaluation.random_policy(questions(spark, sf_dir), 5, seed=1)
+    return got.select("id", F.array_join("predicted", ",").alias("predicted"))
+
+
 def vector_policy(spark, sf_dir):
     got = evaluation.vector_policy(vectors.top_k(queries(spark, sf_dir), base(spark, sf_dir), 5))
     return got.select("id", F.array_join("predicted", ",").alias("predicted"))
@@ -96,6 +102,7 @@ QUERIES = {
     "golden_pool": golden_pool,
     **{f"{q}_uncapped": partial(f, max_answers=None) for q, f in SIZED.items()},
     "random_policy": random_policy,
+    "random_policy_own": random_own,
     "vector_policy": vector_policy,
 }
 ORACLES = {
@@ -117,3 +124,9 @@ WITH s AS (SELECT q.vec_id AS q, v.vec_id AS id, list_inner_product([CAST(x AS D
 r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS k FROM s) SELECT q AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) AS predicted FROM r WHERE k <= 5 GROUP BY q""",
 }
 ORACLES |= {f"{q}_uncapped": uncapped(ORACLES[q]) for q in SIZED}
+ORACLES["random_policy_own"] = f"""
+WITH {_G}, pool AS (SELECT DISTINCT unnest(string_split(answers || CASE WHEN bridges = '' THEN '' ELSE ',' || bridges END, ',')) AS qid FROM g),
+p AS (SELECT qid, row_number() OVER (ORDER BY sha256('1|' || qid), qid) - 1 AS place FROM pool), c AS (SELECT count(*) AS size FROM pool), t AS (SELECT size, list_filter(range(1, least(size, 1024) + 1), lambda b: gcd(b, size) = 1) AS strides FROM c),
+h AS (SELECT id, size, CAST('0x' || substr(sha256('1|' || id), 1, 12) AS BIGINT) % size AS first, strides[CAST('0x' || substr(sha256('1|' || id), 13, 12) AS BIGINT) % len(strides) + 1] AS stride FROM g, t),
+d AS (SELECT h.id, i.n, (h.first + i.n * h.stride) % h.size AS place FROM h JOIN range(5) i(n) ON i.n < h.size)
+SELECT d.id, string_agg(p.qid, ',' ORDER BY d.n) AS predicted FROM d JOIN p ON p.place = d.place GROUP BY d.id"""

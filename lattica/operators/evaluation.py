@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.functions.ids import seeded
 from lattica.functions.ranking import f1_set, ndcg_two_tier, recall_at_k
+from lattica.operators.splits import indexed
 
 
 def score_questions(golden: DataFrame, predictions: DataFrame, k: int = 50) -> DataFrame:
@@ -30,8 +33,15 @@ def golden_pool(golden: DataFrame) -> DataFrame:
     return golden.select(F.explode(F.concat("answers", "bridges")).alias("qid")).distinct()
 
 
-def random_policy(golden: DataFrame, n: int = 50, seed: int = 0, buckets: int = 64) -> DataFrame:
-    """(id, predicted): n ids of the pool for each question, from the pool's bucket that the question hashes to."""
+def random_policy(golden: DataFrame, n: int = 50, seed: int = 0, buckets: int | None = None) -> DataFrame:
+    """(id, predicted): min(n, pool) ids of the whole pool for each question, each question its own.
+
+    The pool is put into a seeded order; a question begins at a place and goes on in strides that its hash gives, round
+    the pool. Strides share no divisor with the pool's size, so no id comes twice. With ``buckets``, questions share lists
+    instead: the first n ids of the pool's bucket that the question hashes to, fewer where the bucket has fewer.
+    """
+    if buckets is None:
+        return _own_draws(golden, n, seed)
     bucket = lambda c: F.conv(F.substring(seeded(seed, c), 1, 6), 16, 10).cast("int") % buckets
     pool = golden_pool(golden).withColumn("b", bucket(F.col("qid")))
     w = Window.partitionBy("b").orderBy(seeded(seed, F.col("qid")))
@@ -40,6 +50,20 @@ def random_policy(golden: DataFrame, n: int = 50, seed: int = 0, buckets: int =
     return asked.select("id", F.coalesce(F.transform("x", lambda v: v["qid"]), F.array().cast("array<string>")).alias("predicted"))
 
 
+def _own_draws(golden: DataFrame, n: int, seed: int) -> DataFrame:
+    pool = indexed(golden_pool(golden), seeded(seed, F.col("qid")), F.col("qid"))
+    size = pool.count()
+    if not size or n < 1:
+        return golden.select("id", F.array().cast("array<string>").alias("predicted"))
+    strides = F.array(*(F.lit(b) for b in range(1, min(size, 1024) + 1) if math.gcd(b, size) == 1))
+    h = seeded(seed, F.col("id"))
+    part = lambda at: F.conv(F.substring(h, at, 12), 16, 10).cast("long")
+    stride = F.element_at(strides, (part(13) % F.size(strides) + 1).cast("int")).cast("long")
+    asked = golden.select("id", (part(1) % size).alias("first"), stride.alias("stride")).select("id", "first", "stride", F.explode(F.sequence(F.lit(0), F.lit(min(n, size) - 1))).alias("n"))
+    drawn = asked.select("id", "n", ((F.col("first") + F.col("n") * F.col("stride")) % size).alias("place")).join(pool.select("place", "qid"), "place")
+    return drawn.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "qid"))).alias("x")).select("id", F.transform("x", lambda v: v["qid"]).alias("predicted"))
+
+
 def vector_policy(hits: DataFrame) -> DataFrame:
     """(id, predicted) from ranked hits (q, id, rank)."""
     ranked = hits.groupBy(F.col("q").alias("q")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("hit")))).alias("x"))

@@ -60,3 +60,16 @@ def test_large_sets_stay(spark):
     edges = {"P57": films, "P69": spark.createDataFrame([("d", "s")], "src string, dst string")}.get
     assert golden(t, edges).count() == 0
     assert golden(t, edges, None).count() == 1
+
+
+def test_random_policy_draws_from_the_whole_pool(spark, sf_dir):
+    from lattica.operators.evaluation import random_policy
+
+    got = same(spark, sf_dir, "random_policy_own")
+    assert got["predicted"].nunique() > 4
+    rows = [(f"q{i}", [f"Q{2 * i}"], [f"Q{2 * i + 1}"]) for i in range(10)]
+    golden = spark.createDataFrame(rows, "id string, answers array<string>, bridges array<string>")
+    for n, want in ((7, 7), (50, 20)):
+        lists = [r.predicted for r in random_policy(golden, n).collect()]
+        assert len(lists) == 10 and all(len(x) == len(set(x)) == want for x in lists)
+    assert len({tuple(x) for x in lists}) > 5
