@@ -4,8 +4,11 @@ Of each language, a bounded sample of labelled text (of documents whose crc32(do
 suffix automaton. A text is then parsed with each automaton into the longest phrases that occur in the sample: follow
 transitions while there are any, then begin a phrase anew. The language that needs the fewest phrases per symbol wins.
 
-Texts are normalised to symbols: letters in lower case by a table of the SYMBOLS - 3 commonest ones of the samples, other
-letters as one symbol, and each run of anything else as one space. The automata are dense tables; thousands of
+The sample prefers texts of LONG_TEXT code points and more, but takes shorter ones where a language has too few; every
+language gets its first document before any gets its second, up to SAMPLE_DOCS * MAX_LANGS documents.
+
+Texts are normalised to symbols: letters in lower case, by a table of the SYMBOLS - 2 commonest ones of each language's own sample,
+its other letters as one symbol, letters that its sample lacks as none, and each run of anything else as one space. The automata are dense tables; thousands of
 pieces of PIECE symbols step through them together, for all languages, so a step is a few numpy operations.
 A phrase ends where a piece ends; that adds at most one phrase in PIECE symbols to every language alike.
 
@@ -17,7 +20,6 @@ answers; lang is read from learning rows only, and source and other columns neve
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +36,7 @@ from lattica.session import ship, table
 #: The sample: documents a language, code points taken of each, symbols a language and of all languages (which bounds the
 #: tables at about 100 MB); languages at most.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, SAMPLE_ALL, MAX_LANGS = 48, 1500, 20_000, 400_000, 400
+LONG_TEXT = 80
 SYMBOLS, PIECE = 64, 512
 SPACE, OTHER = 0, SYMBOLS - 1
 _POINTS = 0x10000
@@ -58,21 +61,34 @@ def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Symbols:
+    """Letters as 1, 2, ... in the order of an alphabet; the symbol after the last is any other letter."""
+
     def __init__(self, alphabet: list[int]):
         self.alphabet = alphabet
+        self.other = len(alphabet) + 1
         self.low = None
 
+    def map(self, letters: list[int], seen: list[int], far: bool) -> np.ndarray:
+        """Symbols -> those of a language: its letters as 1, 2, ..., its other letters as OTHER, and what its sample lacks as OTHER + 1 (OTHER if that is free)."""
+        at = lambda x: np.searchsorted(self.alphabet, x) + 1
+        out = np.full(self.other + 1, OTHER + 1 if far or len(seen) > len(letters) else OTHER, np.uint8)
+        out[SPACE] = SPACE
+        out[at(seen)] = OTHER
+        out[at(letters)] = np.arange(1, len(letters) + 1)
+        out[self.other] = OTHER if far else out[self.other]
+        return out
+
     def of(self, points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols, the offsets of texts in them, and whether each text has a letter."""
         if self.low is None:
             low = letter_table()
-            number = np.full(_POINTS + 1, OTHER, np.uint8)
+            number = np.full(_POINTS + 1, self.other, np.int32)
             number[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
-            self.low = np.where(low > 0, number[np.minimum(low, _POINTS)], SPACE).astype(np.uint8)
+            self.low = np.where(low > 0, number[np.minimum(low, _POINTS)], SPACE).astype(np.int32)
         s = self.low[np.minimum(points, _POINTS)]
         far = np.flatnonzero(points >= _POINTS)
         if len(far):
-            s[far] = [OTHER if unicodedata.category(chr(p))[0] == "L" else SPACE for p in points[far]]
+            s[far] = [self.other if unicodedata.category(chr(p))[0] == "L" else SPACE for p in points[far]]
         has = np.diff(np.concatenate([[0], np.cumsum(s != SPACE)])[off]) > 0
         keep = np.ones(len(s), bool)
         if len(s):
@@ -117,10 +133,11 @@ def suffix_automaton(text: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
 
 
 class Parser:
-    """The automata of some languages."""
+    """The automata of some languages, and what each makes of the symbols."""
 
-    def __init__(self, langs: list[str], symbols: Symbols, automata: list[np.ndarray]):
+    def __init__(self, langs: list[str], symbols: Symbols, automata: list[np.ndarray], maps: list[np.ndarray] | None = None):
         self.langs, self.symbols, self.automata = langs, symbols, automata
+        self.maps = maps
 
     def phrases(self, syms: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Phrases that each text needs with each language's automaton, [language, text]."""
@@ -135,20 +152,29 @@ class Parser:
         begin, size, doc = begin[order], size[order], doc[order]
         live = np.searchsorted(-size, -np.arange(PIECE), "left")  # pieces longer than k
         out = np.zeros((len(self.langs), len(n)))
-        padded = np.append(syms, np.zeros(PIECE, np.uint8))
+        padded = np.append(syms, np.zeros(PIECE, syms.dtype))
         grid = np.ascontiguousarray(padded[begin[:, None] + np.arange(PIECE)].T).astype(np.int64) if total else np.zeros((PIECE, 0), np.int64)
         for i, t in enumerate(self.automata):
             # State 0 has no transitions: a piece begins there, and goes there on a symbol that the sample lacks.
             flat, root = t.ravel(), t[1].astype(np.int64)
+            own = self.maps[i].astype(np.int64) if self.maps is not None else None
+            lacks = own is not None and int(own.max()) > OTHER
             state, count = np.zeros(total, np.int64), np.zeros(total)
             for k in range(PIECE):
                 m = live[k]
                 if not m:
                     break
-                c = grid[k, :m]
+                c = grid[k, :m] if own is None else own[grid[k, :m]]
+                if lacks:
+                    gone = c > OTHER
+                    c[gone] = OTHER
                 to = flat[(state[:m] << 6) + c].astype(np.int64)
+                if lacks:
+                    to[gone] = 0
                 stop = np.flatnonzero(to == 0)
                 to[stop] = root[c[stop]]
+                if lacks:
+                    to[gone] = 0
                 state[:m] = to
                 count[stop] += 1
             out[i] = np.bincount(doc, count, minlength=len(n))
@@ -157,27 +183,30 @@ class Parser:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Parser:
     """Fits the automata; the sample is bounded by the constants above."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= 80) & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("r", "doc_id"))
-    few = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("r")).withColumn("k", rank).where(F.col("k") <= sample_docs).limit(sample_docs * MAX_LANGS)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("short", "r", "doc_id"))
+    few = known.select("doc_id", "lang", (F.length("text") < LONG_TEXT).alias("short"), F.xxhash64("doc_id").alias("r")).withColumn("k", rank).where(F.col("k") <= sample_docs).orderBy("k", "lang", "doc_id").limit(sample_docs * MAX_LANGS)
     ids = [r["doc_id"] for r in few.select("doc_id").collect()]  # at most sample_docs * MAX_LANGS
     rows = known.where(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "doc_id").collect() if ids else []
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
-    low, seen = letter_table(), Counter()
+    low = letter_table()
     points = lambda s: np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32)
-    for t in texts.values():
-        p = low[np.minimum(points("\n".join(t)), _POINTS)]
-        seen.update(dict(zip(*(x.tolist() for x in np.unique(p[p > 1], return_counts=True)))))
-    symbols = Symbols(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]))
     langs = sorted(texts)
-    automata = []
+    seen = []
     for lang in langs:
+        p = low[np.minimum(points("\n".join(texts[lang])), _POINTS)]
+        n = zip(*(x.tolist() for x in np.unique(p[p > 1], return_counts=True)))
+        seen.append(([c for c, _ in sorted(n, key=lambda x: (-x[1], x[0]))], bool((p == 1).any())))
+    symbols = Symbols(sorted({c for x, _ in seen for c in x}))
+    maps = [symbols.map(sorted(x[: SYMBOLS - 2]), x, far) for x, far in seen]
+    automata = []
+    for lang, own in zip(langs, maps):
         p = points("\n".join(texts[lang]))
-        automata.append(suffix_automaton(symbols.of(p, np.array([0, len(p)]))[0][: min(SAMPLE_SYMBOLS, SAMPLE_ALL // len(langs))]))
+        automata.append(suffix_automaton(own[symbols.of(p, np.array([0, len(p)]))[0][: min(SAMPLE_SYMBOLS, SAMPLE_ALL // len(langs))]]))
     symbols.low = None
-    return Parser(langs, symbols, automata)
+    return Parser(langs, symbols, automata, maps)
 
 
 def _predict(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
