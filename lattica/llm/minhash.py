@@ -228,14 +228,23 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLO
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, with one document of each class: its least doc_id; of rows that repeat a doc_id, one.
+    """The rows of docs, all columns, with one document of each class: its least doc_id; of equal rows of a doc_id and text, one.
 
-    Rows with a null doc_id stay.
+    Where a doc_id comes with several texts, each is a document of its own, by a key of doc_id and text. Rows with a null
+    doc_id stay.
     """
-    kept = near_classes(docs.select("doc_id", "text"), threshold).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return named.withColumn("__nth", nth).where("__nth = 1").drop("__nth").unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    texts = F.struct(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    if named.groupBy("doc_id").agg(texts.alias("t")).where("t.lo <> t.hi").isEmpty():
+        key = F.col("doc_id")
+    else:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        place = F.concat("doc_id", F.lit("\0")) if kind == "string" else F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+        key = F.concat(place, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    kept = near_classes(named.select(key.alias("doc_id"), "text"), threshold).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    keyed = named.withColumn("__key", key).join(kept, F.col("__key") == F.col("__kept"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text")))
+    return keyed.withColumn("__nth", nth).where("__nth = 1").drop("__nth", "__key").unionByName(docs.where("doc_id is null"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
