@@ -13,8 +13,9 @@ From buckets to classes, without all pairs of a group and without caps:
 2. In each bucket every node is compared with the bucket's leader; the distinct pairs are verified by exact J_P >=
    THRESHOLD on the whole texts, and the links' connected components are found.
 3. What is left are pairs of one bucket in different components. Buckets that hold several components are compared in
-   full, in units of two blocks of BLOCK nodes; an upper bound on J_P by matrix product prunes, and a unit returns only
-   links that join components, so rows stay linear in nodes. The new links join the components.
+   full, in units of two blocks of about BLOCK nodes or BLOCK_BYTES of text; two blocks of a bucket's largest component
+   don't meet, and a pair that shares several such buckets is compared in the first only. A matrix product gives J_P exactly where no shingle repeats in a text, else an upper bound
+   that prunes. A unit returns only links that join components, so rows stay linear in nodes; they join the components.
 
 Two texts that share a bucket and are linked are thus always in one class. 1 - J_P is only ever replaced by
 its exact value; nothing is estimated after the banding.
@@ -41,7 +42,8 @@ from lattica.session import ensure_checkpoint_dir, ship, table
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 M = BANDS * ROWS
-BLOCK = 256
+#: Nodes and bytes of text of a block (a longer text is a block of its own share), and shingles in a step of the matrix product.
+BLOCK, BLOCK_BYTES, WIDTH = 256, 1 << 20, 4096
 
 
 def weighted(docs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,10 +140,41 @@ def _verify(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in ("a", "b")], names=["a", "b"])
 
 
-def spanning_links(nodes: list, comps: list, sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple]:
-    """Links of at least the threshold that join components, as few as it takes; pairs of one component aren't compared."""
+def spanning_links(nodes: list, comps: list, sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, mask: np.ndarray | None = None) -> list[tuple]:
+    """Links of at least the threshold that join components, as few as it takes; pairs of one component, or outside the mask, aren't compared.
+
+    Texts without a repeated shingle are compared exactly by one matrix product of all; for the others the product of masses
+    on shared shingles bounds J_P from above, and what the bound leaves is compared one by one.
+    """
     n = len(nodes)
-    root = list(range(n))
+    comp = np.unique(np.array([str(c) for c in comps]), return_inverse=True)[1]
+    h = np.concatenate([s for s, _ in sets])
+    size = np.array([len(s) for s, _ in sets])
+    plain = np.array([bool((w == 1).all()) for _, w in sets])
+    who = np.repeat(np.arange(n), size)
+    mass = np.concatenate([w / w.sum() for _, w in sets]).astype(np.float32)
+    _, col, times = np.unique(h, return_inverse=True, return_counts=True)
+    on = times[col] > 1
+    who, mass, col = who[on], mass[on], np.unique(col[on], return_inverse=True)[1]
+    order = np.argsort(col, kind="stable")
+    who, mass, col = who[order], mass[order], col[order]
+    common, bound = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for start in range(0, int(col[-1]) + 1 if len(col) else 0, WIDTH):
+        i, j = np.searchsorted(col, (start, start + WIDTH))
+        has = np.zeros((n, WIDTH), np.float32)
+        has[who[i:j], col[i:j] - start] = 1
+        common += has @ has.T
+        if not plain.all():
+            has2 = np.zeros((n, WIDTH), np.float32)
+            has2[who[i:j], col[i:j] - start] = mass[i:j]
+            bound += has2 @ has.T
+    exact = common.astype(np.float64)
+    both = plain[:, None] & plain[None, :]
+    sure = both & (exact >= threshold * (size[:, None] + size[None, :] - exact))
+    todo = np.triu(sure | (~both & (np.minimum(bound, bound.T) >= threshold - 1e-4)), 1) & (comp[:, None] != comp[None, :])
+    if mask is not None:
+        todo &= mask
+    root = list(range(int(comp.max()) + 1 if n else 0))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -149,38 +182,37 @@ def spanning_links(nodes: list, comps: list, sets: list[tuple[np.ndarray, np.nda
             i = root[i]
         return i
 
-    first: dict = {}
-    for i, c in enumerate(comps):
-        root[find(i)] = find(first.setdefault(c, i))
-    # Mass of each text's distribution on the shingles it shares with another: an upper bound on J_P.
-    h = np.concatenate([s for s, _ in sets])
-    who = np.repeat(np.arange(n), [len(s) for s, _ in sets])
-    mass = np.concatenate([w / w.sum() for _, w in sets])
-    _, col, times = np.unique(h, return_inverse=True, return_counts=True)
-    on = times[col] > 1
-    who, mass, col = who[on], mass[on].astype(np.float32), np.unique(col[on], return_inverse=True)[1]
-    bound = np.zeros((n, n), np.float32)
-    order = np.argsort(col, kind="stable")
-    who, mass, col = who[order], mass[order], col[order]
-    width = 4096
-    for start in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        i, j = np.searchsorted(col, (start, start + width))
-        p = np.zeros((n, width), np.float32)
-        p[who[i:j], col[i:j] - start] = mass[i:j]
-        bound += p @ (p > 0).astype(np.float32).T
     links = []
-    comp = np.unique(np.array([find(i) for i in range(n)]), return_inverse=True)[1]
-    for i, j in np.argwhere(np.triu((np.minimum(bound, bound.T) >= threshold - 1e-4) & (comp[:, None] != comp[None, :]), 1)):
-        a, b = find(int(i)), find(int(j))
-        if a != b and probability_jaccard(*sets[i], *sets[j]) >= threshold:
-            root[a] = b
-            links.append((nodes[i], nodes[j]))
+    for known in (True, False):  # pairs that the product has decided come first
+        for i, j in np.argwhere(todo & (both == known)).tolist():
+            a, b = find(comp[i]), find(comp[j])
+            if a != b and (known or probability_jaccard(*sets[i], *sets[j]) >= threshold):
+                root[a] = b
+                links.append((nodes[i], nodes[j]))
     return links
 
 
+def _first_met(band: int, meets: list[list[dict]]) -> np.ndarray:
+    """Whether this band is the first in which two nodes share a bucket that is compared in full, [node, node]."""
+    n = len(meets)
+    at = np.full((n, BANDS), -1, np.int64)
+    there = np.zeros((n, BANDS), bool)
+    for i, m in enumerate(meets):
+        for x in m:
+            at[i, x["band"]], there[i, x["band"]] = x["bh"], True
+    out = np.ones((n, n), bool)
+    for k in range(band):
+        out &= ~((at[:, k][:, None] == at[:, k][None, :]) & there[:, k][:, None] & there[:, k][None, :])
+    return out
+
+
 def _unit(threshold: float, kind: pa.DataType):
     def run(t: pa.Table) -> pa.Table:
-        links = spanning_links(t.column("n").to_pylist(), t.column("c").to_pylist(), _sets(t.column("text")), threshold)
+        mask = _first_met(t.column("band")[0].as_py(), t.column("meets").to_pylist())
+        own, i, j = t.column("own").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        if i != j:  # pairs within a block belong to its own unit
+            mask &= own[:, None] != own[None, :]
+        links = spanning_links(t.column("n").to_pylist(), t.column("c").to_pylist(), _sets(t.column("text")), threshold, mask) if mask.any() else []
         return pa.table({"a": pa.array([x for x, _ in links], kind), "b": pa.array([y for _, y in links], kind)})
 
     return run
@@ -211,16 +243,32 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLO
     labels = components(links)
     # Buckets that still hold several components: their other pairs.
     comp = labels.select(F.col("n").alias("n2"), "c")
-    placed = members.where("size > 2").join(comp, F.col("n") == F.col("n2"), "left").select("band", "bh", "size", "n", F.coalesce("c", "n").alias("c")).distinct()
+    sized = texts.select(F.col("d").alias("d2"), F.octet_length("text").alias("bytes")).groupBy("d2").agg(F.max("bytes").alias("bytes"))
+    placed = members.where("size > 2").join(comp, F.col("n") == F.col("n2"), "left").join(sized, F.col("n") == F.col("d2")).select("band", "bh", "n", F.coalesce("c", "n").alias("c"), "bytes").distinct()
     placed = placed.checkpoint()
-    mixed = placed.groupBy("band", "bh").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    mixed = mixed.select(F.col("band").alias("band2"), F.col("bh").alias("bh2"), F.ceil(F.col("m") / block).cast("int").alias("blocks")).checkpoint()
-    own = F.pmod(F.xxhash64("n", "band"), F.col("blocks")).cast("int")
-    units = placed.join(mixed, (F.col("band") == F.col("band2")) & (F.col("bh") == F.col("bh2"))).withColumn("own", own)
-    units = units.select("n", "c", "band", "bh", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("n", "c", "band", "bh", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    more = units.join(texts.select(F.col("d").alias("n2"), "text"), F.col("n") == F.col("n2")).select("n", "c", "band", "bh", "i", "j", "text").groupBy("band", "bh", "i", "j").applyInArrow(_unit(threshold, arrow), f"a {kind}, b {kind}").checkpoint()
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    each = placed.groupBy("band", "bh", "c").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
+    mixed = each.groupBy("band", "bh").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("bytes").alias("bytes"), F.max(F.struct("m", "c", "bytes")).alias("big")).where("parts > 1")
+    # The nodes of the largest component make blocks of their own, which meet the other nodes' blocks only.
+    in_blocks = lambda m, size: F.ceil(F.greatest(m / block, size / BLOCK_BYTES)).cast("int")
+    whole = in_blocks(F.col("m"), F.col("bytes")) == 1
+    rest = F.when(whole, 1).otherwise(in_blocks(F.col("m") - F.col("big.m"), F.col("bytes") - F.col("big.bytes")))
+    mixed = mixed.select(F.col("band").alias("band2"), F.col("bh").alias("bh2"), F.col("big.c").alias("big"), rest.alias("few"), F.when(whole, 0).otherwise(in_blocks(F.col("big.m"), F.col("big.bytes"))).alias("many")).checkpoint()
+    there = placed.join(mixed, (F.col("band") == F.col("band2")) & (F.col("bh") == F.col("bh2"))).select("n", "c", "band", "bh", "big", "few", "many").checkpoint()
+    meets = there.groupBy(F.col("n").alias("n3")).agg(F.collect_list(F.struct("band", "bh")).alias("meets"))  # BANDS entries at most
+    lot = F.xxhash64("n", "band")
+    own = F.when((F.col("c") == F.col("big")) & (F.col("many") > 0), F.col("few") + F.pmod(lot, F.greatest("many", F.lit(1)))).otherwise(F.pmod(lot, F.col("few"))).cast("int")
+    last = F.when(F.col("own") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1
+    units = there.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    units = units.select("n", "c", "band", "bh", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    told = texts.join(meets, F.col("d") == F.col("n3")).select("n3", "meets", "text")
+    units = units.join(told, F.col("n") == F.col("n3")).select("n", "c", "band", "bh", "own", "i", "j", "meets", "text")
+    more = units.groupBy("band", "bh", "i", "j").applyInArrow(_unit(threshold, arrow), f"a {kind}, b {kind}").checkpoint()
+    if not more.isEmpty():  # they join components: labels of labels
+        of = lambda k: comp.select(F.col("n2").alias(f"{k}n"), F.col("c").alias(f"{k}c"))
+        joined = more.join(of("a"), F.col("a") == F.col("an"), "left").join(of("b"), F.col("b") == F.col("bn"), "left")
+        over = components(joined.select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b")))
+        own = labels.unionByName(more.select(F.col("a").alias("n")).union(more.select("b")).distinct().join(comp, F.col("n") == F.col("n2"), "left_anti").withColumn("c", F.col("n")))
+        labels = own.join(over.select(F.col("n").alias("n4"), F.col("c").alias("c4")), F.col("c") == F.col("n4"), "left").select("n", F.coalesce("c4", "c").alias("c"))
     classes = copies.join(labels.select(F.col("n").alias("n2"), "c"), F.col("n") == F.col("n2"), "left").select(F.col("e1").alias("x1"), F.col("e2").alias("x2"), F.coalesce("c", "n").alias("class")).checkpoint()
     out = marks.join(classes, F.col("some") & (F.col("e1") == F.col("x1")) & (F.col("e2") == F.col("x2")), "left")
     class_id = F.when(F.col("d").isNotNull(), F.coalesce("class", "d"))

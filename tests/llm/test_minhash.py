@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattica.llm import minhash as M
@@ -80,6 +81,39 @@ def test_groups_against_all_pairs(spark, block):
     assert got == classes(rows)
 
 
+def test_units_against_all_pairs():
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(400)}" for _ in range(80)]
+    rows = [(i, " ".join(edited(rng, base if i % 3 else base + base[:40], rng.randrange(0, 12)))) for i in range(120)]
+    sets = M._sets(pa.array([t for _, t in rows]))
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in M.spanning_links([i for i, _ in rows], [i // 2 for i, _ in rows], sets, 0.8):
+        assert M.probability_jaccard(*sets[a], *sets[b]) >= 0.8
+        root[find(a)] = find(b)
+    for i, _ in rows:
+        root[find(i)] = find(i // 2 * 2)
+    want = classes(rows)
+    for a in range(120):
+        for b in range(a):
+            assert want[a] != want[b] or find(a) == find(b)
+    met = M._first_met(2, [[{"band": 0, "bh": 5}, {"band": 2, "bh": 9}], [{"band": 0, "bh": 5}, {"band": 2, "bh": 9}], [{"band": 2, "bh": 9}]])
+    assert met[0, 2] and met[1, 2] and not met[0, 1]
+
+
+def test_many_near_copies_are_one_class(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    rows = [(i, " ".join(edited(rng, base, rng.randrange(0, 7)))) for i in range(500)]
+    got = {r.doc_id: r.class_id for r in M.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), block=64).collect()}
+    assert got == classes(rows)
+
+
 def test_odd_rows(odd, none):
     got = M.near_classes(odd).collect()
     assert len(got) == odd.count()
