@@ -1,21 +1,22 @@
 """HTML main text by equivalence-class template deduction across the pages of a host.
 
 Each page is read into elements and text blocks with their paths (tag and class names from the root). Over the pages of
-a host, every path and every block of text outside an article (but in ``main``, too) is a token with an occurrence vector: how often it
+a host, every path and every block of text (as a hash of path and text) is a token with an occurrence vector: how often it
 comes in each page. Tokens of equal vectors form an equivalence class (vectors are compared by a hash that adds up over
 pages with map-side combine). A class is valid if it has at least two tokens and is found in most pages; classes nest
 where the paths of one extend those of another. The nested valid classes are the host's template:
 
-* its text tokens are fixed text (menus, notices, imprints, boxes in ``main``) wherever they come outside an article;
-* its slots say whether the names hold: what is below ``article`` or ``main`` must be at least half of the host's text
-  without links and fixed text. If it is less (teasers, cards), that text counts as no slot at all;
-* its paths with their slots give the host's main container: the template path that holds most of the slot text, the
-  deepest or, where the names hold, the first that has such a name; and the slots that are mostly links.
+* its paths with their slots give the main container: from the root down, the template path that holds most of the slot
+  text outside links. ``article`` and ``main`` are a prior: such a path needs HALF of it, any other MOST of it, and the way
+  down ends there. If what is below such names is less than half (teasers, cards), it counts as no slot at all;
+* its text tokens are fixed text (menus, notices, imprints). Below the container only those are that come just as often as
+  the container itself, in FIXED_PAGES pages or more, and only while they are the lesser part of the container's text (else the pages are
+  copies of one another);
+* slots that are mostly links are menus.
 
-A page's main text is then what its slots below the main container hold, without elements that are by name or class
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments. Text inside an article is never dropped
-for being repeated or linked. Where the names hold, it is what lies below them. A page without the container goes by names, on
-hosts where the names don't hold only if they have half of that page's text. Hosts of one or two pages have no valid classes and go by names alone.
+A page's main text is then what its slots below the container hold, without elements that are by name or class
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments. Pages without the container, and
+hosts of one or two pages, which have no valid classes, go by names alone.
 
 Templates are one row a host. They are broadcast if they have at most MAX_TEMPLATES rows, which is counted first; else pages
 are joined with them by host, in a join that can be split under skew.
@@ -26,6 +27,7 @@ where HTML says; an unended comment or script runs to the end; repeated rows get
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
@@ -41,8 +43,10 @@ from lattica.session import ensure_checkpoint_dir, ship, table
 
 #: Hosts whose templates are broadcast, and bytes of all templates.
 MAX_TEMPLATES, MAX_TEMPLATE_BYTES = 50_000, 16 << 20
-#: A class is valid from so many pages, and such a share of the host's pages.
-MIN_PAGES, MIN_SHARE = 3, 0.5
+#: A class is valid from so many pages, and such a share of the host's pages; fixed text in the container from so many.
+MIN_PAGES, MIN_SHARE, FIXED_PAGES = 3, 0.5, 4
+#: The share of the slot text that the way down to the container needs: for article or main, and for other paths.
+HALF, MOST = 0.5, 0.8
 MAIN = {"article", "main"}
 DROP = set("nav footer aside form script style noscript template iframe svg math button select textarea dialog menu head title object canvas audio video map".split())
 RAW = set("script style textarea title noscript iframe template".split())
@@ -121,15 +125,22 @@ class Page:
             self._buf, self._links = [], 0
 
 
+def text_token(path: str, text: str) -> str:
+    """The token of a block: its path, and a hash of its text."""
+    return f"{path}\n{hashlib.blake2b(text.encode('utf-8', 'replace'), digest_size=9).hexdigest()}"
+
+
 def main_text(page: Page, template: dict | None) -> str:
     """The main text of a page under its host's template."""
     t = template or {}
-    fixed, links, root, holds = set(t.get("text", ())), set(t.get("links", ())), t.get("main") or "", t.get("named", True)
-    free = [b for b in page.blocks if not b[4] and (b[3] == 2 or b[0] not in links and f"{b[0]}\n{b[1]}" not in fixed)]
+    fixed, links, root = set(t.get("text", ())), set(t.get("links", ())), t.get("main") or ""
+    free = [b for b in page.blocks if not b[4] and not (fixed and text_token(b[0], b[1]) in fixed)]
     inside = [b for b in free if root and (b[0] == root or b[0].startswith(root + "/"))]
-    rows = inside or free
+    if inside:
+        return "\n\n".join(b[1] for b in inside)
+    rows = [b for b in free if b[3] == 2 or b[0] not in links]
     named = [b for b in rows if b[3]]
-    if named and (holds or not inside and 2 * sum(len(b[1]) for b in named) >= sum(len(b[1]) for b in rows)):
+    if named and (t.get("named", True) or 2 * sum(len(b[1]) for b in named) >= sum(len(b[1]) for b in rows)):
         rows = named
     return "\n\n".join(b[1] for b in rows)
 
@@ -162,10 +173,9 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own[path][2] += links
                 own[""][1] += told
                 own[""][2] += told if main else 0
-                if main < 2:
-                    x = own.setdefault(f"{path}\n{text}", [0, 0, 0])
-                    x[0] += 1
-                    x[1] += told
+                x = own.setdefault(text_token(path, text), [0, 0, 0])
+                x[0] += 1
+                x[1] += told
             for token, (n, chars, links) in own.items():
                 x = seen.setdefault((host, token), [0, 0, 0, 0])
                 x[0] += 1
@@ -185,50 +195,67 @@ def _named(path: str) -> bool:
     return any(x[0] in MAIN or "main" in x[1:] for x in (e.split(".") for e in path.split("/")))
 
 
-def deduce(rows: list[tuple[str, int, object, int, int]]) -> dict:
-    """A template from the frequent tokens of a host: (token, pages, vector, characters, link characters)."""
+def valid_classes(rows: list[tuple[str, int, object, int, int]]) -> list[list[tuple]]:
+    """The tokens that share a vector, where there are two at least; those of the most pages first."""
     classes: dict = {}
     for r in rows:
         classes.setdefault((r[1], r[2]), []).append(r)
-    valid = [c for (pages, _), c in sorted(classes.items(), key=lambda x: (-x[0][0], str(x[0][1]))) if len(c) >= 2]
+    return [c for _, c in sorted(classes.items(), key=lambda x: (-x[0][0], str(x[0][1]))) if len(c) >= 2]
+
+
+def deduce(rows: list[tuple[str, int, object, int, int]]) -> dict:
+    """A template from the frequent tokens of a host: (token, pages, vector, characters, link characters)."""
+    valid = valid_classes(rows)
     # Nesting: a class joins the template if each of its tokens lies below a path that is already in it.
     paths, text = {""}, []
     for c in valid:
-        tokens = sorted((r[0] for r in c), key=lambda t: (t.count("/"), t))
+        tokens = sorted((r[0] for r in c), key=lambda t: ("\n" in t, t.count("/"), t))
         inside, new = set(paths), []
         for t in tokens:
             path, _, fixed = t.partition("\n")
-            if (path if fixed else path.rpartition("/")[0]) not in inside:
+            if fixed:  # a block may stand below the path of a block that comes several times
+                if path in inside or path.rpartition("/")[0] in inside:
+                    new.append(t)
+            elif path.rpartition("/")[0] in inside:
+                inside.add(path)
+                new.append(t)
+            else:
                 new = None
                 break
-            if not fixed:
-                inside.add(path)
-            new.append(t)
         if new is not None:
             paths = inside
             text += [t for t in new if "\n" in t]
     slots = {r[0]: (r[3], r[4]) for r in rows if r[0] and "\n" not in r[0]}
     links = sorted(p for p, (chars, inside) in slots.items() if chars and inside > 0.6 * chars and p in paths)
     total, under = next(((r[3], r[4]) for r in rows if not r[0]), (0, 0))
-    free = {p: chars - inside for p, (chars, inside) in slots.items()}
     told = {r[0]: r[3] for r in rows if "\n" in r[0]}
-    for t in text:
+    outside = [t for t in text if not _named(t.partition("\n")[0])]
+    free = {p: chars - inside for p, (chars, inside) in slots.items()}
+    for t in outside:
         path = t.partition("\n")[0]
         total -= told[t]
-        under -= told[t] if _named(path) else 0
         free[path] = free.get(path, 0) - told[t]
     named, main = under > 0 and 2 * under >= total, ""
     if not named:
         total -= under
         free = {p: c for p, c in free.items() if not _named(p)}
-    free = {p: c for p, c in free.items() if p not in links}
+    free = {p: c for p, c in free.items() if p not in links or _named(p)}
     while total > 0 and not _named(main):
         below = {p: sum(c for q, c in free.items() if q == p or q.startswith(p + "/")) for p in paths if p.rpartition("/")[0] == main and p != main}
         best = max(sorted(below), key=below.get, default=None)
-        if best is None or below[best] < 0.8 * total or best.rpartition("/")[2].split(".")[0] in ("p", "li", "td", "h0"):
+        if best is None or below[best] < (HALF if _named(best) else MOST) * total or best.rpartition("/")[2].split(".")[0] in ("p", "li", "td", "h0"):
             break
         main = best
-    return {"main": main, "named": named or under <= 0, "text": sorted(text), "links": links}
+    # Text below the container is fixed only if it comes just as often as the container, and is the lesser part of its text.
+    vector = {r[0]: (r[1], r[2]) for r in rows}
+    inside = [t for t in text if main and (t.partition("\n")[0] + "/").startswith(main + "/")]
+    always = [t for t in inside if vector[t] == vector.get(main) and vector[t][0] >= FIXED_PAGES]
+    if 2 * sum(told[t] for t in always) >= sum(chars for p, (chars, _) in slots.items() if (p + "/").startswith(main + "/")):
+        always = []
+    if not _named(main):  # outside names, what repeats is a menu or a box even where the container isn't told from them
+        always = inside
+    kept = {*inside} - {*always}
+    return {"main": main, "named": named or under <= 0, "text": sorted(t for t in text if t not in kept and (t in always or not _named(t.partition("\n")[0]))), "links": links}
 
 
 def _deduce_host(pdf: pd.DataFrame) -> pd.DataFrame:
