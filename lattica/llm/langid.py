@@ -3,9 +3,14 @@
 Of each language, a bounded sample of labelled text (of documents whose crc32(doc_id as text) mod 4 is not 2) goes into a
 suffix automaton. A text is then parsed with each automaton into the longest phrases that occur in the sample: follow
 transitions while there are any, then begin a phrase anew. The language that needs the fewest phrases per symbol wins.
+As phrases get longer with the logarithm of a sample, counts are normalised by that of each language's own sample.
+
+A text is *foreign* if the language that wins still needs as many phrases as for its own sample with the symbols shuffled,
+one phrase aside: its letters then are in no order that a learned language knows. ``known_only`` rejects such texts.
 
 The sample prefers texts of LONG_TEXT code points and more, but takes shorter ones where a language has too few; every
-language gets its first document before any gets its second, up to SAMPLE_DOCS * MAX_LANGS documents.
+language gets its first document before any gets its second, up to SAMPLE_DOCS * MAX_LANGS documents. Of equal rows
+(doc_id, text and lang) one is taken.
 
 Texts are normalised to symbols: letters in lower case, by a table of the SYMBOLS - 2 commonest ones of each language's own sample,
 its other letters as one symbol, letters that its sample lacks as none, and each run of anything else as one space. The automata are dense tables; thousands of
@@ -13,7 +18,7 @@ pieces of PIECE symbols step through them together, for all languages, so a step
 A phrase ends where a piece ends; that adds at most one phrase in PIECE symbols to every language alike.
 
 Cases: null text and text without a letter are ``und`` with score 0; ties go to the language first by code point; with
-no labelled text everything is ``und``; a null doc_id counts as not held out for learning; repeated rows get equal
+no labelled text everything is ``und``; a null doc_id counts as not held out, and its rows are learned from; repeated rows get equal
 answers; lang is read from learning rows only, and source and other columns never.
 """
 
@@ -24,7 +29,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -135,9 +139,27 @@ def suffix_automaton(text: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
 class Parser:
     """The automata of some languages, and what each makes of the symbols."""
 
-    def __init__(self, langs: list[str], symbols: Symbols, automata: list[np.ndarray], maps: list[np.ndarray] | None = None):
+    def __init__(self, langs: list[str], symbols: Symbols, automata: list[np.ndarray], maps: list[np.ndarray] | None = None, sizes: list[int] | None = None, shuffled: list[float] | None = None):
         self.langs, self.symbols, self.automata = langs, symbols, automata
         self.maps = maps
+        #: What makes counts of samples of different sizes comparable, and phrases per symbol of each sample with its symbols shuffled.
+        logs = np.log(np.maximum(sizes or [2] * len(langs), 2))
+        self.even = logs / logs.max() if len(langs) else np.zeros(0)
+        self.shuffled = np.array(shuffled or [1.0] * len(langs))
+
+    def judge(self, data: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of each text of a slice: its language, the score, and whether it is foreign."""
+        syms, soff, has = self.symbols.of(*code_points(data, off))
+        if not self.langs:
+            return ["und"] * len(has), np.zeros(len(has)), np.zeros(len(has), bool)
+        n = np.maximum(np.diff(soff), 1)
+        phrases = self.phrases(syms, soff)
+        cost = phrases / n * self.even[:, None]
+        best, least = cost.argmin(0), cost.min(0)
+        rest = np.partition(cost, 1, axis=0)[1] if len(cost) > 1 else least + 1
+        sure = np.where(least + rest > 0, rest / np.maximum(least + rest, 1e-12), 0.0)
+        foreign = phrases[best, np.arange(len(n))] - 1 >= self.shuffled[best] * n
+        return [self.langs[i] if ok else "und" for i, ok in zip(best, has)], np.where(has, np.clip(sure, 0, 1), 0.0), foreign & has
 
     def phrases(self, syms: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Phrases that each text needs with each language's automaton, [language, text]."""
@@ -184,12 +206,13 @@ class Parser:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Parser:
     """Fits the automata; the sample is bounded by the constants above."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("short", "r", "doc_id"))
-    few = known.select("doc_id", "lang", (F.length("text") < LONG_TEXT).alias("short"), F.xxhash64("doc_id").alias("r")).withColumn("k", rank).where(F.col("k") <= sample_docs).orderBy("k", "lang", "doc_id").limit(sample_docs * MAX_LANGS)
-    ids = [r["doc_id"] for r in few.select("doc_id").collect()]  # at most sample_docs * MAX_LANGS
-    rows = known.where(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "doc_id").collect() if ids else []
+    known = known.select("lang", "text", (F.length("text") < LONG_TEXT).alias("short"), F.xxhash64("doc_id", "text").alias("r"))
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("short", "r"))
+    few = known.select("lang", "short", "r").withColumn("k", rank).where(F.col("k") <= sample_docs).select("lang", "r", "k").distinct().orderBy("k", "lang", "r").limit(sample_docs * MAX_LANGS)
+    taken = [r["r"] for r in few.select("r").collect()]  # at most sample_docs * MAX_LANGS
+    rows = known.where(F.col("r").isin(taken)).groupBy("lang", "r").agg(F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text")).collect() if taken else []
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["r"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
     low = letter_table()
     points = lambda s: np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32)
@@ -201,12 +224,16 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Parser:
         seen.append(([c for c, _ in sorted(n, key=lambda x: (-x[1], x[0]))], bool((p == 1).any())))
     symbols = Symbols(sorted({c for x, _ in seen for c in x}))
     maps = [symbols.map(sorted(x[: SYMBOLS - 2]), x, far) for x, far in seen]
-    automata = []
+    automata, sizes, shuffled = [], [], []
     for lang, own in zip(langs, maps):
         p = points("\n".join(texts[lang]))
-        automata.append(suffix_automaton(own[symbols.of(p, np.array([0, len(p)]))[0][: min(SAMPLE_SYMBOLS, SAMPLE_ALL // len(langs))]]))
+        syms = symbols.of(p, np.array([0, len(p)]))[0][: min(SAMPLE_SYMBOLS, SAMPLE_ALL // len(langs))]
+        automata.append(suffix_automaton(own[syms]))
+        sizes.append(len(syms))
+        mixed = np.random.default_rng(len(syms)).permutation(syms)
+        shuffled.append(float(Parser([lang], symbols, automata[-1:], [own]).phrases(mixed, np.array([0, len(mixed)]))[0, 0]) / max(len(mixed), 1))
     symbols.low = None
-    return Parser(langs, symbols, automata, maps)
+    return Parser(langs, symbols, automata, maps, sizes, shuffled)
 
 
 def _predict(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -214,17 +241,9 @@ def _predict(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
     for batch in batches:
         lang, score = [], []
         for a, b, data, off in slices(batch.column("text")):
-            syms, soff, has = parser.symbols.of(*code_points(data, off))
-            if not parser.langs:
-                lang, score = lang + ["und"] * (b - a), score + [0.0] * (b - a)
-                continue
-            cost = parser.phrases(syms, soff) / np.maximum(np.diff(soff), 1)
-            best = cost.argmin(0)
-            least = cost.min(0)
-            rest = np.partition(cost, 1, axis=0)[1] if len(cost) > 1 else least + 1
-            sure = np.where(least + rest > 0, rest / np.maximum(least + rest, 1e-12), 0.0)
-            lang += [parser.langs[i] if ok else "und" for i, ok in zip(best, has)]
-            score += np.where(has, np.clip(sure, 0, 1), 0.0).tolist()
+            one, sure, _ = parser.judge(data, off)
+            lang += one
+            score += sure.tolist()
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
@@ -240,12 +259,15 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
 
 def _known(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = next(_predict([pa.RecordBatch.from_arrays([batch.column("text"), pa.nulls(batch.num_rows), batch.column("text")], names=["doc_id", "held_out", "text"])], sent))
-        yield batch.filter(pc.not_equal(found.column("lang_pred"), "und"))
+        keep = []
+        for _, _, data, off in slices(batch.column("text")):
+            lang, _, foreign = sent.value.judge(data, off)
+            keep += [x != "und" and not f for x, f in zip(lang, foreign.tolist())]
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def known_only(docs: DataFrame, parser: Parser) -> DataFrame:
-    """The rows of docs, all columns, whose language isn't ``und``."""
+    """The rows of docs, all columns, in a learned language: neither ``und`` nor foreign."""
     spark = docs.sparkSession
     ship(spark)
     limits(spark)

@@ -28,6 +28,13 @@ def test_stages(spark, sf_dir):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, out))
 
 
+def test_language_rejects_what_no_language_parses(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(10**9, "xqzw vbfgk wxq zzvk jjxq bvqk" * 9, None, "a", 9), (10**9 + 1, "это текст на другом языке " * 9, None, "a", 9)], docs.schema)
+    kept = {r.doc_id for r in C.language(spark, docs.unionByName(odd), sf_dir).select("doc_id").collect()}
+    assert not kept & {10**9, 10**9 + 1} and len(kept) > 100
+
+
 def test_odd_rows_go_through(odd, none, spark, sf_dir):
     for docs in (odd, none):
         columns = docs.columns
