@@ -16,7 +16,7 @@ from lattica.session import ensure_checkpoint_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled documents teach; null texts and texts without a letter go."""
+    """Documents in a language that the labelled documents teach; texts that no language's automaton parses better than shuffled letters go, and null texts and those without a letter."""
     return langid.known_only(docs, langid.train(docs))
 
 
