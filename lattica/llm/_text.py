@@ -130,6 +130,17 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     return d, splitmix(s)
 
 
+def unused(df, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"{name}_" in taken:
+            name += "_"
+        out.append(f"{name}_")
+        taken.add(out[-1])
+    return out
+
+
 def limits(spark) -> None:
     """Bounds what an Arrow batch holds by rows and bytes; long texts then come in small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -33,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from lattica.llm._text import U, limits, shingles, slices, splitmix, words
+from lattica.llm._text import U, limits, shingles, slices, splitmix, unused, words
 from lattica.llm.components import components
 from lattica.session import ensure_checkpoint_dir, ship, table
 
@@ -225,7 +226,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLO
     limits(spark)
     ensure_checkpoint_dir(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(docs.schema["doc_id"].dataType)
     rows = docs.select(F.col("doc_id").alias("d"), "text")
     marks = rows.mapInArrow(_marks, f"d {kind}, e1 long, e2 long, some boolean, bands array<long>").checkpoint()
     copies = marks.where("some and d is not null").groupBy("e1", "e2").agg(F.min("d").alias("n")).checkpoint()
@@ -289,10 +290,11 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         kind = docs.schema["doc_id"].dataType.simpleString()
         place = F.concat("doc_id", F.lit("\0")) if kind == "string" else F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
         key = F.concat(place, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
-    kept = near_classes(named.select(key.alias("doc_id"), "text"), threshold).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    keyed = named.withColumn("__key", key).join(kept, F.col("__key") == F.col("__kept"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text")))
-    return keyed.withColumn("__nth", nth).where("__nth = 1").drop("__nth", "__key").unionByName(docs.where("doc_id is null"))
+    key_, kept_, nth_ = unused(docs, "key", "kept", "nth")
+    kept = near_classes(named.select(key.alias("doc_id"), "text"), threshold).where("kept").select(F.col("doc_id").alias(kept_)).distinct()
+    keyed = named.withColumn(key_, key).join(kept, F.col(key_) == F.col(kept_), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(key_).orderBy(F.xxhash64("text")))
+    return keyed.withColumn(nth_, nth).where(F.col(nth_) == 1).drop(nth_, key_).unionByName(docs.where("doc_id is null"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

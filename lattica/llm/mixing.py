@@ -7,7 +7,8 @@ size takes every document as often as fits whole; for the rest it fits a subset
 1. documents are counted by exact size (map-side combined, one row a source and size);
 2. each size gives its proportional share, rounded down; sizes then fill the remaining budget from the largest, and
    a bounded-knapsack bitset over what still remains finds the sum nearest below the budget, and how many
-   more documents of each size reach it;
+   more documents of each size reach it. If that misses the budget, shares are given back, as many as the bitset covers,
+   and fitted again: a budget of DP_WORDS words or less gets the best sum there is;
 3. of each size, the first documents by a seeded hash are taken.
 
 Ranks by hash are made in BUCKETS hash buckets a size: a row number within a bucket plus the documents in the buckets
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.llm._text import unused
 from lattica.session import ensure_checkpoint_dir, ship, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -65,7 +67,7 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their sum comes as near below the budget as the bitset finds."""
+    """How many documents of each length to take so that their sum comes as near below the budget as the bitset finds; the best sum for budgets up to dp_words."""
     total = int((lengths * counts).sum())
     if total <= budget:
         return counts.copy()
@@ -82,27 +84,43 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP
             k = min(int(counts[i] - take[i]), (left - dp_words + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))
             take[i] += max(k, 0)
             left -= max(k, 0) * int(lengths[i])
-    # Bounded knapsack: bit s of `reach` says that sum s can be had; counts are split in powers of two.
-    mask, reach, steps = (1 << (left + 1)) - 1, 1, []
+    more, missing = knapsack(lengths, counts - take, left, order)
+    if missing and take.any():  # a share is given back, all of it where the bitset covers the budget, and fitted again
+        used, room = int((lengths * take).sum()), dp_words - left
+        back = take if used <= room else np.array([int(t) * max(room, 0) // used for t in take], np.int64)
+        if back.any():
+            take, left = take - back, left + int((lengths * back).sum())
+            more, _ = knapsack(lengths, counts - take, left, order)
+    return take + more
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many documents of each length reach the largest sum within the budget, and what that sum lacks of it.
+
+    Bit s of a bitset says that sum s can be had; counts are split in powers of two.
+    """
+    take = np.zeros(len(lengths), np.int64)
+    mask, reach, steps = (1 << (budget + 1)) - 1, 1, []
     for i in order:
-        n, spare = int(lengths[i]), int(counts[i] - take[i])
-        if n <= 0 or n > left or spare <= 0:
+        n, spare = int(lengths[i]), int(counts[i])
+        if n <= 0 or n > budget or spare <= 0:
             continue
-        spare, part = min(spare, left // n), 1
+        spare, part = min(spare, budget // n), 1
         while spare > 0:
             k = min(part, spare)
             steps.append((i, k, reach))
             reach = (reach | (reach << (k * n))) & mask
             spare -= k
             part *= 2
-        if reach >> left & 1:
+        if reach >> budget & 1:
             break
     s = reach.bit_length() - 1
+    missing = budget - s
     for i, k, before in reversed(steps):
         if not before >> s & 1:
             take[i] += k
             s -= k * int(lengths[i])
-    return take
+    return take, missing
 
 
 def _plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,16 +167,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it."""
+    key_, size_, id_, picks_, nth_, times_, copy_ = unused(docs, "key", "size", "id", "picks", "nth", "times", "copy")
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.xxhash64("text").cast("string")))
-    keyed = docs.withColumn("__key", key).withColumn("__size", word_count(F.col("text")))
-    picks = mix(keyed.select(F.col("__key").alias("doc_id"), "text", "source"), **options).where("times > 0")
+    keyed = docs.withColumn(key_, key).withColumn(size_, word_count(F.col("text")))
+    picks = mix(keyed.select(F.col(key_).alias("doc_id"), "text", "source"), **options).where("times > 0")
     # Rows of one key (repeats) are matched by place in order of size.
-    lists = picks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("size", "times"))).alias("__picks")).withColumnRenamed("doc_id", "__id")
-    nth = F.row_number().over(Window.partitionBy("__key", "__size").orderBy(F.xxhash64("text")))
-    joined = keyed.withColumn("__nth", nth).join(lists, F.col("__key") == F.col("__id"))
-    own = F.expr("get(filter(__picks, x -> x.size = __size), __nth - 1).times")
-    times = F.coalesce(own, F.lit(0)).cast("int")
-    return joined.withColumn("__times", times).where("__times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    lists = picks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("size", "times"))).alias(picks_)).withColumnRenamed("doc_id", id_)
+    nth = F.row_number().over(Window.partitionBy(key_, size_).orderBy(F.xxhash64("text")))
+    joined = keyed.withColumn(nth_, nth).join(lists, F.col(key_) == F.col(id_))
+    own = F.expr(f"get(filter({picks_}, x -> x.size = {size_}), {nth_} - 1).times")
+    joined = joined.withColumn(times_, F.coalesce(own, F.lit(0)).cast("int")).where(F.col(times_) > 0)
+    return joined.withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

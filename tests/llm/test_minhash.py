@@ -142,3 +142,13 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {r.n: r.c for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for a, b in edges if a != b for i in (a, b)}
+
+
+def test_ids_of_other_types_and_reserved_names(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, words, 1, 2), (2, words + " x", 3, 4), (3, "other text", 5, 6)], "doc_id int, text string, key_ int, __key int")
+    for kind in ("smallint", "decimal(20,0)", "string", "int"):
+        got = M.near_classes(df.withColumn("doc_id", df.doc_id.cast(kind))).collect()
+        assert sorted(str(r.class_id) for r in got) == ["1", "1", "3"]
+    kept = M.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
