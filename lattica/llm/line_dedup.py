@@ -45,11 +45,13 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
         raise ValueError(f"keep must be 'none' or 'first', not {keep!r}")
     ensure_checkpoint_dir(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), _lines(ascii_lower(F.col("text"))).alias("lines"))  # the text's hash is taken below the explode
     occurrences = (
-        docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(_lines(ascii_lower(F.col("text")))).alias("p", "line"))
+        split.select("d", "t", F.posexplode("lines").alias("p", "line"))
         .select("d", "t", "p", F.btrim("line", F.lit(WS)).alias("k"))
         .where(F.char_length("k") >= min_chars)
         .select(F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), F.pmod(F.hash("d"), F.lit(SALTS)).alias("salt"), "d", "t", "p")
+        .checkpoint()  # texts are split once; the range sampling and both uses of the hashes read them from here
     )
     ranged = occurrences.repartitionByRange(n, "h1", "h2", "salt")
     run = Window.partitionBy("h1", "h2", "salt").orderBy("d", "t", "p")
@@ -61,7 +63,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
         .where(F.col("n_docs") >= min_docs)
         .checkpoint()  # a join with it can then be split where one key has very many lines
     )
-    going = ranged.select("h1", "h2", "d", "t", "p")
+    going = occurrences.select("h1", "h2", "d", "t", "p")
     if keep == "none":
         going = going.join(found.select("h1", "h2"), ["h1", "h2"], "left_semi")
     else:
@@ -78,10 +80,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the kept text of every row of docs."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t_"))
     joined = rows.join(bitmaps, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t_") == F.col("t")), "left")
-    lines = _lines(F.col("text"))
-    dense = F.expr("transform(sequence(0, cast((size(lines) - 1) div 64 as int)), w -> coalesce(bits[w], 0L))")
-    kept = F.expr("array_join(filter(lines, (x, i) -> (shiftright(get(dense, i div 64), i % 64) & 1L) = 0L), '\n')")
-    cut = joined.withColumn("lines", lines).withColumn("bits", F.when(F.col("words").isNotNull(), F.map_from_entries("words"))).withColumn("dense", dense)
+    # Every array is made once for a document, so the work is linear in its lines: zeros fill the gaps between listed words.
+    dense = "flatten(transform(words, (x, k) -> concat(array_repeat(0L, x.word - coalesce(get(words, k - 1).word, -1) - 1), array(x.bits))))"
+    going = f"flatten(transform({dense}, b -> transform(sequence(0, 63), j -> (shiftright(b, j) & 1L) = 1L)))"
+    kept = F.expr(f"array_join(zip_with(lines, {going}, (x, gone) -> if(coalesce(gone, false), null, x)), '\n')")
+    cut = joined.withColumn("lines", _lines(F.col("text")))
     return cut.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
