@@ -32,6 +32,8 @@ BASES = (1000003, 1000033)
 #: Code points that a row gives the kernel at most, and that a comparison holds at once.
 CHUNK = 1 << 20
 COMPARE = 1 << 15
+#: Parts that the rows of a group are dealt to where they meet their stayer; adaptive execution splits what is still too large.
+SALTS = 8
 _IS_WS = np.zeros(256, bool)
 _IS_WS[[9, 10, 11, 12, 13, 32]] = True
 WS = " \t\n\x0b\x0c\r"
@@ -130,7 +132,9 @@ def exact_dedup(docs: DataFrame, primes: tuple[int, ...] = PRIMES, chunk: int =
     marks = fingerprints(docs, primes, chunk).checkpoint()
     groups = marks.groupBy("fp", "n_bytes").agg(F.count("*").alias("n"), _best().alias("best")).where("n > 1").checkpoint()
     named = groups.select(F.col("fp").alias("g"), F.col("n_bytes").alias("gb"), "n", F.col("best.d").alias("keep"), F.col("best.t").alias("keep_t"))
-    verdict = marks.join(named, (F.col("fp") == F.col("g")) & (F.col("n_bytes") == F.col("gb")), "left")
+    salted = marks.withColumn("salt", F.pmod(F.hash("d", "t"), F.lit(SALTS)))
+    named = named.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    verdict = salted.join(named, (F.col("fp") == F.col("g")) & (F.col("n_bytes") == F.col("gb")) & (F.col("salt") == F.col("salt2")), "left").drop("salt", "salt2")
     # Chunkwise comparison of each member with its group's stayer; repeats of one doc_id and text are compared once.
     stay = F.col("d").eqNullSafe(F.col("keep")) & (F.col("t") == F.col("keep_t"))
     pieces = F.expr(f"transform(sequence(0, cast(greatest(char_length(x) - 1, 0) div {COMPARE} as int)), i -> struct(i as i, substring(x, i * {COMPARE} + 1, {COMPARE}) as c))")
