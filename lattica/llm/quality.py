@@ -5,11 +5,11 @@ all features thus cost time linear in the features of a text. Features: words ha
 frequency and length-normalised; STATS statistics of the text's structure, each in one of BINS bins; the bin of
 the document's n_chars as metadata, where that column exists. The label, lang, source and doc_id are no features.
 
-The machine is fitted on the driver by minibatch Adagrad on SAMPLE labelled rows at most (those first by a hash of
-doc_id), of documents whose crc32(doc_id as text) mod 4 is not 2. Texts are scored whole, batch by batch.
+The machine is fitted on the driver by minibatch Adagrad on SAMPLE labelled rows at most, of FEATURES features at most (those first by a hash of
+doc_id; rows that repeat a doc_id count once), of documents whose crc32(doc_id as text) mod 4 is not 2. Texts are scored whole, batch by batch.
 
 Cases: null or empty text has its statistics and no words, and gets a score; without labelled rows every score is 0.5;
-several labels of one document are averaged; a null doc_id isn't held out; repeated rows get equal scores; other columns
+several labels of one document are averaged; an n_chars that is no number counts as 0; a null doc_id isn't held out; repeated rows get equal scores; other columns
 are ignored.
 """
 
@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.llm._text import CODE, U, limits, slices, splitmix, words
 from lattica.session import ship, table
 
 WORD_DIMS, BINS, RANK = 1 << 15, 16, 8
-#: Labelled rows at most; minibatch steps at least, and passes over the sample at least.
-SAMPLE, STEPS, EPOCHS, BATCH, RATE, DECAY, SEED = 4000, 1000, 8, 64, 0.1, 1e-4, 11
+#: Labelled rows at most, and their features together; minibatch steps at least, and passes over the sample at least.
+SAMPLE, FEATURES, STEPS, EPOCHS, BATCH, RATE, DECAY, SEED = 4000, 8_000_000, 1000, 8, 64, 0.1, 1e-4, 11
 _LOGS = np.arange(1, BINS) * 1.25
 _RATIOS = np.array([0.001, 0.003, 0.006, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.22, 0.3, 0.4, 0.55, 0.7, 0.85])
 _SIZES = np.arange(1, BINS) * 0.75 + 1.5
@@ -129,7 +130,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(doc, np.arange(1, b - a))
             at += np.split(f.astype(np.int32), cut)
             x += np.split(v.astype(np.float32), cut)
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["y", "at", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("r"), batch.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["r", "y", "at", "x"])
 
 
 def _scores(batches: Iterable[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
-    meta = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(0.0)
+    meta = F.col("n_chars").try_cast("double") if "n_chars" in docs.columns else F.lit(0.0)
     return docs.select("doc_id", "text", meta.alias("n_chars"))
 
 
@@ -158,8 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     limits(docs.sparkSession)
     named = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.avg(label).alias("y"))
     few = named.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most `sample` rows are broadcast
-    rows = _inputs(docs).join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("y", "text", "n_chars").mapInArrow(_features, "y double, at array<int>, x array<float>")
-    got = rows.toArrow()
+    rows = _inputs(docs).join(F.broadcast(few), F.col("doc_id") == F.col("id")).select(F.xxhash64("id").alias("r"), "y", "text", "n_chars").mapInArrow(_features, "r long, y double, at array<int>, x array<float>")
+    each = rows.groupBy("r").agg(F.min(F.struct(F.size("at").alias("n"), F.xxhash64("at").alias("h"), "y", "at", "x")).alias("one"))  # rows that repeat a doc_id count once
+    total = F.sum("one.n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    got = each.withColumn("total", total).where((F.col("total") <= FEATURES) | (F.col("total") == F.col("one.n"))).select("one.y", "one.at", "one.x").toArrow()
     at, x = (got.column(k).combine_chunks() if got.num_rows else None for k in ("at", "x"))
     y = got.column("y").to_numpy() if got.num_rows else np.zeros(0)
     pairs = [(at[i].values.to_numpy().astype(np.int64), x[i].values.to_numpy().astype(np.float64)) for i in range(len(y))]
