@@ -9,7 +9,8 @@ The automaton's items are broadcast in pages of MAX_ITEM_BYTES at most. A benchm
 a larger one is scanned page by page, each adding to the marks of the pages before it, so that neither the driver nor a
 worker ever holds more than a page.
 
-Cases: a null or empty text or item has no words; equal items are each listed; repeated rows each get a row; columns
+Cases: a null or empty text or item has no words; equal items are each listed; items with a null id
+count as one item, listed last as null; repeated rows each get a row; columns
 other than doc_id, text and item_id are ignored; no benchmark rows means nothing is hit.
 """
 
@@ -80,9 +81,19 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
+_made: list = [None, None, None]
+
+
+def _matcher(items: list[tuple], k: int) -> Matcher:
+    """The automaton of a broadcast page; a worker builds it once and keeps the last."""
+    if _made[0] is not items or _made[1] != k:
+        _made[:] = items, k, Matcher(items, k)
+    return _made[2]
+
+
 def _scan(batches: Iterable[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
     """Adds a page's matches to those of the pages before it (hits are spans of words)."""
-    matcher = Matcher(sent.value, k)
+    matcher = _matcher(sent.value, k)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         n_words, hits, items, where = [], [], [], []
@@ -93,7 +104,7 @@ def _scan(batches: Iterable[pa.RecordBatch], sent, k: int) -> Iterator[pa.Record
                 found = _merge(found + [(x["start"], x["end"]) for x in had])
             n_words.append(len(words))
             hits.append([{"start": a, "end": b} for a, b in found])
-            items.append(sorted(who.union(known)))
+            items.append(sorted(who.union(known), key=lambda i: (i is None, i or "")))
             where.append([{"start": a, "end": b} for a, b in original_spans(text or "", found)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string())), pa.array(where, span)], names=["doc_id", "text", "n_words", "hits", "items", "spans"])
 
@@ -144,7 +155,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_
 
 
 def _clean(batches: Iterable[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
-    matcher = Matcher(sent.value, k)
+    matcher = _matcher(sent.value, k)
     for batch in batches:
         found = [not matcher.scan(words_of(t))[1] for t in batch.column("text").to_pylist()]
         yield batch.filter(pa.array(found, pa.bool_()))
