@@ -277,6 +277,7 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = (
         _rows(pages).select("host", F.xxhash64("id", "url").alias("h"), "html").mapInArrow(_tokens, "host string, token string, pages long, hi long, lo long, chars long, links long")
         .groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("hi").alias("hi"), F.sum("lo").alias("lo"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+        .where((F.col("pages") >= MIN_PAGES) | (F.col("token") == ""))  # what a page or two have is in no valid class
         .select("host", "token", "pages", (F.col("hi") % half).alias("hi"), (F.col("lo") % half).alias("lo"), "chars", "links").checkpoint()
     )
     hosts = tokens.where("token = ''").where(F.col("pages") >= MIN_PAGES).select(F.col("host").alias("host2"), F.col("pages").alias("of")).checkpoint()
