@@ -44,7 +44,10 @@ def doc_text(title: Column, abstract: Column, words: int = 400) -> Column:
     return F.concat(title, F.lit(". "), F.array_join(F.slice(cut, 1, words), " "))
 
 
-def query_text(query: Column, prefix: str = "query: ") -> Column:
+QUERY_PREFIX = "query: "
+
+
+def query_text(query: Column, prefix: str = QUERY_PREFIX) -> Column:
     """A query as an embedder takes it; documents get no prefix."""
     return F.concat(F.lit(prefix), query)
 
