@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from lattica.functions.ids import seeded
 from lattica.functions.ranking import f1_set, ndcg_two_tier, recall_at_k
-from lattica.operators.splits import indexed
+from lattica.operators.splits import PART, indexed, ordered
 
 
 def score_questions(golden: DataFrame, predictions: DataFrame, k: int = 50) -> DataFrame:
@@ -33,21 +33,13 @@ def golden_pool(golden: DataFrame) -> DataFrame:
     return golden.select(F.explode(F.concat("answers", "bridges")).alias("qid")).distinct()
 
 
-def random_policy(golden: DataFrame, n: int = 50, seed: int = 0, buckets: int | None = None) -> DataFrame:
+def random_policy(golden: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
     """(id, predicted): min(n, pool) ids of the whole pool for each question, each question its own.
 
     The pool is put into a seeded order; a question begins at a place and goes on in strides that its hash gives, round
-    the pool. Strides share no divisor with the pool's size, so no id comes twice. With ``buckets``, questions share lists
-    instead: the first n ids of the pool's bucket that the question hashes to, fewer where the bucket has fewer.
+    the pool. Strides share no divisor with the pool's size, so no id comes twice.
     """
-    if buckets is None:
-        return _own_draws(golden, n, seed)
-    bucket = lambda c: F.conv(F.substring(seeded(seed, c), 1, 6), 16, 10).cast("int") % buckets
-    pool = golden_pool(golden).withColumn("b", bucket(F.col("qid")))
-    w = Window.partitionBy("b").orderBy(seeded(seed, F.col("qid")))
-    pool = pool.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("n", "qid"))).alias("x"))
-    asked = golden.select("id", bucket(F.col("id")).alias("b")).join(pool, "b", "left")
-    return asked.select("id", F.coalesce(F.transform("x", lambda v: v["qid"]), F.array().cast("array<string>")).alias("predicted"))
+    return _own_draws(golden, n, seed)
 
 
 def _own_draws(golden: DataFrame, n: int, seed: int) -> DataFrame:
@@ -64,6 +56,19 @@ def _own_draws(golden: DataFrame, n: int, seed: int) -> DataFrame:
     return drawn.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "qid"))).alias("x")).select("id", F.transform("x", lambda v: v["qid"]).alias("predicted"))
 
 
+def summary(policy: Column, n: Column, ndcg: Column, recall: Column, f1: Column, k: int = 50) -> Column:
+    """A report in one line, means to four places."""
+    return F.format_string(f"%s: n=%d  NDCG=%.4f  recall@{k}=%.4f  F1=%.4f", policy, n, ndcg, recall, f1)
+
+
+def progress(accepted: Column, attempts: Column, target: int, seconds: Column) -> Column:
+    """A line on how far a run is: accepted of its target, the share of attempts that were, attempts a second, seconds to go (-1: unknown)."""
+    rate = F.when(attempts > 0, accepted / attempts).otherwise(0.0)
+    pace = F.when(seconds > 0, accepted / seconds).otherwise(0.0)
+    to_go = F.when(pace > 0, F.greatest(F.lit(target) - accepted, F.lit(0)) / pace).otherwise(-1.0)
+    return F.format_string(f"%d/{target} accepted, %.1f%% of %d attempts, %.2f/s, %.0f s to go", accepted, rate * 100, attempts, F.when(seconds > 0, attempts / seconds).otherwise(0.0), to_go)
+
+
 def vector_policy(hits: DataFrame) -> DataFrame:
     """(id, predicted) from ranked hits (q, id, rank)."""
     ranked = hits.groupBy(F.col("q").alias("q")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("hit")))).alias("x"))
@@ -98,11 +103,23 @@ def map_sum(rows: DataFrame, column: str) -> DataFrame:
 
 
 def latency(rows: DataFrame, by: str, value: str, at: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """Nearest-rank percentiles v[min(n - 1, int(p n))] of each group, from ranks (a value's place decides, not an estimate)."""
-    n, rank = F.count("*").over(Window.partitionBy(by)), F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1
-    placed = rows.select(by, value, n.alias("n"), rank.alias("r"))
-    pick = lambda p: F.max(F.when(F.col("r") == F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col(value)))
-    return placed.groupBy(by).agg(F.max("n").alias("n"), F.avg(value).alias("mean"), *(pick(p).alias(f"p{round(p * 100)}") for p in at))
+    """Nearest-rank percentiles v[min(n - 1, int(p n))] of each group, from ranks (a value's place decides, not an estimate).
+
+    Rows are counted by group and value first (map-side combined), then numbered by ``indexed`` over the distinct values, so
+    no task sorts a group. A value covers the places between the counts before and after it.
+    """
+    counted = rows.where(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    ranged, parts = ordered(counted, F.col(by), F.col(value))
+    # Rows of the group in earlier partitions: one row a group and partition.
+    held = ranged.groupBy(by, PART).agg(F.sum("c").alias("held"), F.sum(F.col(value) * F.col("c")).alias("total"))
+    before = Window.partitionBy(by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(by)
+    held = held.select(F.col(by).alias("by_"), F.col(PART).alias("part_"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"), F.sum("held").over(whole).alias("n"), (F.sum("total").over(whole) / F.sum("held").over(whole)).alias("mean"))
+    upto = F.sum("c").over(Window.partitionBy(by, PART).orderBy(value))
+    placed = ranged.withColumn("upto", upto).join(held, (F.col(by) == F.col("by_")) & (F.col(PART) == F.col("part_"))).withColumn("upto", F.col("upto") + F.col("before"))
+    place = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p))
+    pick = lambda p: F.min(F.when(F.col("upto") > place(p), F.col(value)))
+    return placed.groupBy(by).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), *(pick(p).alias(f"p{round(p * 100)}") for p in at))
 
 
 def throughput(n: Column, seconds: Column, target: int) -> list[Column]:
@@ -112,9 +129,16 @@ def throughput(n: Column, seconds: Column, target: int) -> list[Column]:
 
 
 def frontier(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Points whose y is above that of every point with smaller x. One row a system meets in one task."""
-    before = Window.orderBy(x, F.desc(y)).rowsBetween(Window.unboundedPreceding, -1)
-    return points.withColumn("best", F.max(y).over(before)).where(F.col("best").isNull() | (F.col(y) > F.col("best"))).drop("best")
+    """Points whose y is above that of every point before them by (x, y descending); of equal points the one that sorts first.
+
+    The best before a point is that of its range of the order and of the ranges before, of which there is one row each.
+    """
+    ranged, keys = ordered(points, F.col(x), -F.col(y))
+    tops = ranged.groupBy(PART).agg(F.max(y).alias("__top"))
+    tops = tops.select(PART, F.max("__top").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))  # one row a partition
+    within = F.max(y).over(Window.partitionBy(PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    rows = ranged.withColumn("__best", within).join(F.broadcast(tops), PART).withColumn("__best", F.greatest("__best", "__before"))
+    return rows.where(F.col("__best").isNull() | (F.col(y) > F.col("__best"))).drop("__best", "__before", PART, *keys)
 
 
 def loglinear(points: DataFrame, x: str, y: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.functions.ids import seeded, valid_pid, valid_qid
+from lattica.session import ensure_checkpoint_dir
 
 LIMITS = {"k": (1, 50, 10), "limit": (1, 100, 25), "max_hops": (1, 4, 3), "paths": (1, 20, 10), "query": (1, 4000, None)}
 
@@ -65,10 +66,14 @@ def neighbors(triples: DataFrame, titles: DataFrame, labels: DataFrame, qid: str
     found = triples.where(where)
     if relation is not None:
         found = found.where(F.col("rel") == relation)
-    total = found.agg(F.count("*").alias("total"))
+    ensure_checkpoint_dir(triples.sparkSession)
+    found = found.select("src", "rel", "dst").checkpoint()  # the node's own edges: the triples are read once for the total and the page
+    total = found.count()
     page = found.orderBy("rel", "dst", "src").offset(offset).limit(limit)
-    page = label_edges(page, labels).join(titles.select(F.col("qid").alias("dst"), F.col("title").alias("dst_title")), "dst", "left")
-    return page.select(total.scalar().alias("total"), "src", "rel", "rel_label", "dst", F.coalesce("dst_title", "dst").alias("dst_title")).orderBy("rel", "dst", "src")
+    # At most `limit` ids are broadcast to the titles, so these aren't shuffled.
+    known = titles.select(F.col("qid").alias("id"), F.col("title").alias("dst_title")).join(F.broadcast(page.select(F.col("dst").alias("id")).distinct()), "id")
+    page = label_edges(page, labels).join(F.broadcast(known.groupBy("id").agg(F.min("dst_title").alias("dst_title"))), F.col("dst") == F.col("id"), "left")
+    return page.select(F.lit(total).cast("long").alias("total"), "src", "rel", "rel_label", "dst", F.coalesce("dst_title", "dst").alias("dst_title")).orderBy("rel", "dst", "src")
 
 
 def hop(triples: DataFrame, anchors: DataFrame, seed: int = 0, pool: int = 25) -> DataFrame:
@@ -93,36 +98,64 @@ def common_neighbors(triples: DataFrame, a: str, b: str) -> DataFrame:
 def shortest_paths(triples: DataFrame, pairs: DataFrame, max_hops: int = 3, limit: int = 10) -> DataFrame:
     """All shortest undirected paths of each pair (s, t), up to max_hops edges; at most ``limit`` a pair, by their text.
 
-    Both ends grow level by level, the fewer levels the longer the other side; a node seen in an earlier level isn't entered
-    again, and a pair leaves once it has paths. There are at most four levels, so the whole search is one plan.
+    A breadth-first search from both ends in turn over distinct (pair, node) with hop counts: a hub is one row a pair however
+    many walks lead through it. A pair ends where the two fronts meet. Then the paths are rebuilt from t back to s over
+    nodes of the right hop count alone; paths that begin at one node keep their order when they grow at the front, so
+    ``limit`` a pair and node lose none. Levels are checkpointed, so plans don't grow, and edges are read once.
     Parallel edges give separate paths. Result: s, t, length, path; path is node text with '-rel>' or '<rel-' between.
     """
     bounded("max_hops", max_hops)
     bounded("paths", limit)
-    step = triples.select(F.col("src").alias("u"), F.concat(F.lit("-"), "rel", F.lit(">")).alias("forth"), F.concat(F.lit("<"), "rel", F.lit("-")).alias("back"), F.col("dst").alias("v"))
-    step = step.union(triples.where("src <> dst").select("dst", F.concat(F.lit("<"), "rel", F.lit("-")), F.concat(F.lit("-"), "rel", F.lit(">")), "src"))
+    ensure_checkpoint_dir(triples.sparkSession)
+    step = triples.select(F.col("src").alias("u"), F.concat(F.lit("-"), "rel", F.lit(">")).alias("label"), F.col("dst").alias("v"))
+    step = step.union(triples.where("src <> dst").select("dst", F.concat(F.lit("<"), "rel", F.lit("-")), "src")).checkpoint()
     pairs = pairs.where("s <> t").distinct()
-    sides = [pairs.select("s", "t", F.col("s").alias("at"), F.col("s").alias("path")), pairs.select("s", "t", F.col("t").alias("at"), F.col("t").alias("path"))]
-    seen = [x.select("s", "t", "at") for x in sides]
-    found: list[DataFrame] = []
-    done: DataFrame | None = None
+    front = [pairs.select("s", "t", F.col(end).alias("at"), F.lit(0).alias("hops")) for end in ("s", "t")]
+    reached, depth, open_, solved = list(front), [0, 0], pairs, []
     for length in range(1, max_hops + 1):
         i = (length + 1) % 2
-        grown = sides[i].join(step, F.col("at") == F.col("u"))
-        path = F.concat("path", "forth", "v") if i == 0 else F.concat("v", "back", "path")
-        grown = grown.select("s", "t", F.col("v").alias("at"), path.alias("path")).join(seen[i], ["s", "t", "at"], "left_anti")
-        if done is not None:
-            grown = grown.join(done, ["s", "t"], "left_anti")
-        sides[i] = grown
-        seen[i] = seen[i].union(grown.select("s", "t", "at")).distinct()
-        a, b = sides[0], sides[1].select("s", "t", "at", F.col("path").alias("rest"))
-        met = a.join(b, ["s", "t", "at"]).select("s", "t", F.lit(length).cast("long").alias("length"), F.concat("path", F.expr("substring(rest, length(at) + 1)")).alias("path"))
-        if done is not None:
-            met = met.join(done, ["s", "t"], "left_anti")
-        found.append(met)
-        done = reduce(DataFrame.union, [x.select("s", "t") for x in found]).distinct()
-    w = Window.partitionBy("s", "t").orderBy("path")
-    return reduce(DataFrame.union, found).withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+        depth[i] += 1
+        grown = front[i].join(open_, ["s", "t"], "left_semi").join(step, F.col("at") == F.col("u")).select("s", "t", F.col("v").alias("at")).distinct()
+        front[i] = grown.join(reached[i].select("s", "t", "at"), ["s", "t", "at"], "left_anti").withColumn("hops", F.lit(depth[i])).checkpoint()
+        reached[i] = reached[i].union(front[i])
+        met = front[i].join(front[1 - i].select("s", "t", "at"), ["s", "t", "at"], "left_semi").select("s", "t").distinct()
+        solved.append(met.withColumn("length", F.lit(length)))
+        open_ = open_.join(met, ["s", "t"], "left_anti")
+    # From t back to s: position p of a path of length n is a node p hops from s up to the meeting, n - p hops from t beyond it.
+    levels = reached[0].withColumn("side", F.lit(0)).union(reached[1].withColumn("side", F.lit(1)))
+    levels = levels.select(F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("at").alias("at2"), F.col("hops").alias("hops2"), "side")
+    partial = reduce(DataFrame.union, solved).select("s", "t", "length", F.col("t").alias("at"), F.col("t").alias("path"))
+    found = []
+    for back in range(1, max_hops + 1):
+        place = F.col("length") - back
+        near = place <= F.floor((F.col("length") + 1) / 2)
+        grown = partial.where(F.col("length") >= back).join(step, F.col("at") == F.col("v"))
+        grown = grown.select("s", "t", "length", F.col("u").alias("at"), F.concat("u", "label", "path").alias("path"), F.when(near, place).otherwise(back).alias("hops"), F.when(near, 0).otherwise(1).alias("want"))
+        on = (F.col("s") == F.col("s2")) & (F.col("t") == F.col("t2")) & (F.col("at") == F.col("at2")) & (F.col("hops") == F.col("hops2")) & (F.col("want") == F.col("side"))
+        first = Window.partitionBy("s", "t", "at").orderBy("path")
+        grown = grown.join(levels, on, "left_semi").withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit)
+        partial = grown.select("s", "t", "length", "at", "path").checkpoint()
+        found.append(partial.where(F.col("length") == back))
+    return reduce(DataFrame.union, found).select("s", "t", F.col("length").cast("long").alias("length"), "path")
+
+
+def path_parts(paths: DataFrame, titles: DataFrame, labels: DataFrame) -> DataFrame:
+    """Paths with ``nodes`` [(qid, title)] and ``edges`` [(src, rel, rel_label, dst)] in stored direction, in order.
+
+    A node without a title is titled by its id, a relation without a label by its own.
+    """
+    nodes = paths.select("path").distinct().select("path", F.posexplode(F.regexp_extract_all("path", F.lit("(Q[0-9]+)"), F.lit(1))).alias("pos", "qid"))
+    known = titles.select("qid", "title").join(F.broadcast(nodes.select("qid").distinct()), "qid").groupBy("qid").agg(F.min("title").alias("title"))  # ids of ``limit`` paths a pair
+    named = nodes.join(known, "qid", "left").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "qid", F.coalesce("title", "qid").alias("title")))).alias("x"))
+    named = named.select("path", F.transform("x", lambda x: F.struct(x["qid"].alias("qid"), x["title"].alias("title"))).alias("nodes"))
+    hops = F.regexp_extract_all("path", F.lit("([-<]P[0-9]+[->])"), F.lit(1))
+    edges = named.select("path", F.col("nodes.qid").alias("ids"), F.posexplode(hops).alias("pos", "hop"))
+    left, right = F.get("ids", F.col("pos")), F.get("ids", F.col("pos") + 1)
+    forth = F.col("hop").startswith("-")
+    edges = edges.select("path", "pos", F.when(forth, left).otherwise(right).alias("src"), F.regexp_extract("hop", "P[0-9]+", 0).alias("rel"), F.when(forth, right).otherwise(left).alias("dst"))
+    edges = edges.join(labels, F.col("rel") == F.col("pid"), "left").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "src", "rel", F.coalesce("label", "rel").alias("rel_label"), "dst"))).alias("x"))
+    edges = edges.select(F.col("path").alias("path2"), F.transform("x", lambda x: F.struct(x["src"].alias("src"), x["rel"].alias("rel"), x["rel_label"].alias("rel_label"), x["dst"].alias("dst"))).alias("edges"))
+    return paths.join(named, "path").join(edges, F.col("path") == F.col("path2")).drop("path2")
 
 
 def valid_edge(src: Column, rel: Column, dst: Column) -> Column:

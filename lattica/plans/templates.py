@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +115,12 @@ def golden(template: Template, edges: Callable[[str], DataFrame], max_answers: i
     """
     rows = bindings(template, edges)
     anchors = [F.col(a) for a in template.anchors]
+    if max_answers is not None:
+        # Answers are counted before any set is gathered, so an anchor of very many answers never is one array.
+        answer = F.col(template.answer)
+        other = reduce(lambda x, y: x & y, [answer != a for a in anchors])
+        few = rows.where(other).select(*template.anchors, answer.alias("answer_")).distinct().groupBy(*template.anchors).agg(F.count("*").alias("n_")).where(F.col("n_") <= max_answers)
+        rows = rows.join(few.drop("n_"), list(template.anchors), "left_semi")
     sets = [F.collect_set(template.answer).alias("answers"), *(F.collect_set(b).alias(f"set_{b}") for b in template.bridges)]
     got = rows.groupBy(*template.anchors).agg(*sets).withColumn("answers", F.array_sort(filter_answers(F.col("answers"), anchors)))
     n = F.size("answers")

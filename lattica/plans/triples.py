@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,31 +31,35 @@ def qid(kind: int, key: Column) -> Column:
     return F.concat(F.lit("Q"), (F.lit(kind * 1_000_000_000).cast("long") + key.cast("long")).cast("string"))
 
 
-def edges(spark: SparkSession, sf_dir: str, rel: str) -> DataFrame:
+def reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
+    """Opens each table once, when it is first asked for."""
+    return cache(lambda name: table(spark, sf_dir, name))
+
+
+def edges(spark: SparkSession, sf_dir: str, rel: str, read: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """(src, dst) of one relation; only its own tables and columns are read."""
-    read = lambda name: table(spark, sf_dir, name)
+    read = read or reader(spark, sf_dir)
     c = F.col
-    customer, supplier, orders = read("customer"), read("supplier"), read("orders")
     if rel in ("P57", "P50"):
-        rows = orders.where(c("o_orderkey") % 50 == (0 if rel == "P57" else 1))
+        rows = read("orders").where(c("o_orderkey") % 50 == (0 if rel == "P57" else 1))
         return rows.select(qid(ORDER, c("o_orderkey")).alias("src"), qid(CUSTOMER, c("o_custkey")).alias("dst"))
     if rel == "P161":
         return read("lineitem").where(c("l_orderkey") % 50 == 0).select(qid(ORDER, c("l_orderkey")).alias("src"), qid(PART, c("l_partkey")).alias("dst"))
     if rel == "P69":
-        return customer.select(qid(CUSTOMER, c("c_custkey")).alias("src"), qid(NATION, c("c_nationkey")).alias("dst"))
+        return read("customer").select(qid(CUSTOMER, c("c_custkey")).alias("src"), qid(NATION, c("c_nationkey")).alias("dst"))
     if rel == "P106":
-        return customer.select(qid(CUSTOMER, c("c_custkey")).alias("src"), qid(SEGMENT, F.ascii("c_mktsegment")).alias("dst"))
+        return read("customer").select(qid(CUSTOMER, c("c_custkey")).alias("src"), qid(SEGMENT, F.ascii("c_mktsegment")).alias("dst"))
     if rel == "P463":
-        return customer.select(qid(CUSTOMER, c("c_custkey")).alias("src"), qid(GROUP, c("c_custkey") % 25).alias("dst"))
+        return read("customer").select(qid(CUSTOMER, c("c_custkey")).alias("src"), qid(GROUP, c("c_custkey") % 25).alias("dst"))
     if rel == "P108":
-        of = supplier.agg(F.count("*").alias("n")).scalar()
-        rows = customer.where(c("c_custkey") % 6 == 0)
+        of = read("supplier").agg(F.count("*").alias("n")).scalar()
+        rows = read("customer").where(c("c_custkey") % 6 == 0)
         return rows.select(qid(CUSTOMER, c("c_custkey")).alias("src"), qid(SUPPLIER, F.expr("c_custkey div 6") % of).alias("dst"))
     if rel == "P112":
-        of = customer.agg(F.count("*").alias("n")).scalar()
-        return supplier.select(qid(SUPPLIER, c("s_suppkey")).alias("src"), qid(CUSTOMER, c("s_suppkey") * 7 % of).alias("dst"))
+        of = read("customer").agg(F.count("*").alias("n")).scalar()
+        return read("supplier").select(qid(SUPPLIER, c("s_suppkey")).alias("src"), qid(CUSTOMER, c("s_suppkey") * 7 % of).alias("dst"))
     if rel == "P127":
-        return supplier.select(qid(SUPPLIER, c("s_suppkey")).alias("src"), qid(SUPPLIER, F.expr("(s_suppkey div 10) * 10")).alias("dst"))
+        return read("supplier").select(qid(SUPPLIER, c("s_suppkey")).alias("src"), qid(SUPPLIER, F.expr("(s_suppkey div 10) * 10")).alias("dst"))
     if rel == "P17":
         return read("nation").select(qid(NATION, c("n_nationkey")).alias("src"), qid(REGION, c("n_regionkey")).alias("dst"))
     raise ValueError(f"unknown relation {rel!r}")
@@ -62,7 +67,8 @@ def edges(spark: SparkSession, sf_dir: str, rel: str) -> DataFrame:
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, rel, dst) of all relations, parallel edges kept. A filter on rel prunes the other branches."""
-    parts = [edges(spark, sf_dir, rel).select("src", F.lit(rel).alias("rel"), "dst") for rel in RELATIONS]
+    read = reader(spark, sf_dir)
+    parts = [edges(spark, sf_dir, rel, read).select("src", F.lit(rel).alias("rel"), "dst") for rel in RELATIONS]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -70,6 +76,13 @@ def relation_labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(RELATIONS.items()), "pid string, label string")
 
 
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, title) of the entities; texts aren't read."""
+    read = lambda name: table(spark, sf_dir, name)
+    named = ((REGION, "region", "r_regionkey", "r_name"), (NATION, "nation", "n_nationkey", "n_name"), (CUSTOMER, "customer", "c_custkey", "c_name"), (SUPPLIER, "supplier", "s_suppkey", "s_name"), (PART, "part", "p_partkey", "p_name"))
+    return reduce(DataFrame.unionByName, [read(name).select(qid(kind, F.col(key)).alias("qid"), F.col(title).alias("title")) for kind, name, key, title in named])
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, title, abstract): named dimensions; customers have a document as abstract; orders and groups have no row."""
     read = lambda name: table(spark, sf_dir, name)
