@@ -30,7 +30,8 @@ PAIRS = [("Q3000000001", "Q3000000002"), ("Q3000000001", "Q2000000019"), ("Q3000
 
 
 def edges_of(spark: SparkSession, sf_dir: str):
-    return lambda rel: T.edges(spark, sf_dir, rel)
+    read = T.reader(spark, sf_dir)
+    return lambda rel: T.edges(spark, sf_dir, rel, read)
 
 
 def flat(df: DataFrame, *columns: str) -> DataFrame:
@@ -49,10 +50,10 @@ def uncapped(sql: str) -> str:
 
 def anchor_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors of each template, how many there are, and the one that a seeded order puts first."""
-    parts = []
+    parts, edges = [], edges_of(spark, sf_dir)
     for t in TEMPLATES.values():
         key = F.concat_ws("|", *t.anchors)
-        pool = anchor_pool(t, edges_of(spark, sf_dir)).select(key.alias("k"))
+        pool = anchor_pool(t, edges).select(key.alias("k"))
         parts.append(pool.agg(F.lit(t.name).alias("template"), F.count("*").alias("n_anchors"), F.min_by("k", F.concat(seeded(7, F.col("k")), "k")).alias("pick")))
     return reduce(DataFrame.union, parts)
 
@@ -85,7 +86,7 @@ def get_entity_card(spark, sf_dir):
 
 
 def page(spark, sf_dir, **args):
-    return graph.neighbors(T.triples(spark, sf_dir), T.entities(spark, sf_dir), T.relation_labels(spark), HUB, **args)
+    return graph.neighbors(T.triples(spark, sf_dir), T.titles(spark, sf_dir), T.relation_labels(spark), HUB, **args)
 
 
 def _page_sql(where: str, limit: int = 25, offset: int = 0) -> str:
@@ -100,6 +101,13 @@ def shortest_paths_pairs(spark, sf_dir):
     return graph.shortest_paths(T.triples(spark, sf_dir), spark.createDataFrame(PAIRS, "s string, t string"), 3, 20)
 
 
+def shortest_paths_titled(spark, sf_dir):
+    """The same paths with titled nodes and labelled edges, as text."""
+    rows = graph.path_parts(shortest_paths_pairs(spark, sf_dir), T.titles(spark, sf_dir), T.relation_labels(spark))
+    edges = F.transform("edges", lambda e: F.concat_ws(" ", e["src"], e["rel"], e["rel_label"], e["dst"]))
+    return rows.select("s", "t", "length", F.array_join("nodes.qid", ",").alias("ids"), F.array_join("nodes.title", "|").alias("titles"), F.array_join(edges, "|").alias("edges"))
+
+
 def _paths_sql() -> str:
     pairs = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
     hop = "SELECT src AS u, '-' || rel || '>' AS lab, dst AS v FROM triple UNION ALL SELECT dst, '<' || rel || '-', src FROM triple WHERE src <> dst"
@@ -150,6 +158,7 @@ QUERIES = {
     "neighbors_both_page": partial(page, limit=40),
     "neighbors_relation_filter": partial(page, relation="P17"),
     "shortest_paths_pairs": shortest_paths_pairs,
+    "shortest_paths_titled": shortest_paths_titled,
     "node_union_missing_titles": node_union_missing_titles,
     "triple_label_join": triple_label_join,
     "graph_hop_pick": hop_pick,
@@ -170,6 +179,14 @@ LEFT JOIN (SELECT dst, count(*) AS c FROM triple GROUP BY dst) i ON i.dst = n.qi
     "neighbors_both_page": _page_sql(f"src = '{HUB}' OR dst = '{HUB}'", 40),
     "neighbors_relation_filter": _page_sql(f"(src = '{HUB}' OR dst = '{HUB}') AND rel = 'P17'"),
     "shortest_paths_pairs": _paths_sql(),
+    "shortest_paths_titled": f"""
+{_paths_sql().replace("SELECT s, t, CAST(n AS BIGINT) AS length, path FROM ranked WHERE k <= 20", "")}, {T.ENTITY_CTE}, {T.RELATION_CTE},
+p AS (SELECT s, t, n, path, regexp_extract_all(path, 'Q[0-9]+') AS ids, regexp_extract_all(path, '[-<]P[0-9]+[->]') AS hops FROM ranked WHERE k <= 20),
+v AS (SELECT path, string_agg(coalesce(title, id), '|' ORDER BY i) AS titles FROM (SELECT DISTINCT path, unnest(ids) AS id, unnest(range(len(ids))) AS i FROM p) LEFT JOIN entity ON qid = id GROUP BY path),
+h AS (SELECT DISTINCT path, ids, unnest(hops) AS hop, unnest(range(len(hops))) AS i FROM p),
+e AS (SELECT path, string_agg(CASE WHEN hop LIKE '-%' THEN ids[i + 1] ELSE ids[i + 2] END || ' ' || r || ' ' || coalesce(label, r) || ' ' || CASE WHEN hop LIKE '-%' THEN ids[i + 2] ELSE ids[i + 1] END, '|' ORDER BY i) AS edges
+  FROM (SELECT *, regexp_extract(hop, 'P[0-9]+') AS r FROM h) LEFT JOIN relation ON pid = r GROUP BY path)
+SELECT s, t, CAST(n AS BIGINT) AS length, array_to_string(ids, ',') AS ids, titles, edges FROM p JOIN v USING (path) JOIN e USING (path)""",
     "node_union_missing_titles": f"WITH {T.TRIPLE_CTE}, {T.ENTITY_CTE} SELECT qid, title FROM entity UNION ALL SELECT qid, qid FROM (SELECT src AS qid FROM triple UNION SELECT dst FROM triple) WHERE qid NOT IN (SELECT qid FROM entity)",
     "triple_label_join": f"WITH {T.TRIPLE_CTE}, {T.RELATION_CTE} SELECT rel, coalesce(label, rel) AS rel_label, count(*) AS n, min(src) AS first_src FROM triple LEFT JOIN relation ON pid = rel AND pid <> 'P127' GROUP BY 1, 2",
     "graph_hop_pick": f"""

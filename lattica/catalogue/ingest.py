@@ -22,39 +22,36 @@ def folder(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
 
 
-#: The orders that the queries without "_all" take, as their SQL does.
-TENTH = "o_orderkey % 10 = 0"
 
-
-def records(spark, sf_dir, where="true"):
-    """A question of every order, or of those that ``where`` takes."""
+def records(spark, sf_dir):
+    """A question of every order."""
     k = F.col("o_orderkey")
     word = F.element_at(F.array(*map(F.lit, WORDS)), (k % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").where(where).select(
+    return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("kg-"), k.cast("string")).alias("id"), F.concat(F.lit("Which "), k.cast("string"), F.lit("?")).alias("question"), F.array(T.qid(T.CUSTOMER, F.col("o_custkey"))).alias("answers"),
         F.array(T.qid(T.ORDER, k)).alias("bridges"), F.lit("kg_pattern").alias("source"), word.alias("difficulty"), ids.difficulty_rank(word).alias("rank"),
     )
 
 
-def hash_split_counts(spark, sf_dir, where="true"):
-    return splits.split(records(spark, sf_dir, where)).groupBy("split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+def hash_split_counts(spark, sf_dir):
+    return splits.split(records(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
-def validation_set(spark, sf_dir, where="true"):
-    return splits.validation(records(spark, sf_dir, where), 0.2, 100).select("id", "split")
+def validation_set(spark, sf_dir):
+    return splits.validation(records(spark, sf_dir), 0.2, 100).select("id", "split")
 
 
-def ordered(spark, sf_dir, kind, where="true"):
-    return splits.curriculum(records(spark, sf_dir, where), kind, seed=2).select("place", "id", "rank")
+def ordered(spark, sf_dir, kind):
+    return splits.curriculum(records(spark, sf_dir), kind, seed=2).select("place", "id", "rank")
 
 
-def quota_draw(spark, sf_dir, where="true"):
-    rows = records(spark, sf_dir, where).withColumn("difficulty", (F.col("rank") + 1).cast("int"))
+def quota_draw(spark, sf_dir):
+    rows = records(spark, sf_dir).withColumn("difficulty", (F.col("rank") + 1).cast("int"))
     return splits.quota(rows, {1: 0.1, 2: 0.3, 3: 0.4, 4: 0.2}, 200, seed=4).select("id", F.col("difficulty").cast("long").alias("difficulty"))
 
 
-def rl_rows(spark, sf_dir, where="true"):
-    train = splits.split(splits.curriculum(records(spark, sf_dir, where), "sorted", seed=2))
+def rl_rows(spark, sf_dir):
+    train = splits.split(splits.curriculum(records(spark, sf_dir), "sorted", seed=2))
     rows = splits.rl_rows(train, "Answer with ids.")
     return rows.select("data_source", F.to_json("prompt").alias("prompt"), F.col("reward_model.ground_truth").alias("truth"), "extra_info.index", "extra_info.split", "extra_info.id", F.to_json("extra_info.tools_kwargs").alias("tools"))
 
@@ -79,10 +76,10 @@ def upsert_latest(spark, sf_dir):
     return vectors.upsert(old, new).select("id", "label")
 
 
-def jsonl_tolerant(spark, sf_dir, where="true"):
+def jsonl_tolerant(spark, sf_dir):
     """Records with broken, incomplete and repeated lines among them, written as text and loaded."""
     path = folder(spark)
-    rows = records(spark, sf_dir, where).select(F.to_json(F.struct("id", "question", F.col("answers").alias("answer_qids"), "source", "difficulty")).alias("value"))
+    rows = records(spark, sf_dir).select(F.to_json(F.struct("id", "question", F.col("answers").alias("answer_qids"), "source", "difficulty")).alias("value"))
     rows.write.text(f"{path}/raw")
     lines = spark.read.text(f"{path}/raw")
     lines.union(lines).union(spark.createDataFrame([("{broken",), ('{"id": "x"}',), ("",)], "value string")).write.option("compression", "none").text(f"{path}/text")
@@ -102,10 +99,10 @@ def _as_jsonl(spark, path: str) -> str:
     return path
 
 
-def jsonl_append(spark, sf_dir, where="true"):
+def jsonl_append(spark, sf_dir):
     """Records appended in two overlapping goes; ids that are there aren't written again."""
     path = folder(spark)
-    rows = records(spark, sf_dir, where).select("id", "question", F.lit(None).cast("string").alias("cypher"), (F.col("rank") + 1).cast("int").alias("difficulty"))
+    rows = records(spark, sf_dir).select("id", "question", F.lit(None).cast("string").alias("cypher"), (F.col("rank") + 1).cast("int").alias("difficulty"))
     files.append_records(rows.where("rank < 2"), path)
     files.append_new(rows.where("rank < 4"), path)
     done, counts = files.resume_counts(spark, f"{path}/*.json")
@@ -167,8 +164,7 @@ RECORDS = {
     "jsonl_append_resume": jsonl_append,
 }
 QUERIES = {
-    **{q: partial(f, where=TENTH) for q, f in RECORDS.items()},
-    **{f"{q}_all": f for q, f in RECORDS.items()},
+    **RECORDS,
     "status_counts": status_counts,
     "keyset_page": keyset_page,
     "offset_page": offset_page,
@@ -179,7 +175,7 @@ QUERIES = {
     "manifest_checksums": manifest_checksums,
     "incremental_embed_text": incremental_embed_text,
 }
-_R = "r AS (SELECT 'kg-' || o_orderkey AS id, o_orderkey AS k, o_custkey, [0.0, 1.0, 2.0, 3.0, 4.0, 2.0][o_orderkey % 6 + 1]::DOUBLE AS rank, ['trivial', 'easy', 'medium', 'hard', 'very_hard', 'odd'][o_orderkey % 6 + 1] AS difficulty FROM orders WHERE o_orderkey % 10 = 0), s AS (SELECT *, CASE WHEN CAST('0x' || left(sha256(id), 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0 < {f} THEN 'val' ELSE 'train' END AS split, sha256('2|' || id) AS h FROM r)"
+_R = "r AS (SELECT 'kg-' || o_orderkey AS id, o_orderkey AS k, o_custkey, [0.0, 1.0, 2.0, 3.0, 4.0, 2.0][o_orderkey % 6 + 1]::DOUBLE AS rank, ['trivial', 'easy', 'medium', 'hard', 'very_hard', 'odd'][o_orderkey % 6 + 1] AS difficulty FROM orders), s AS (SELECT *, CASE WHEN CAST('0x' || left(sha256(id), 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0 < {f} THEN 'val' ELSE 'train' END AS split, sha256('2|' || id) AS h FROM r)"
 
 
 def _place(order: str) -> str:
@@ -208,4 +204,3 @@ ORACLES = {
     "incremental_embed_text": f"""WITH {T.ENTITY_CTE}, e AS (SELECT qid, CASE WHEN qid > 'Q3000000400' THEN title || '*' ELSE title END AS title, trim(regexp_replace(coalesce(abstract, ''), '[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'), ' ') AS t, CASE WHEN qid > 'Q3000000400' THEN 2 ELSE 1 END AS v FROM entity)
 SELECT qid, sha256(title || '. ' || array_to_string(string_split(t, ' ')[1:400], ' ')) AS doc_text, CAST(v AS BIGINT) AS version FROM e""",
 }
-ORACLES |= {f"{q}_all": ORACLES[q].replace(f" WHERE {TENTH}", "") for q in RECORDS}

@@ -15,13 +15,14 @@ from lattica.operators import evaluation, vectors
 from lattica.plans.templates import MAX_ANSWERS, TEMPLATES, golden, golden_sql
 from lattica.plans.triples import TRIPLE_CTE
 
-USED = ("chain_person_company_founder", "star_school_occupation", "intersection_founder_school_owner")
+USED = tuple(TEMPLATES)
 JUNK = ("Q1", "Q2", "Q3")
 
 
 def questions(spark, sf_dir, max_answers: int | None = MAX_ANSWERS) -> DataFrame:
-    """id, source, answers, bridges of three templates' golden sets."""
-    parts = [golden(TEMPLATES[t], edges_of(spark, sf_dir), max_answers).select("id", F.lit(TEMPLATES[t].kind).alias("source"), "answers", "bridges", "difficulty") for t in USED]
+    """id, source, answers, bridges of every template's golden sets."""
+    edges = edges_of(spark, sf_dir)
+    parts = [golden(TEMPLATES[t], edges, max_answers).select("id", F.lit(TEMPLATES[t].kind).alias("source"), "answers", "bridges", "difficulty") for t in USED]
     return reduce(DataFrame.union, parts)
 
 
@@ -66,17 +67,16 @@ def golden_pool(spark, sf_dir):
 
 
 def random_policy(spark, sf_dir):
-    q = questions(spark, sf_dir)
-    got = evaluation.random_policy(q, 5, seed=1, buckets=4)
-    return got.select("id", F.array_join("predicted", ",").alias("predicted"))
-
-
-def random_own(spark, sf_dir):
     """Five ids of the whole pool for each question, its own."""
     got = evaluation.random_policy(questions(spark, sf_dir), 5, seed=1)
     return got.select("id", F.array_join("predicted", ",").alias("predicted"))
 
 
+def summary_lines(spark, sf_dir):
+    """One line a source, and one for all, as a report prints it."""
+    return evaluation.report(scored(spark, sf_dir)).select("source", evaluation.summary(F.concat(F.lit("hash:"), "source"), F.col("n"), F.round("mean_ndcg", 9), F.round("mean_recall", 9), F.round("mean_f1", 9)).alias("line"))
+
+
 def vector_policy(spark, sf_dir):
     got = evaluation.vector_policy(vectors.top_k(queries(spark, sf_dir), base(spark, sf_dir), 5))
     return got.select("id", F.array_join("predicted", ",").alias("predicted"))
@@ -102,7 +102,7 @@ QUERIES = {
     "golden_pool": golden_pool,
     **{f"{q}_uncapped": partial(f, max_answers=None) for q, f in SIZED.items()},
     "random_policy": random_policy,
-    "random_policy_own": random_own,
+    "summary_lines": summary_lines,
     "vector_policy": vector_policy,
 }
 ORACLES = {
@@ -114,19 +114,16 @@ SELECT id, round(CASE WHEN parsed THEN greatest(0.0, ndcg + 0.1 - dump - len) EL
 round(CAST(CASE WHEN parsed THEN dump ELSE 0.0 END AS DOUBLE), 6) AS dump_penalty, CASE WHEN parsed THEN junk ELSE 0 END AS junk_count, round(CAST(CASE WHEN parsed THEN len ELSE 0.0 END AS DOUBLE), 6) AS length_penalty,
 parsed, CASE WHEN parsed THEN n_entities ELSE 0 END AS n_entities, parsed AND truncated AS truncated, CASE WHEN parsed THEN 'ok' ELSE 'unparsed' END AS outcome FROM r""",
     "golden_pool": f"WITH {_G} SELECT DISTINCT unnest(string_split(answers || CASE WHEN bridges = '' THEN '' ELSE ',' || bridges END, ',')) AS qid FROM g",
-    "random_policy": f"""
-WITH {_G}, pool AS (SELECT DISTINCT unnest(string_split(answers || CASE WHEN bridges = '' THEN '' ELSE ',' || bridges END, ',')) AS qid FROM g),
-b AS (SELECT qid, CAST('0x' || left(sha256('1|' || qid), 6) AS INT) % 4 AS b, sha256('1|' || qid) AS h FROM pool), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY h) AS n FROM b),
-l AS (SELECT b, string_agg(qid, ',' ORDER BY n) AS predicted FROM r WHERE n <= 5 GROUP BY b)
-SELECT g.id, coalesce(l.predicted, '') AS predicted FROM g LEFT JOIN l ON l.b = CAST('0x' || left(sha256('1|' || g.id), 6) AS INT) % 4""",
     "vector_policy": """
 WITH s AS (SELECT q.vec_id AS q, v.vec_id AS id, list_inner_product([CAST(x AS DOUBLE) FOR x IN q.embedding], [CAST(x AS DOUBLE) FOR x IN v.embedding]) / sqrt(list_inner_product([CAST(x AS DOUBLE) FOR x IN q.embedding], [CAST(x AS DOUBLE) FOR x IN q.embedding]) * list_inner_product([CAST(x AS DOUBLE) FOR x IN v.embedding], [CAST(x AS DOUBLE) FOR x IN v.embedding])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
 r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS k FROM s) SELECT q AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) AS predicted FROM r WHERE k <= 5 GROUP BY q""",
 }
 ORACLES |= {f"{q}_uncapped": uncapped(ORACLES[q]) for q in SIZED}
-ORACLES["random_policy_own"] = f"""
+ORACLES["random_policy"] = f"""
 WITH {_G}, pool AS (SELECT DISTINCT unnest(string_split(answers || CASE WHEN bridges = '' THEN '' ELSE ',' || bridges END, ',')) AS qid FROM g),
 p AS (SELECT qid, row_number() OVER (ORDER BY sha256('1|' || qid), qid) - 1 AS place FROM pool), c AS (SELECT count(*) AS size FROM pool), t AS (SELECT size, list_filter(range(1, least(size, 1024) + 1), lambda b: gcd(b, size) = 1) AS strides FROM c),
 h AS (SELECT id, size, CAST('0x' || substr(sha256('1|' || id), 1, 12) AS BIGINT) % size AS first, strides[CAST('0x' || substr(sha256('1|' || id), 13, 12) AS BIGINT) % len(strides) + 1] AS stride FROM g, t),
 d AS (SELECT h.id, i.n, (h.first + i.n * h.stride) % h.size AS place FROM h JOIN range(5) i(n) ON i.n < h.size)
 SELECT d.id, string_agg(p.qid, ',' ORDER BY d.n) AS predicted FROM d JOIN p ON p.place = d.place GROUP BY d.id"""
+ORACLES["summary_lines"] = f"""WITH {_SCORED}, x AS (SELECT coalesce(source, 'all') AS source, count(*) AS n, round(avg(ndcg), 9) AS a, round(avg(recall), 9) AS b, round(avg(f1), 9) AS c FROM s GROUP BY GROUPING SETS ((), (source)))
+SELECT source, printf('hash:%s: n=%d  NDCG=%.4f  recall@50=%.4f  F1=%.4f', source, n, a, b, c) AS line FROM x"""

@@ -63,22 +63,18 @@ def title_filter(spark, sf_dir):
     return rows.select("q", odd.alias("title")).where(X.title_ok(F.col("title"), F.col("q")))
 
 
-#: The parts that the title queries without "_all" ask for, as their SQL does.
-FEW = "p_partkey < 60"
-
-
-def titles_asked(spark, sf_dir, where="true"):
+def titles_asked(spark, sf_dir):
     brand = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_brand")).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.concat(F.lit("no "), "p_name"))
-    return table(spark, sf_dir, "part").where(where).select(F.col("p_partkey").alias("id"), F.array(brand, F.col("p_name"), F.col("p_brand"), F.col("p_name")).alias("titles"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(brand, F.col("p_name"), F.col("p_brand"), F.col("p_name")).alias("titles"))
 
 
-def title_lookup(spark, sf_dir, where="true"):
-    asked = titles_asked(spark, sf_dir, where).select(F.explode("titles").alias("title"))
+def title_lookup(spark, sf_dir):
+    asked = titles_asked(spark, sf_dir).select(F.explode("titles").alias("title"))
     return resolve.lookup(asked, T.aliases(spark, sf_dir).where("pos > 0"), T.entities(spark, sf_dir)).groupBy("title").agg(F.count("*").alias("n"), F.min("qid").alias("first"))
 
 
-def title_lists(spark, sf_dir, where="true"):
-    got = resolve.map_titles(titles_asked(spark, sf_dir, where), T.aliases(spark, sf_dir).where("pos > 0"), T.entities(spark, sf_dir))
+def title_lists(spark, sf_dir):
+    got = resolve.map_titles(titles_asked(spark, sf_dir), T.aliases(spark, sf_dir).where("pos > 0"), T.entities(spark, sf_dir))
     return got.select("id", F.array_join("qids", ",").alias("qids"))
 
 
@@ -148,10 +144,8 @@ QUERIES = {
     "url_titles": url_titles,
     "link_lists": link_lists,
     "title_filter": title_filter,
-    "title_lookup_variants": partial(title_lookup, where=FEW),
-    "title_list_to_ids": partial(title_lists, where=FEW),
-    "title_lookup_variants_all": title_lookup,
-    "title_list_to_ids_all": title_lists,
+    "title_lookup_variants": title_lookup,
+    "title_list_to_ids": title_lists,
     "resolve_rank_list": rank_lists,
     "answer_parse": answer_parse,
     "answer_clean": answer_clean,
@@ -160,7 +154,7 @@ QUERIES = {
     "scaffold_text": scaffolds,
 }
 _ASKED = """
-asked AS (SELECT p_partkey AS id, unnest([1, 2, 3, 4]) AS pos, unnest([CASE p_partkey % 3 WHEN 0 THEN upper(p_brand) WHEN 1 THEN p_name ELSE 'no ' || p_name END, p_name, p_brand, p_name]) AS title FROM part WHERE p_partkey < 60)"""
+asked AS (SELECT p_partkey AS id, unnest([1, 2, 3, 4]) AS pos, unnest([CASE p_partkey % 3 WHEN 0 THEN upper(p_brand) WHEN 1 THEN p_name ELSE 'no ' || p_name END, p_name, p_brand, p_name]) AS title FROM part)"""
 _FOUND = f"""
 {T.ENTITY_CTE}, {T.ALIAS_CTE}, {_ASKED}, w AS (SELECT DISTINCT title FROM asked),
 hits AS (SELECT DISTINCT w.title, a.qid FROM w JOIN alias a ON a.pos > 0 AND a.alias IN (w.title, lower(w.title), upper(left(w.title, 1)) || lower(substr(w.title, 2)))),
@@ -202,4 +196,3 @@ k % 10 <> 9 AND k % 2 = 0 AND k % 3 = 0 AS accepted, 'What is ' || k || '?' AS q
 'Find the ' || (n_nationkey % 3) || CASE WHEN n_nationkey % 3 = 1 THEN ' entity' ELSE ' entities' END || ' that the description of ' || n_name || ' names, reached over P69.' AS linked,
 'P69 (educated at); P9999 (P9999)' AS words, CASE WHEN length(n_name) * 3 > 12 THEN left(repeat(n_name, 3), 12) || '...[truncated]' ELSE repeat(n_name, 3) END AS short, 'a_b_' || n_name AS file FROM nation""",
 }
-ORACLES |= {f"{q}_all": ORACLES[q].replace(f" WHERE {FEW}", "") for q in ("title_lookup_variants", "title_list_to_ids")}

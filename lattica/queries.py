@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.catalogue import episodes, graphs, ingest, metrics, texts, vectors
+from lattica.catalogue import episodes, graphs, ingest, metrics, records, texts, vectors
 
 QUERIES = {}
 ORACLES = {}
-for _part in (graphs, vectors, texts, metrics, episodes, ingest):
+for _part in (graphs, vectors, texts, metrics, episodes, ingest, records):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

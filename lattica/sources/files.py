@@ -52,15 +52,37 @@ def verify_lines(spark: SparkSession, minimums: dict[str, int]) -> DataFrame:
 
 
 def read_ragged(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, values ARRAY) of tab-separated lines of any width; blank lines are skipped."""
+    """(qid, values ARRAY, line) of tab-separated lines of any width; ``line`` orders them by file and place; blank lines are skipped."""
     cells = F.split("value", "\t", -1)
-    return spark.read.text(path).where(F.trim("value") != "").select(cells[0].alias("qid"), F.slice(cells, F.lit(2), F.greatest(F.lit(0), F.size(cells) - 1)).alias("values"))
+    lines = spark.read.text(path)
+    return lines.withColumn("line", by_line(lines)).where(F.trim("value") != "").select(cells[0].alias("qid"), F.slice(cells, F.lit(2), F.greatest(F.lit(0), F.size(cells) - 1)).alias("values"), "line")
+
+
+def by_line(rows: DataFrame) -> Column:
+    """What a line's place is: its file's path, then its place in the file.
+
+    Row ids grow within a partition, and a file's partitions are numbered by offset only within one scan, so the offset of the
+    split comes between.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
+def dataset(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Rows of a dataset from Parquet, JSON lines or CSV with a header, by the ending of the path; Parquet without one."""
+    name = path.rstrip("/").lower()
+    if name.endswith((".json", ".jsonl", ".ndjson")):
+        rows = spark.read.json(path)
+    elif name.endswith((".csv", ".tsv")):
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", "\t" if name.endswith("tsv") else ",").csv(path)
+    else:
+        rows = spark.read.parquet(path)
+    return rows.limit(limit) if limit is not None else rows
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(qid, abstract): the other cells of a line are one text, its tabs kept; the last row of a qid wins."""
-    rows = read_ragged(spark, path).select("qid", F.array_join("values", "\t").alias("abstract"), F.monotonically_increasing_id().alias("row"))
-    return rows.groupBy("qid").agg(F.max_by("abstract", "row").alias("abstract"))
+    rows = read_ragged(spark, path).select("qid", F.array_join("values", "\t").alias("abstract"), "line")
+    return rows.groupBy("qid").agg(F.max_by("abstract", "line").alias("abstract"))
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
@@ -70,8 +92,8 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
 
 def read_relations(spark: SparkSession, path: str) -> DataFrame:
     """(pid, label): the first non-empty alias; the first row of a pid wins."""
-    rows = read_ragged(spark, path).select(F.col("qid").alias("pid"), F.try_element_at(F.filter("values", lambda x: x != ""), F.lit(1)).alias("label"), F.monotonically_increasing_id().alias("row"))
-    return rows.where("label is not null").groupBy("pid").agg(F.min_by("label", "row").alias("label"))
+    rows = read_ragged(spark, path).select(F.col("qid").alias("pid"), F.try_element_at(F.filter("values", lambda x: x != ""), F.lit(1)).alias("label"), "line")
+    return rows.where("label is not null").groupBy("pid").agg(F.min_by("label", "line").alias("label"))
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
@@ -102,10 +124,10 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 def read_questions_tolerant(spark: SparkSession, path: str) -> DataFrame:
     """Records of *.jsonl files that parse and have id, question and answers; of an id the first by file name and line."""
     schema = "id string, question string, answer_qids array<string>, bridge_qids array<string>, source string, cypher string, difficulty string"
-    lines = spark.read.text(f"{path}/*.jsonl").select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"))
-    rows = lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), "file", "row")
+    lines = spark.read.text(f"{path}/*.jsonl").withColumn("line", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))).select("value", "line")
+    rows = lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), "line")
     good = rows.where("r.id is not null and r.id <> '' and r.question <> '' and size(r.answer_qids) > 0")
-    first = Window.partitionBy("r.id").orderBy("file", "row")
+    first = Window.partitionBy("r.id").orderBy("line")
     return good.withColumn("n", F.row_number().over(first)).where("n = 1").select("r.*")
 
 

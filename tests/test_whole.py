@@ -29,7 +29,7 @@ def same(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", list(ingest.RECORDS))
 def test_every_order_is_a_record(spark, sf_dir, name):
-    got = same(spark, sf_dir, f"{name}_all")
+    got = same(spark, sf_dir, name)
     n = tables(sf_dir).execute("select count(*) from orders").fetchone()[0]
     if name in ("curriculum_off", "curriculum_sorted", "curriculum_mixed", "rl_rows", "jsonl_tolerant_load"):
         assert len(got) == n
@@ -39,9 +39,9 @@ def test_every_order_is_a_record(spark, sf_dir, name):
 
 def test_every_title_is_asked(spark, sf_dir):
     c = tables(sf_dir)
-    got = same(spark, sf_dir, "title_lookup_variants_all")
+    got = same(spark, sf_dir, "title_lookup_variants")
     assert set(got["title"]) >= {t for (t,) in c.execute("select p_name from part union select p_brand from part").fetchall()}
-    got = same(spark, sf_dir, "title_list_to_ids_all")
+    got = same(spark, sf_dir, "title_list_to_ids")
     assert len(got) == c.execute("select count(*) from part").fetchone()[0]
 
 
@@ -65,7 +65,7 @@ def test_large_sets_stay(spark):
 def test_random_policy_draws_from_the_whole_pool(spark, sf_dir):
     from lattica.operators.evaluation import random_policy
 
-    got = same(spark, sf_dir, "random_policy_own")
+    got = same(spark, sf_dir, "random_policy")
     assert got["predicted"].nunique() > 4
     rows = [(f"q{i}", [f"Q{2 * i}"], [f"Q{2 * i + 1}"]) for i in range(10)]
     golden = spark.createDataFrame(rows, "id string, answers array<string>, bridges array<string>")
