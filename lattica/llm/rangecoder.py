@@ -1,21 +1,27 @@
 """Adaptive context-mixing range coder for token ids, many blocks at once.
 
 A sequence of ids is cut into blocks of BLOCK ids. Every block starts from the same model state and has a checksum of its
-own, so any block can be decoded alone. A model predicts the next id from three orders:
+own, so any block can be decoded alone. A model predicts the next id from three orders, all of which adapt in each block:
 
-* order 2 and order 1: a hashed slot of the last two ids, and of the last one, holds the id that followed and a
-  confidence; how far a confidence is believed is itself learnt, as a probability a confidence level, in each block;
-* order 0: the frequencies of ids in the whole sequence, which the prior carries.
+* order 2 and order 1: a hashed slot of the last two ids, and of the last one, holds the id that followed, a confidence, and a
+  check of its context. How far a confidence is believed (and a slot of another context, confidence 0) is learnt as a probability;
+* order 0: adaptive frequencies of GROUPS groups of ids, which learn from the ids that the higher orders miss; within its
+  group an id has its share in the prior.
+
+The orders are mixed: whether the next id is a candidate is coded with the probability that a logistic mix of the orders gives,
+squash(sum of weights * stretch(probability of each order)), first for the candidate of order 2 (an order 1 that names the
+same id speaks for it, one that names another against it), then, if that is another, for that of order 1. The weights are
+learnt by gradient in each block. What is neither is coded by order 0. All of it is integer arithmetic on tables, so that every machine
+gets the same numbers.
 
 A prior (frequencies of the ids that occur, and the commonest successor of each slot) is where blocks start from; it is
-stored once a sequence. The mix is one interval partition of [0, 2^24): first the order-2 id, then the order-1 id's share
-of the rest, then order 0 with what remains; an id is one step of a 64-bit range coder with 16-bit output, and a carry is
-added to the words that are out. The blocks are lanes of numpy arrays that step together, so a step is a few dozen array
-operations for all of them.
+stored once a sequence. Steps go to a 64-bit range coder with 16-bit output; a carry is added to the words that are out.
+The blocks are lanes of numpy arrays that step together, so a step is some dozens of array operations for all of them.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -26,8 +32,19 @@ U = np.uint64
 BLOCK, LEAST, LANES = 4096, 256, 2048
 VOCAB = 1 << 16
 T1, T2 = 1 << 10, 1 << 11
-MOST = 57344
+#: Bounds of a mixed probability of 2^16, groups of order 0, the least share of a group of 2^16,
+#: how slowly groups adapt, and the bits beyond 2^16 that their shares are kept in (rounding then never empties a group).
+FEWEST, MOST = 64, 57344
+GROUPS, FLOOR, RATE, FINE = 64, 64, 8, 6
 LOW40 = U(1 << 40)
+#: Bound of a weight, at which the sums of inputs still fit 32 bits.
+MOST_WEIGHT = 1 << 18
+#: ln(p / (1 - p)) * 256 of p in 4096ths, and the 2^16ths of 1 / (1 + exp(-x / 256)) for x from -2047.
+STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int32)
+SQUASH = np.array([min(MOST, max(FEWEST, round(65536 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
+#: What the cumulative shares of groups move to when a group comes, [group, edge].
+_EDGE = np.arange(GROUPS + 1)
+MIXIN = np.where(_EDGE[None, :] <= np.arange(GROUPS)[:, None], _EDGE * FLOOR, 65536 - (GROUPS - _EDGE) * FLOOR).astype(np.int32) << FINE
 
 
 def _slot1(a: np.ndarray) -> np.ndarray:
@@ -38,21 +55,51 @@ def _slot2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a * 40503 + b * 60493) >> 5) & (T2 - 1)
 
 
-def _commonest(slot: np.ndarray, follows: np.ndarray, slots: int) -> np.ndarray:
-    pair, n = np.unique(slot.astype(np.int64) << 16 | follows, return_counts=True)
+def _check1(a: np.ndarray) -> np.ndarray:
+    return (a * 40503 >> 14) & 255
+
+
+def _check2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a * 40503 + b * 60493) >> 16) & 255
+
+
+def _commonest(slot: np.ndarray, check: np.ndarray, follows: np.ndarray, slots: int) -> np.ndarray:
+    """Of each slot, check << 16 | id of the commonest successor."""
+    pair, n = np.unique(slot.astype(np.int64) << 24 | check << 16 | follows, return_counts=True)
     order = np.lexsort((pair, n))  # the last write of a slot is its commonest successor
-    out = np.zeros(slots, np.uint16)
-    out[pair[order] >> 16] = pair[order] & 0xFFFF
+    out = np.zeros(slots, np.int32)
+    out[pair[order] >> 24] = pair[order] & 0xFFFFFF
     return out
 
 
 class Prior:
-    """What blocks start from: order-0 frequencies that sum to 2^16 and a first prediction of each slot."""
+    """What blocks start from: order-0 frequencies that sum to 2^16 and a first prediction of each slot (check << 16 | id)."""
 
     def __init__(self, freq: np.ndarray, first1: np.ndarray, first2: np.ndarray):
         self.freq, self.first1, self.first2 = freq.astype(np.int64), first1, first2
-        self.cum = np.concatenate([[0], np.cumsum(self.freq)])
-        self.slot = np.repeat(np.arange(len(freq)), self.freq)
+        # Groups of about equal frequency, commonest ids first; ids have 2^16ths of their group.
+        some = np.flatnonzero(self.freq)
+        some = some[np.argsort(-self.freq[some], kind="stable")]
+        mass = self.freq[some]
+        group = np.minimum((np.cumsum(mass) - mass) * GROUPS >> 16, GROUPS - 1)
+        self.group = np.zeros(VOCAB, np.int64)
+        self.group[some] = group
+        self.cum, self.share = np.zeros(VOCAB, np.int64), np.zeros(VOCAB, np.int64)
+        self.slot = np.zeros((GROUPS, 1 << 16), np.uint16)
+        edges = np.zeros(GROUPS + 1, np.int64)
+        for g in range(GROUPS):
+            own = some[group == g]
+            if len(own):
+                share = np.maximum(1, self.freq[own] * (65536 - len(own)) // self.freq[own].sum())
+                share[0] += 65536 - share.sum()
+                self.share[own], self.cum[own] = share, np.cumsum(share) - share
+                self.slot[g] = np.repeat(own, share)
+            edges[g + 1] = edges[g] + self.freq[own].sum()
+        self.slot = self.slot.ravel()
+        # Groups start from the prior's shares, each FLOOR at least.
+        self.edges = (edges * (65536 - GROUPS * FLOOR) >> 16) + _EDGE * FLOOR
+        self.edges[-1] = 65536
+        self.stretch = STRETCH[np.minimum(self.freq >> 4, 4095)]
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Prior:
@@ -64,11 +111,13 @@ class Prior:
         ids = ids.astype(np.int64)
         a = np.concatenate([[0], ids[:-1]])
         b = np.concatenate([[0, 0], ids[:-2]])[: len(ids)]
-        return cls(freq, _commonest(_slot1(a), ids, T1), _commonest(_slot2(a, b), ids, T2))
+        return cls(freq, _commonest(_slot1(a), _check1(a), ids, T1), _commonest(_slot2(a, b), _check2(a, b), ids, T2))
 
     def pack(self) -> bytes:
         some = np.flatnonzero(self.freq)
-        raw = struct.pack("<I", len(some)) + np.diff(some, prepend=0).astype("<u2").tobytes() + (self.freq[some] - 1).astype("<u2").tobytes() + self.first1.astype("<u2").tobytes() + self.first2.astype("<u2").tobytes()
+        raw = struct.pack("<I", len(some)) + np.diff(some, prepend=0).astype("<u2").tobytes() + (self.freq[some] - 1).astype("<u2").tobytes()
+        for first in (self.first1, self.first2):
+            raw += (first & 0xFFFF).astype("<u2").tobytes() + (first >> 16).astype("u1").tobytes()
         return zlib.compress(raw, 6)
 
     @classmethod
@@ -78,42 +127,78 @@ class Prior:
         some = np.cumsum(np.frombuffer(raw, "<u2", n, 4).astype(np.int64))
         freq = np.zeros(VOCAB, np.int64)
         freq[some] = np.frombuffer(raw, "<u2", n, 4 + 2 * n).astype(np.int64) + 1
-        return cls(freq, np.frombuffer(raw, "<u2", T1, 4 + 4 * n), np.frombuffer(raw, "<u2", T2, 4 + 4 * n + 2 * T1))
+        at, firsts = 4 + 4 * n, []
+        for slots in (T1, T2):
+            firsts.append(np.frombuffer(raw, "<u2", slots, at).astype(np.int32) | np.frombuffer(raw, "u1", slots, at + 2 * slots).astype(np.int32) << 16)
+            at += 3 * slots
+        return cls(freq, *firsts)
 
 
 class Model:
     """The adaptive state of all lanes; ``lanes`` are blocks in step."""
 
     def __init__(self, lanes: int, prior: Prior):
-        # A slot holds id << 4 | confidence.
-        self.t1, self.t2 = (np.tile(first.astype(np.int32) << 4 | 1, lanes) for first in (prior.first1, prior.first2))
-        self.w1, self.w2 = (np.tile(np.minimum(2048 + 3072 * np.arange(16), MOST).astype(np.int32), lanes) for _ in range(2))
+        # A slot holds id << 12 | check << 4 | confidence.
+        first = lambda x: (x & 0xFFFF) << 12 | (x >> 16) << 4 | 1
+        self.prior = prior
+        self.t1, self.t2 = (np.tile(first(x.astype(np.int32)), lanes) for x in (prior.first1, prior.first2))
+        self.w1, self.w2 = (np.tile(np.minimum(1024 + 3072 * np.arange(16), MOST).astype(np.int32), lanes) for _ in range(2))
+        self.groups = np.tile(prior.edges.astype(np.int32) << FINE, (lanes, 1))
+        # Weights of 2^16: of order 2, 1, 0 for the first candidate (by whether order 1 names it too), of order 1, 0 for the second.
+        self.mix = [np.tile(np.array(w, np.int32), lanes) for w in ([60000, 60000], [6000, 30000], [6000, 6000])]
+        self.mix_b = [np.full(lanes, w, np.int32) for w in (60000, 6000)]
         self.at1, self.at2, self.at16 = (np.arange(lanes, dtype=np.int64) * k for k in (T1, T2, 16))
+        self.at_set = np.arange(lanes, dtype=np.int64) * 2
         self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, m: int) -> tuple[np.ndarray, ...]:
         """For the first m lanes: the two ids, and the ends of their intervals of 2^16."""
         a = self.p1[:m]
         h = a * 40503
-        self.i1 = self.at1[:m] + (h >> 4 & (T1 - 1))
-        self.i2 = self.at2[:m] + (h + self.p2[:m] * 60493 >> 5 & (T2 - 1))
+        k = h + self.p2[:m] * 60493
+        self.i1, self.i2 = self.at1[:m] + (h >> 4 & (T1 - 1)), self.at2[:m] + (k >> 5 & (T2 - 1))
+        self.c1, self.c2 = (h >> 14 & 255).astype(np.int32), (k >> 16 & 255).astype(np.int32)
         self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.j1, self.j2 = self.at16[:m] + (self.e1 & 15), self.at16[:m] + (self.e2 & 15)
-        y1, y2 = self.e1 >> 4, self.e2 >> 4
+        self.ok1, self.ok2 = self.e1 >> 4 & 255 == self.c1, self.e2 >> 4 & 255 == self.c2
+        self.j1, self.j2 = self.at16[:m] + (self.e1 & 15) * self.ok1, self.at16[:m] + (self.e2 & 15) * self.ok2
+        y1, y2 = self.e1 >> 12, self.e2 >> 12
         self.v1, self.v2 = self.w1.take(self.j1), self.w2.take(self.j2)
-        end2 = self.v2.astype(np.int64)
-        return y1, y2, end2, end2 + ((65536 - end2) * self.v1 >> 16) * (y1 != y2)
+        s1, s2 = STRETCH.take(self.v1 >> 4), STRETCH.take(self.v2 >> 4)
+        self.same = y1 == y2
+        self.set = self.at_set[:m] + self.same
+        self.in_a = (s2, np.where(self.same, s1, -s1), self.prior.stretch.take(y2))
+        self.in_b = (s1, self.prior.stretch.take(y1))
+        self.wa = [w.take(self.set) for w in self.mix]
+        (a2, a1, a0), (x2, x1, x0) = self.wa, self.in_a
+        self.pa = SQUASH.take((a2 * x2 + a1 * x1 + a0 * x0 >> 16) + 2047, mode="clip")
+        self.pb = SQUASH.take((self.mix_b[0][:m] * self.in_b[0] + self.mix_b[1][:m] * self.in_b[1] >> 16) + 2047, mode="clip")
+        end2 = self.pa.astype(np.int64)
+        return y1, y2, end2, end2 + ((65536 - end2) * self.pb >> 16) * ~self.same
 
     def update(self, m: int, ids: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> None:
-        for y, e, table, i, weight, j, v in ((y1, self.e1, self.t1, self.i1, self.w1, self.j1, self.v1), (y2, self.e2, self.t2, self.i2, self.w2, self.j2, self.v2)):
+        ids = ids.astype(np.int32)
+        for y, e, c, ok, table, i, weight, j, v in ((y1, self.e1, self.c1, self.ok1, self.t1, self.i1, self.w1, self.j1, self.v1), (y2, self.e2, self.c2, self.ok2, self.t2, self.i2, self.w2, self.j2, self.v2)):
             hit = y == ids
-            new = np.where((e & 15) > 1, e - 1, ids << 4 | 1)  # a miss: less confidence, or the id that came
-            np.copyto(new, np.where((e & 15) < 14, e + 2, e), where=hit)
+            sure = e & 15
+            new = np.where(sure > 1, e - 1, ids << 12 | c << 4 | 1)  # a miss: less confidence, or the id that came
+            np.copyto(new, np.where(ok, e + np.minimum(15 - sure, 2), y << 12 | c << 4 | sure), where=hit)
             table[i] = new
             weight[j] = v + (hit * (MOST - 64) + 32 - v >> 5)
+        # Weights follow the gradient of the coding cost: the error times the input.
+        hit = y2 == ids
+        error = (hit * 65536 - self.pa) >> 4
+        for w, now, x in zip(self.mix, self.wa, self.in_a):
+            w[self.set] = np.minimum(np.maximum(now + (x * error >> 11), -MOST_WEIGHT), MOST_WEIGHT)
+        error = ((y1 == ids) * 65536 - self.pb >> 4) * ~(hit | self.same)
+        for w, x in zip(self.mix_b, self.in_b):
+            w[:m] = np.minimum(np.maximum(w[:m] + (x * error >> 11), -MOST_WEIGHT), MOST_WEIGHT)
         self.p2[:m] = self.p1[:m]
         self.p1[:m] = ids
 
+    def learn(self, lanes: np.ndarray, edges: np.ndarray, group: np.ndarray) -> None:
+        """Order 0 of these lanes, whose edges are given, moves to the group that came."""
+        self.groups[lanes] = edges + (MIXIN[group] - edges >> RATE)
+
 
 def block_size(n: int) -> int:
     """The block size for a sequence of n ids."""
@@ -128,13 +213,77 @@ def _live(n: int, lanes: int, block: int, k: int) -> int:
     return lanes if k < n - (lanes - 1) * block else lanes - 1
 
 
-def _carry(out: np.ndarray, pos: np.ndarray, lanes: np.ndarray) -> None:
-    """Adds one to what these lanes have put out."""
-    at = pos[lanes] - 1
-    while len(lanes):
-        out[lanes, at] += 1
-        on = out[lanes, at] == 0
-        lanes, at = lanes[on], at[on] - 1
+class _Writer:
+    def __init__(self, lanes: int, words: int):
+        self.low, self.rng = np.zeros(lanes, U), np.full(lanes, 1 << 56, U)
+        self.out, self.pos = np.zeros((lanes, words), np.uint16), np.zeros(lanes, np.int64)
+
+    def put(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
+        """Codes intervals of 2^24 on some lanes, or on the first ones."""
+        old = self.low[lanes]
+        r = self.rng[lanes] >> U(24)
+        new = old + r * start.view(U)
+        over = np.flatnonzero(new < old)
+        if len(over):
+            self._carry(over if isinstance(lanes, slice) else lanes[over])
+        rng = r * size.view(U)
+        self.low[lanes], self.rng[lanes] = new, rng
+        on = np.flatnonzero(rng < LOW40)
+        on = on if isinstance(lanes, slice) else lanes[on]
+        while len(on):
+            lo = self.low[on]
+            self.out[on, self.pos[on]] = lo >> U(48)
+            self.pos[on] += 1
+            self.low[on] = lo << U(16)
+            ra = self.rng[on] << U(16)
+            self.rng[on] = ra
+            on = on[ra < LOW40]
+
+    def _carry(self, lanes: np.ndarray) -> None:
+        """Adds one to what these lanes have put out."""
+        at = self.pos[lanes] - 1
+        while len(lanes):
+            self.out[lanes, at] += 1
+            on = self.out[lanes, at] == 0
+            lanes, at = lanes[on], at[on] - 1
+
+    def blocks(self) -> list[bytes]:
+        every = np.arange(len(self.low))
+        for _ in range(4):
+            self.out[every, self.pos] = self.low >> U(48)
+            self.low <<= U(16)
+            self.pos += 1
+        return [self.out[i, : self.pos[i]].astype("<u2").tobytes() for i in every]
+
+
+class _Reader:
+    def __init__(self, blocks: list[bytes]):
+        self.words = np.frombuffer(b"".join(blocks) + bytes(16), "<u2").astype(U)
+        self.pos = np.concatenate([[0], np.cumsum([len(b) // 2 for b in blocks])[:-1]])
+        # The decoder needs the code less low only.
+        self.rng, self.code = np.full(len(blocks), 1 << 56, U), np.zeros(len(blocks), U)
+        for _ in range(4):
+            self.code = self.code << U(16) | self.words[self.pos]
+            self.pos += 1
+
+    def peek(self, lanes: np.ndarray | slice) -> np.ndarray:
+        """Where in 2^24 the code is."""
+        self.r = self.rng[lanes] >> U(24)
+        return np.minimum(self.code[lanes] // self.r, U(0xFFFFFF)).view(np.int64)
+
+    def take(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
+        """Leaves the intervals that were peeked at."""
+        self.code[lanes] -= self.r * start.view(U)
+        rng = self.r * size.view(U)
+        self.rng[lanes] = rng
+        on = np.flatnonzero(rng < LOW40)
+        on = on if isinstance(lanes, slice) else lanes[on]
+        while len(on):
+            self.code[on] = self.code[on] << U(16) | self.words[self.pos[on]]
+            self.pos[on] += 1
+            ra = self.rng[on] << U(16)
+            self.rng[on] = ra
+            on = on[ra < LOW40]
 
 
 def encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
@@ -144,47 +293,27 @@ def encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
     grid = np.zeros(lanes * block, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model = Model(lanes, prior)
-    low, rng = np.zeros(lanes, U), np.full(lanes, 1 << 56, U)
-    out, pos = np.zeros((lanes, 2 * block + 16), np.uint16), np.zeros(lanes, np.int64)
+    model, writer = Model(lanes, prior), _Writer(lanes, 4 * block + 16)
     for k in range(min(n, block)):
         m = _live(n, lanes, block, k)
         x = grid[k, :m]
         y1, y2, end2, end1 = model.predict(m)
-        rem = 65536 - end1
-        c = prior.cum.take(x)
-        start = rem * c >> 8
-        size = (rem * (c + prior.freq.take(x)) >> 8) - start
-        start += end1 << 8
-        is1 = (x == y1) & (end1 > end2)
-        np.copyto(start, end2 << 8, where=is1)
-        np.copyto(size, end1 - end2 << 8, where=is1)
         is2 = x == y2
-        np.copyto(start, 0, where=is2)
-        np.copyto(size, end2 << 8, where=is2)
-        r = rng[:m] >> U(24)
-        old = low[:m]
-        new = old + r * start.view(U)
-        over = np.flatnonzero(new < old)
-        if len(over):
-            _carry(out, pos, over)
-        low[:m] = new
-        rng[:m] = r * size.view(U)
-        on = np.flatnonzero(rng[:m] < LOW40)
-        while len(on):
-            lo = low[on]
-            out[on, pos[on]] = lo >> U(48)
-            pos[on] += 1
-            low[on] = lo << U(16)
-            ra = rng[on] << U(16)
-            rng[on] = ra
-            on = on[ra < LOW40]
+        is1 = (x == y1) & ~is2
+        start, size = end2 * is1 << 8, np.where(is2, end2, end1 - end2) << 8
+        on = np.flatnonzero(~(is1 | is2))
+        group = prior.group.take(x[on])
+        edges = model.groups[on]
+        rest, row = 65536 - end1[on], np.arange(len(on))
+        low = rest * edges[row, group] >> FINE + 8
+        start[on] = low + (end1[on] << 8)
+        size[on] = (rest * edges[row, group + 1] >> FINE + 8) - low
+        writer.put(slice(0, m), start, size)
+        if len(on):
+            writer.put(on, prior.cum.take(x[on]) << 8, prior.share.take(x[on]) << 8)
+            model.learn(on, edges, group)
         model.update(m, x, y1, y2)
-    for _ in range(4):
-        out[np.arange(lanes), pos] = low >> U(48)
-        low <<= U(16)
-        pos += 1
-    return [out[i, : pos[i]].astype("<u2").tobytes() for i in range(lanes)]
+    return writer.blocks()
 
 
 def decode(blocks: list[bytes], n: int, prior: Prior, block: int) -> np.ndarray:
@@ -192,44 +321,31 @@ def decode(blocks: list[bytes], n: int, prior: Prior, block: int) -> np.ndarray:
     lanes = len(blocks)
     if not lanes:
         return np.zeros(0, np.int32)
-    words = np.frombuffer(b"".join(blocks) + bytes(16), "<u2").astype(U)
-    pos = np.concatenate([[0], np.cumsum([len(b) // 2 for b in blocks])[:-1]])
-    model = Model(lanes, prior)
-    # The decoder needs the code less low only.
-    rng, code = np.full(lanes, 1 << 56, U), np.zeros(lanes, U)
-    for _ in range(4):
-        code = code << U(16) | words[pos]
-        pos += 1
+    model, reader = Model(lanes, prior), _Reader(blocks)
     grid = np.zeros((block, lanes), np.int32)
     for k in range(min(n, block)):
         m = _live(n, lanes, block, k)
         y1, y2, end2, end1 = model.predict(m)
-        r = rng[:m] >> U(24)
-        v = np.minimum(code[:m] // r, U(0xFFFFFF)).view(np.int64)
-        rem = 65536 - end1
-        inside = np.maximum(v - (end1 << 8), 0)
-        x = prior.slot.take(np.minimum(((inside + 1 << 8) - 1) // rem, 65535))
-        c = prior.cum.take(x)
-        start = rem * c >> 8
-        size = (rem * (c + prior.freq.take(x)) >> 8) - start
-        start += end1 << 8
-        is1 = v < end1 << 8
-        np.copyto(x, y1, where=is1)
-        np.copyto(start, end2 << 8, where=is1)
-        np.copyto(size, end1 - end2 << 8, where=is1)
+        v = reader.peek(slice(0, m))
         is2 = v < end2 << 8
-        np.copyto(x, y2, where=is2)
-        np.copyto(start, 0, where=is2)
-        np.copyto(size, end2 << 8, where=is2)
-        code[:m] -= r * start.view(U)
-        rng[:m] = r * size.view(U)
-        on = np.flatnonzero(rng[:m] < LOW40)
-        while len(on):
-            code[on] = code[on] << U(16) | words[pos[on]]
-            pos[on] += 1
-            ra = rng[on] << U(16)
-            rng[on] = ra
-            on = on[ra < LOW40]
+        is1 = (v < end1 << 8) & ~is2
+        x = np.where(is2, y2, y1)
+        start, size = end2 * is1 << 8, np.where(is2, end2, end1 - end2) << 8
+        on = np.flatnonzero(~(is1 | is2))
+        edges = model.groups[on]
+        rest, row = 65536 - end1[on], np.arange(len(on))
+        inside = v[on] - (end1[on] << 8)
+        upto = ((inside + 1 << FINE + 8) - 1) // rest  # the greatest edge that isn't above
+        group = np.minimum((edges[:, 1:] <= upto.astype(np.int32)[:, None]).sum(1), GROUPS - 1)
+        low = rest * edges[row, group] >> FINE + 8
+        start[on] = low + (end1[on] << 8)
+        size[on] = (rest * edges[row, group + 1] >> FINE + 8) - low
+        reader.take(slice(0, m), start, size)
+        if len(on):
+            w = reader.peek(on)
+            x[on] = prior.slot.take(group << 16 | w >> 8)
+            reader.take(on, prior.cum.take(x[on]) << 8, prior.share.take(x[on]) << 8)
+            model.learn(on, edges, group)
         grid[k, :m] = x
         model.update(m, x, y1, y2)
     return np.ascontiguousarray(grid.T).ravel()[:n]

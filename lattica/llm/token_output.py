@@ -4,7 +4,7 @@ Documents are range-partitioned and sorted by doc_id, encoded, and packed into s
 more each). A shard is one row of a Parquet table that Spark writes (so attempts that are lost leave nothing):
 part (range) and seq (place within it) give the order; ``shard`` holds the bytes below, which stand by themselves.
 
-    magic 'LTS1' | version u16 | block u16 | documents u32 | ids u64 | blocks u32 | prior's bytes u32 | CRC-32 of these u32
+    magic 'LTS2' | version u16 | block u16 | documents u32 | ids u64 | blocks u32 | prior's bytes u32 | CRC-32 of these u32
     doc_ids i64 x documents, null flags u8 x documents, lengths u32 x documents, CRC-32 of these u32
     the coder's prior, CRC-32 of it u32
     bytes u32 and CRC-32 u32 of each block, CRC-32 of these u32
@@ -119,7 +119,7 @@ def pack(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     prior = rangecoder.Prior.of(ids) if len(ids) else None
     blocks = rangecoder.encode(ids, prior, block) if len(ids) else []
     start = prior.pack() if prior else b""
-    head = HEAD.pack(b"LTS1", 1, block, len(doc_ids), len(ids), len(blocks), len(start))
+    head = HEAD.pack(b"LTS2", 2, block, len(doc_ids), len(ids), len(blocks), len(start))
     docs = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(lengths, "<u4").tobytes()
     index = np.array([(len(b), zlib.crc32(b)) for b in blocks], "<u4").tobytes()
     return b"".join(x + struct.pack("<I", zlib.crc32(x)) for x in (head, docs, start, index)) + b"".join(blocks)
@@ -136,7 +136,7 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
     head, at = part(0, HEAD.size)
     magic, version, block, n_docs, n_ids, n_blocks, n_prior = HEAD.unpack(head)
-    if magic != b"LTS1" or version != 1:
+    if magic != b"LTS2" or version != 2:
         raise ValueError("not a shard of this format")
     docs, at = part(at, n_docs * 13)
     start, at = part(at, n_prior)
