@@ -57,8 +57,8 @@ def _own_draws(golden: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def summary(policy: Column, n: Column, ndcg: Column, recall: Column, f1: Column, k: int = 50) -> Column:
-    """A report in one line, means to four places."""
-    return F.format_string(f"%s: n=%d  NDCG=%.4f  recall@{k}=%.4f  F1=%.4f", policy, n, ndcg, recall, f1)
+    """A report in one line, means to four places, halves to even."""
+    return F.format_string(f"%s: n=%d  NDCG=%.4f  recall@{k}=%.4f  F1=%.4f", policy, n, *(F.bround(x, 4) for x in (ndcg, recall, f1)))
 
 
 def progress(accepted: Column, attempts: Column, target: int, seconds: Column) -> Column:
@@ -66,7 +66,7 @@ def progress(accepted: Column, attempts: Column, target: int, seconds: Column) -
     rate = F.when(attempts > 0, accepted / attempts).otherwise(0.0)
     pace = F.when(seconds > 0, accepted / seconds).otherwise(0.0)
     to_go = F.when(pace > 0, F.greatest(F.lit(target) - accepted, F.lit(0)) / pace).otherwise(-1.0)
-    return F.format_string(f"%d/{target} accepted, %.1f%% of %d attempts, %.2f/s, %.0f s to go", accepted, rate * 100, attempts, F.when(seconds > 0, attempts / seconds).otherwise(0.0), to_go)
+    return F.format_string(f"%d/{target} accepted, %.1f%% of %d attempts, %.2f/s, %.0f s to go", accepted, F.bround(rate * 100, 1), attempts, F.bround(F.when(seconds > 0, attempts / seconds).otherwise(0.0), 2), F.bround(to_go, 0))
 
 
 def vector_policy(hits: DataFrame) -> DataFrame:
