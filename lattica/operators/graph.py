@@ -69,11 +69,12 @@ def neighbors(triples: DataFrame, titles: DataFrame, labels: DataFrame, qid: str
     ensure_checkpoint_dir(triples.sparkSession)
     found = found.select("src", "rel", "dst").checkpoint()  # the node's own edges: the triples are read once for the total and the page
     total = found.count()
-    page = found.orderBy("rel", "dst", "src").offset(offset).limit(limit)
-    # At most `limit` ids are broadcast to the titles, so these aren't shuffled.
-    known = titles.select(F.col("qid").alias("id"), F.col("title").alias("dst_title")).join(F.broadcast(page.select(F.col("dst").alias("id")).distinct()), "id")
-    page = label_edges(page, labels).join(F.broadcast(known.groupBy("id").agg(F.min("dst_title").alias("dst_title"))), F.col("dst") == F.col("id"), "left")
-    return page.select(F.lit(total).cast("long").alias("total"), "src", "rel", "rel_label", "dst", F.coalesce("dst_title", "dst").alias("dst_title")).orderBy("rel", "dst", "src")
+    page = found.orderBy("rel", "dst", "src").offset(offset).limit(limit).collect()  # `limit` rows at most, so titles and labels are asked for by id
+    by_id = lambda df, key, value, ids: {r[0]: r[1] for r in df.where(F.col(key).isin(sorted(ids))).groupBy(key).agg(F.min(value)).collect()} if ids else {}
+    title = by_id(titles, "qid", "title", {r.dst for r in page})
+    label = by_id(labels, "pid", "label", {r.rel for r in page})
+    rows = [(total, r.src, r.rel, label.get(r.rel) or r.rel, r.dst, title.get(r.dst) or r.dst) for r in page]
+    return triples.sparkSession.createDataFrame(rows, "total long, src string, rel string, rel_label string, dst string, dst_title string")
 
 
 def hop(triples: DataFrame, anchors: DataFrame, seed: int = 0, pool: int = 25) -> DataFrame:
