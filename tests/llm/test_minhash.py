@@ -152,3 +152,9 @@ def test_ids_of_other_types_and_reserved_names(spark):
         assert sorted(str(r.class_id) for r in got) == ["1", "1", "3"]
     kept = M.one_of_each(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_documents_against_all_pairs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert {r.doc_id: r.class_id for r in M.near_classes(docs).collect()} == classes(rows)
