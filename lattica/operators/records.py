@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +81,3 @@ def benchmark_records(rows: DataFrame, aliases: DataFrame, entities: DataFrame,
     found = asked.join(mapped, "id")
     none = F.array().cast("array<string>")
     return found.select(*_record(F.concat(F.lit(f"{prefix}-"), F.col("id").cast("string")), F.col("question"), F.col("qids"), none, "frames", None, F.greatest(F.lit(1), F.size("titles"))))
-
-
-def is_record_id(value: str) -> bool:
-    return re.fullmatch(r"(kg|sim)-[0-9a-f]{12}|frames-[0-9]+", value) is not None
