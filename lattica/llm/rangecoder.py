@@ -63,12 +63,21 @@ def _check2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a * 40503 + b * 60493) >> 16) & 255
 
 
-def _commonest(slot: np.ndarray, check: np.ndarray, follows: np.ndarray, slots: int) -> np.ndarray:
-    """Of each slot, check << 16 | id of the commonest successor."""
-    pair, n = np.unique(slot.astype(np.int64) << 24 | check << 16 | follows, return_counts=True)
-    order = np.lexsort((pair, n))  # the last write of a slot is its commonest successor
+def _commonest(ids: np.ndarray, order: int, slots: int, step: int = 1 << 18) -> np.ndarray:
+    """Of each slot of an order, check << 16 | id of the commonest successor. One array of 8 bytes an id is held, and sorted in place."""
+    n = len(ids)
+    pair = np.empty(n, np.int64)
+    for at in range(0, n, step):
+        x = ids[at : at + step].astype(np.int64)
+        a, b = (np.concatenate([np.zeros(max(0, k - at), np.int64), ids[max(0, at - k) : at + len(x) - k].astype(np.int64)])[: len(x)] for k in (1, 2))
+        slot, check = (_slot1(a), _check1(a)) if order == 1 else (_slot2(a, b), _check2(a, b))
+        pair[at : at + len(x)] = slot << 24 | check << 16 | x
+    pair.sort()
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    times, pair = np.diff(first, append=n), pair[first]
+    last = np.lexsort((pair, times))  # the last write of a slot is its commonest successor
     out = np.zeros(slots, np.int32)
-    out[pair[order] >> 24] = pair[order] & 0xFFFFFF
+    out[pair[last] >> 24] = pair[last] & 0xFFFFFF
     return out
 
 
@@ -108,10 +117,7 @@ class Prior:
         freq = np.zeros(VOCAB, np.int64)
         freq[some] = np.maximum(1, n[some] * (65536 - len(some)) // n.sum())
         freq[some[np.argmax(n[some])]] += 65536 - freq.sum()
-        ids = ids.astype(np.int64)
-        a = np.concatenate([[0], ids[:-1]])
-        b = np.concatenate([[0, 0], ids[:-2]])[: len(ids)]
-        return cls(freq, _commonest(_slot1(a), _check1(a), ids, T1), _commonest(_slot2(a, b), _check2(a, b), ids, T2))
+        return cls(freq, _commonest(ids, 1, T1), _commonest(ids, 2, T2))
 
     def pack(self) -> bytes:
         some = np.flatnonzero(self.freq)
