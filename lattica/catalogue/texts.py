@@ -33,9 +33,9 @@ def snippets(spark, sf_dir):
 def title_rule(spark, sf_dir):
     """Customers' documents with aliases cut from their first words: prefixes of two lengths and a stranger."""
     head = X.collapse(F.col("text"))
-    some = F.array(F.upper(F.substring(head, 1, 3)), F.concat(F.lit("x"), F.substring(head, 1, 9)), F.lower(F.substring(head, 1, 6)), F.substring(head, 1, 6))
+    some = F.array(X.upper_each(F.substring(head, 1, 3)), F.concat(F.lit("x"), F.substring(head, 1, 9)), X.lower_each(F.substring(head, 1, 6)), F.substring(head, 1, 6))
     names = docs(spark, sf_dir).select(F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("qid"), F.posexplode(some).alias("pos", "alias")).where("qid not like '%5'")
-    texts = docs(spark, sf_dir).where("doc_id % 3 <> 0").select(F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("qid"), F.concat(F.lit('  "'), "text").alias("abstract"))
+    texts = docs(spark, sf_dir).where("doc_id % 3 <> 0").select(F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("qid"), F.concat(F.lit('  "'), F.coalesce("text", F.lit(""))).alias("abstract"))
     return resolve.title_entities(texts, names).select("qid", "title", F.col("abstract").isNull().alias("alias_only"))
 
 
