@@ -75,10 +75,13 @@ def _guard(df: DataFrame, guards: tuple, done: set) -> DataFrame:
 
 def bindings(template: Template, edges: Callable[[str], DataFrame], sampler: bool = False) -> DataFrame:
     """All bindings of the template's variables; ``edges`` gives (src, dst) of a relation."""
-    guards = template.guards + (template.sampler_guards if sampler else ())
+    return _bind(template.name, template.edges, template.guards + (template.sampler_guards if sampler else ()), edges)
+
+
+def _bind(name: str, pattern: tuple, guards: tuple, edges: Callable[[str], DataFrame]) -> DataFrame:
     done: set = set()
     parts: list[DataFrame] = []
-    for a, rel, b in template.edges:
+    for a, rel, b in pattern:
         part = _guard(edges(rel).distinct().select(F.col("src").alias(a), F.col("dst").alias(b)), guards, done)
         rest = []
         for other in parts:
@@ -89,10 +92,68 @@ def bindings(template: Template, edges: Callable[[str], DataFrame], sampler: boo
                 rest.append(other)
         parts = [*rest, part]
     if len(parts) != 1:
-        raise ValueError(f"{template.name} isn't connected")
+        raise ValueError(f"{name} isn't connected")
     return parts[0]
 
 
+@dataclass(frozen=True)
+class Hub:
+    """A variable into which two arms lead: all bindings of one meet all of the other there, a square of the hub's size.
+
+    ``near`` holds the one anchor, ``far`` is answer - ``by`` - hub. The guards between the arms are answer <> anchor and by <> ``of``.
+    """
+
+    at: str
+    near: tuple[tuple[str, str, str], ...]
+    far: tuple[tuple[str, str, str], ...]
+    by: str
+    of: str
+
+
+def hub(template: Template) -> Hub | None:
+    """The hub of a template, if it has that form."""
+    inner = {v for a, _, b in template.edges for v in (a, b)} - {template.answer, *template.anchors}
+    for at in sorted(inner):
+        far, seen = [], {template.answer}
+        while more := [e for e in template.edges if e not in far and ({e[0], e[2]} - {at}) & seen]:
+            far += more
+            seen |= {v for e in more for v in (e[0], e[2])} - {at}
+        near = [e for e in template.edges if e not in far]
+        into = [[e for e in arm if e[2] == at] for arm in (near, far)]
+        mids = seen - {template.answer}
+        if len(template.anchors) != 1 or len(far) != 2 or len(mids) != 1 or not all(into) or seen & set(template.anchors):
+            continue
+        by, others = mids.pop(), {v for a, _, b in near for v in (a, b)}
+        pairs = {frozenset((a, b)) for a, op, b in template.guards if op == "<>"}
+        of = [v for v in others - {at} if frozenset((by, v)) in pairs]
+        if len(of) == 1 and pairs == {frozenset((by, of[0])), frozenset((template.answer, template.anchors[0]))} and len(template.guards) == 2:
+            return Hub(at, tuple(near), tuple(far), by, of[0])
+    return None
+
+
+def _arms(template: Template, h: Hub, edges: Callable[[str], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Both arms, the hubs' answers (hub, n), and how many of them only one ``by`` gives (hub, by, own)."""
+    near, far = (_bind(template.name, arm, (), edges) for arm in (h.near, h.far))
+    answers = far.groupBy(h.at, template.answer).agg(F.min(h.by).alias("lo_"), F.max(h.by).alias("hi_"))
+    sizes = answers.groupBy(h.at).agg(F.count("*").alias("n_"))
+    own = answers.where("lo_ = hi_").groupBy(h.at, F.col("lo_").alias(h.by)).agg(F.count("*").alias("own_"))
+    return near, far, sizes, own
+
+
+def _few_bindings(template: Template, h: Hub, edges: Callable[[str], DataFrame], most: int) -> DataFrame:
+    """Bindings without those of anchors that have more than ``most`` answers for certain, by counts of the hubs alone.
+
+    An answer is missed at a hub only if it is the anchor or all its ``by`` are ``of``, so n - own - 1 are left at least. Where
+    more than twice as many meet as may stay, one ``of`` has to own the rest, and no anchor that stays sees its rows.
+    """
+    near, far, sizes, own = _arms(template, h, edges)
+    counted = near.join(sizes, h.at).join(own.withColumnRenamed(h.by, h.of), [h.at, h.of], "left").withColumn("left_", F.col("n_") - F.coalesce("own_", F.lit(0)) - 1)
+    many = counted.where(F.col("left_") > most).select(*template.anchors).distinct()
+    near = near.join(many, list(template.anchors), "left_anti")
+    owned = far.join(sizes, h.at).join(own, [h.at, h.by], "left").where((F.col("n_") <= 2 * (most + 1)) | (F.col("n_") - F.coalesce("own_", F.lit(0)) - 1 > most))
+    return _guard(near.join(owned.drop("n_", "own_"), h.at), template.guards, set())
+
+
 def record_id(prefix: str, parts: list[Column]) -> Column:
     """prefix-, then 12 hex digits of SHA-1 over the parts joined by '|'."""
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha1(F.concat_ws("|", *parts).cast("binary")), 1, 12))
@@ -113,7 +174,8 @@ def golden(template: Template, edges: Callable[[str], DataFrame], max_answers: i
 
     Anchors are taken out of the answers before they are counted; sets of 1 to max_answers stay (None: any size).
     """
-    rows = bindings(template, edges)
+    h = hub(template)
+    rows = bindings(template, edges) if h is None or max_answers is None else _few_bindings(template, h, edges, max_answers)
     anchors = [F.col(a) for a in template.anchors]
     if max_answers is not None:
         # Answers are counted before any set is gathered, so an anchor of very many answers never is one array.
