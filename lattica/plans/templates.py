@@ -154,6 +154,54 @@ def _few_bindings(template: Template, h: Hub, edges: Callable[[str], DataFrame],
     return _guard(near.join(owned.drop("n_", "own_"), h.at), template.guards, set())
 
 
+#: Answers and others that meet at one part of a hub, about; a hub's anchors are dealt out to as many parts as that takes.
+UNIT = 4_000_000
+
+
+def _without(array: Column, few: Column) -> Column:
+    """An array without some values, in its order; one pass without a hash set where they are few."""
+    return F.when(F.size(few) <= 8, F.filter(array, lambda q: ~F.array_contains(few, q))).otherwise(F.array_except(array, few))
+
+
+def _hub_sets(template: Template, h: Hub, edges: Callable[[str], DataFrame]) -> DataFrame:
+    """Anchors with the sorted arrays ``answers`` and ``bridges`` of sets of any size, without a row a binding.
+
+    A hub's answers and ``by`` are gathered once; each anchor takes them without those that the guards exclude, of which there
+    are lists as narrow: what its ``of`` alone gives, and whose only answer it is. Only anchors that reach hubs in several ways
+    are grouped once more.
+    """
+    near, far, sizes, own = _arms(template, h, edges)
+    anchor, answer, by = template.anchors[0], template.answer, h.by
+    single = far.groupBy(h.at, answer).agg(F.min(by).alias("lo_"), F.max(by).alias("hi_")).where("lo_ = hi_").groupBy(h.at, F.col("lo_").alias(h.of)).agg(F.collect_set(answer).alias("own_"))
+    lone = far.groupBy(h.at, by).agg(F.min(answer).alias("lo_"), F.max(answer).alias("hi_")).where("lo_ = hi_").groupBy(h.at, F.col("lo_").alias(anchor)).agg(F.collect_set(by).alias("lone_"))
+    held = far.groupBy(h.at).agg(F.sort_array(F.collect_set(answer)).alias("all_"), F.sort_array(F.collect_set(by)).alias("by_"))
+    parts = near.groupBy(h.at).agg(F.count("*").alias("m_")).join(sizes, h.at).select(h.at, F.ceil(F.col("m_") * F.col("n_") / UNIT).alias("parts_"))
+    n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [h.at, "part_"]
+    held = held.join(parts, h.at).select(h.at, "all_", "by_", F.arrays_overlap("all_", "by_").alias("mixed_"), F.explode(F.sequence(F.lit(1).cast("long"), "parts_")).alias("part_")).repartition(n, *keys)
+    ways = near.groupBy(anchor).agg(F.count("*").alias("ways_"))
+    near = near.join(ways, anchor).join(parts, h.at).join(single, [h.at, h.of], "left").join(lone, [h.at, anchor], "left")
+    none = F.array().cast("array<string>")
+    inner = [v for v in template.bridges if v != by]
+    near = near.select(
+        anchor, h.at, "ways_", (F.pmod(F.xxhash64(anchor, h.of), "parts_") + 1).alias("part_"),
+        F.concat(F.coalesce("own_", none), F.array(anchor)).alias("out_"), F.array_distinct(F.array(*inner, anchor)).alias("near_"), F.concat(F.coalesce("lone_", none), F.array(h.of)).alias("not_"),
+    )
+
+    def met(rows: DataFrame) -> DataFrame:
+        # An anchor without any answer goes before arrays are made.
+        rows = rows.repartition(n, *keys).join(held, keys).where(F.exists("all_", lambda q: ~F.array_contains("out_", q)))
+        return rows.select(anchor, "near_", "mixed_", _without(F.col("all_"), F.col("out_")).alias("answers"), _without(F.col("by_"), F.concat("not_", "near_")).alias("others_"))
+
+    one = met(near.where("ways_ = 1"))
+    others = F.when(F.col("mixed_"), F.array_except("others_", "answers")).otherwise(F.col("others_"))
+    kept = F.filter("near_", lambda q: ~F.array_contains("answers", q))
+    one = one.select(anchor, "answers", F.sort_array(F.concat(others, kept)).alias("bridges"))
+    some = met(near.where("ways_ > 1")).groupBy(anchor).agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("answers", "others_", "near_")))
+    some = some.select(anchor, F.sort_array("answers").alias("answers"), F.sort_array(F.array_except(F.concat("others_", "near_"), F.col("answers"))).alias("bridges"))
+    return one.union(some)
+
+
 def record_id(prefix: str, parts: list[Column]) -> Column:
     """prefix-, then 12 hex digits of SHA-1 over the parts joined by '|'."""
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha1(F.concat_ws("|", *parts).cast("binary")), 1, 12))
@@ -175,25 +223,29 @@ def golden(template: Template, edges: Callable[[str], DataFrame], max_answers: i
     Anchors are taken out of the answers before they are counted; sets of 1 to max_answers stay (None: any size).
     """
     h = hub(template)
-    rows = bindings(template, edges) if h is None or max_answers is None else _few_bindings(template, h, edges, max_answers)
     anchors = [F.col(a) for a in template.anchors]
-    if max_answers is not None:
-        # Answers are counted before any set is gathered, so an anchor of very many answers never is one array.
-        answer = F.col(template.answer)
-        other = reduce(lambda x, y: x & y, [answer != a for a in anchors])
-        few = rows.where(other).select(*template.anchors, answer.alias("answer_")).distinct().groupBy(*template.anchors).agg(F.count("*").alias("n_")).where(F.col("n_") <= max_answers)
-        rows = rows.join(few.drop("n_"), list(template.anchors), "left_semi")
-    sets = [F.collect_set(template.answer).alias("answers"), *(F.collect_set(b).alias(f"set_{b}") for b in template.bridges)]
-    got = rows.groupBy(*template.anchors).agg(*sets).withColumn("answers", F.array_sort(filter_answers(F.col("answers"), anchors)))
-    n = F.size("answers")
-    got = got.where((n >= 1) & (n <= max_answers) if max_answers is not None else n >= 1)
-    between = F.concat(*(F.col(f"set_{b}") for b in template.bridges)) if template.bridges else F.array().cast("array<string>")
+    if h is not None and max_answers is None:
+        got = _hub_sets(template, h, edges)
+    else:
+        rows = bindings(template, edges) if h is None else _few_bindings(template, h, edges, max_answers)
+        if max_answers is not None:
+            # Answers are counted before any set is gathered, so an anchor of very many answers never is one array.
+            answer = F.col(template.answer)
+            other = reduce(lambda x, y: x & y, [answer != a for a in anchors])
+            few = rows.where(other).select(*template.anchors, answer.alias("answer_")).distinct().groupBy(*template.anchors).agg(F.count("*").alias("n_")).where(F.col("n_") <= max_answers)
+            rows = rows.join(few.drop("n_"), list(template.anchors), "left_semi")
+        sets = [F.collect_set(template.answer).alias("answers"), *(F.collect_set(b).alias(f"set_{b}") for b in template.bridges)]
+        got = rows.groupBy(*template.anchors).agg(*sets).withColumn("answers", F.array_sort(filter_answers(F.col("answers"), anchors)))
+        n = F.size("answers")
+        got = got.where((n >= 1) & (n <= max_answers) if max_answers is not None else n >= 1)
+        between = F.concat(*(F.col(f"set_{b}") for b in template.bridges)) if template.bridges else F.array().cast("array<string>")
+        got = got.withColumn("bridges", F.array_sort(build_bridges(between, anchors, F.col("answers"))))
     return got.select(
         record_id("kg", [F.lit(template.name), F.array_join(F.array_sort(F.array(*anchors)), "|")]).alias("id"),
         F.array_join(F.array(*anchors), "|").alias("anchors"),
         "answers",
-        F.array_sort(build_bridges(between, anchors, F.col("answers"))).alias("bridges"),
-        n.cast("long").alias("n_answers"),
+        "bridges",
+        F.size("answers").cast("long").alias("n_answers"),
         F.lit(template.hops).cast("long").alias("difficulty"),
     )
 
