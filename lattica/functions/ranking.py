@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -31,7 +32,21 @@ class RewardConfig:
 def top(predicted: Column, k: int) -> Column:
     """Distinct first, cut second."""
     none = F.array().cast("array<string>")
-    return F.slice(F.array_distinct(F.coalesce(predicted, none)), 1, k) if k > 0 else none
+    if k <= 0:
+        return none
+    whole = F.coalesce(predicted, none)
+    # Where the first k differ, the rest needn't be looked at.
+    return _let(F.slice(whole, 1, k), lambda head: F.when(F.size(F.array_distinct(head)) == F.size(head), head).otherwise(F.slice(F.array_distinct(whole), 1, k)))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once, also for a lambda inside."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _found(some: Column, answer: Column, bridge: Column) -> Column:
+    """``some`` with its members that are answers and bridges, so that each of a few isn't sought in long arrays."""
+    return F.struct(some.alias("some"), F.array_intersect(answer, some).alias("answer"), F.array_intersect(bridge, some).alias("bridge"))
 
 
 def _dcg(gains: Column) -> Column:
@@ -41,7 +56,8 @@ def _dcg(gains: Column) -> Column:
 
 def ndcg_two_tier(predicted: Column, answer: Column, bridge: Column, k: int = K) -> Column:
     """Answers gain 2, bridges 1; the ideal is all answers, then the other bridges, cut at k; 0 where there is no ideal."""
-    gains = F.transform(top(predicted, k), lambda q: F.when(F.array_contains(answer, q), 2.0).when(F.array_contains(bridge, q), 1.0).otherwise(0.0))
+    gain = lambda f: F.transform(f["some"], lambda q: F.when(F.array_contains(f["answer"], q), 2.0).when(F.array_contains(f["bridge"], q), 1.0).otherwise(0.0))
+    gains = _let(top(predicted, k), lambda first: _let(_found(first, answer, bridge), gain))
     n, m = F.size(F.array_distinct(answer)), F.size(F.array_except(bridge, answer))
     ideal = F.slice(F.concat(F.array_repeat(F.lit(2.0), n), F.array_repeat(F.lit(1.0), m)), 1, max(k, 0))
     best = _dcg(ideal)
@@ -65,7 +81,7 @@ def reward(predicted: Column, answer: Column, bridge: Column, tokens: Column | N
     cut = F.slice(predicted, 1, config.most)
     other = F.array_except(bridge, answer)
     task = recall_at_k(cut, answer, config.k) if config.metric == "recall" else ndcg_two_tier(cut, answer, other, config.k)
-    junk = F.size(F.filter(cut, lambda q: ~F.array_contains(F.array_union(answer, other), q)))
+    junk = _let(_found(cut, answer, bridge), lambda f: F.size(F.filter(f["some"], lambda q: ~F.array_contains(f["answer"], q) & ~F.array_contains(f["bridge"], q))))
     dump = F.lit(config.dump_weight) * junk / F.lit(float(config.k))
     over = F.greatest(F.lit(0), tokens - config.length_target) if tokens is not None else F.lit(0)
     length = F.coalesce(F.lit(config.length_coef) * over, F.lit(0.0)) if config.length_penalty else F.lit(0.0)

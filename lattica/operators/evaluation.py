@@ -16,7 +16,11 @@ from lattica.operators.splits import PART, indexed, ordered
 def score_questions(golden: DataFrame, predictions: DataFrame, k: int = 50) -> DataFrame:
     """id, source, n_predicted, ndcg, recall and f1 of golden (id, source, answers, bridges) and predictions (id, predicted)."""
     none = F.array().cast("array<string>")
-    rows = golden.join(predictions, "id", "left").withColumn("predicted", F.coalesce("predicted", none))
+    return score_rows(golden.join(predictions, "id", "left").withColumn("predicted", F.coalesce("predicted", none)), k)
+
+
+def score_rows(rows: DataFrame, k: int = 50) -> DataFrame:
+    """The same of rows that hold both (id, source, answers, bridges, predicted): no set is shuffled."""
     p, a, b = F.col("predicted"), F.col("answers"), F.col("bridges")
     return rows.select("id", "source", F.size(p).cast("long").alias("n_predicted"), ndcg_two_tier(p, a, b, k).alias("ndcg"), recall_at_k(p, a, k).alias("recall"), f1_set(p, a).alias("f1"))
 
