@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lattica.functions.ids import seeded
 from lattica.functions.ranking import f1_set, ndcg_two_tier, recall_at_k
 from lattica.operators.splits import PART, indexed, ordered
+from lattica.session import ensure_checkpoint_dir
 
 
 def score_questions(golden: DataFrame, predictions: DataFrame, k: int = 50) -> DataFrame:
@@ -41,13 +42,15 @@ def random_policy(golden: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
     """(id, predicted): min(n, pool) ids of the whole pool for each question, each question its own.
 
     The pool is put into a seeded order; a question begins at a place and goes on in strides that its hash gives, round
-    the pool. Strides share no divisor with the pool's size, so no id comes twice.
+    the pool. Strides share no divisor with the pool's size, so no id comes twice. The pool is checkpointed before it is
+    ordered, as drawing ranges would make all golden sets once more.
     """
     return _own_draws(golden, n, seed)
 
 
 def _own_draws(golden: DataFrame, n: int, seed: int) -> DataFrame:
-    pool = indexed(golden_pool(golden), seeded(seed, F.col("qid")), F.col("qid"))
+    ensure_checkpoint_dir(golden.sparkSession)
+    pool = indexed(golden_pool(golden).checkpoint(), seeded(seed, F.col("qid")), F.col("qid"))
     size = pool.count()
     if not size or n < 1:
         return golden.select("id", F.array().cast("array<string>").alias("predicted"))
