@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.functions.ids import seeded
-from lattica.functions.ranking import f1_set, ndcg_two_tier, recall_at_k
+from lattica.functions.ranking import f1_set, ndcg_of, ndcg_two_tier, recall_at_k
 from lattica.operators.splits import PART, indexed, ordered
 from lattica.session import ensure_checkpoint_dir
 
@@ -26,6 +26,14 @@ def score_rows(rows: DataFrame, k: int = 50) -> DataFrame:
     return rows.select("id", "source", F.size(p).cast("long").alias("n_predicted"), ndcg_two_tier(p, a, b, k).alias("ndcg"), recall_at_k(p, a, k).alias("recall"), f1_set(p, a).alias("f1"))
 
 
+def score_gains(rows: DataFrame, k: int = 50) -> DataFrame:
+    """The same of rows (id, source, gains of the first k, n_predicted, n_hits, n_answers, n_bridges), sets apart from each other."""
+    n, hits = F.col("n_answers"), F.col("n_hits")
+    recall = F.when(n > 0, F.size(F.filter("gains", lambda g: g == 2.0)) / n).otherwise(0.0)
+    f1 = F.when(hits > 0, 2.0 * hits / (F.col("n_predicted") + n)).otherwise(0.0)
+    return rows.select("id", "source", F.col("n_predicted").cast("long").alias("n_predicted"), ndcg_of(F.col("gains"), n, F.col("n_bridges"), k).alias("ndcg"), recall.alias("recall"), f1.alias("f1"))
+
+
 def report(scored: DataFrame) -> DataFrame:
     """Means overall (source 'all') and by source, in one pass of grouping sets."""
     means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in ("ndcg", "recall", "f1")]

@@ -163,12 +163,11 @@ def _without(array: Column, few: Column) -> Column:
     return F.when(F.size(few) <= 8, F.filter(array, lambda q: ~F.array_contains(few, q))).otherwise(F.array_except(array, few))
 
 
-def _hub_sets(template: Template, h: Hub, edges: Callable[[str], DataFrame]) -> DataFrame:
-    """Anchors with the sorted arrays ``answers`` and ``bridges`` of sets of any size, without a row a binding.
+def _hub_parts(template: Template, h: Hub, edges: Callable[[str], DataFrame]) -> DataFrame:
+    """Anchors with sets of any size in parts (see ``golden_parts``), without a row a binding.
 
-    A hub's answers and ``by`` are gathered once; each anchor takes them without those that the guards exclude, of which there
-    are lists as narrow: what its ``of`` alone gives, and whose only answer it is. Only anchors that reach hubs in several ways
-    are grouped once more.
+    A hub's answers and ``by`` are gathered once; each anchor has them and lists of what its guards exclude, which are short: what
+    its ``of`` alone gives, and whose only answer it is. Only anchors that reach hubs in several ways are grouped once more.
     """
     near, far, sizes, own = _arms(template, h, edges)
     anchor, answer, by = template.anchors[0], template.answer, h.by
@@ -190,23 +189,45 @@ def _hub_sets(template: Template, h: Hub, edges: Callable[[str], DataFrame]) ->
 
     def met(rows: DataFrame) -> DataFrame:
         # An anchor without any answer goes before arrays are made.
-        rows = rows.repartition(n, *keys).join(held, keys).where(F.exists("all_", lambda q: ~F.array_contains("out_", q)))
-        return rows.select(anchor, "near_", "mixed_", _without(F.col("all_"), F.col("out_")).alias("answers"), _without(F.col("by_"), F.concat("not_", "near_")).alias("others_"))
-
-    one = met(near.where("ways_ = 1"))
-    others = F.when(F.col("mixed_"), F.array_except("others_", "answers")).otherwise(F.col("others_"))
-    kept = F.filter("near_", lambda q: ~F.array_contains("answers", q))
-    one = one.select(anchor, "answers", F.sort_array(F.concat(others, kept)).alias("bridges"))
-    some = met(near.where("ways_ > 1")).groupBy(anchor).agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("answers", "others_", "near_")))
-    some = some.select(anchor, F.sort_array("answers").alias("answers"), F.sort_array(F.array_except(F.concat("others_", "near_"), F.col("answers"))).alias("bridges"))
+        return rows.repartition(n, *keys).join(held, keys).where(F.exists("all_", lambda q: ~F.array_contains("out_", q)))
+
+    answers = _without(F.col("all_"), F.col("out_"))
+    others = F.when(F.col("mixed_"), F.array_except("by_", answers)).otherwise(F.col("by_"))
+    kept = F.filter("near_", lambda q: ~F.array_contains("all_", q) | F.array_contains("out_", q))
+    one = met(near.where("ways_ = 1")).select(anchor, F.col("all_").alias("answers"), F.col("out_").alias("less_answers"), others.alias("bridges"), F.concat("not_", "near_").alias("less_bridges"), kept.alias("more_bridges"))
+    some = met(near.where("ways_ > 1")).select(anchor, "near_", answers.alias("answers"), _without(F.col("by_"), F.concat("not_", "near_")).alias("others_"))
+    some = some.groupBy(anchor).agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("answers", "others_", "near_")))
+    some = some.select(anchor, F.sort_array("answers").alias("answers"), none.alias("less_answers"), F.sort_array(F.array_except(F.concat("others_", "near_"), F.col("answers"))).alias("bridges"), none.alias("less_bridges"), none.alias("more_bridges"))
     return one.union(some)
 
 
+def _hub_sets(template: Template, h: Hub, edges: Callable[[str], DataFrame]) -> DataFrame:
+    """Anchors with the sorted arrays ``answers`` and ``bridges`` of sets of any size."""
+    bridges = F.sort_array(F.concat(_without(F.col("bridges"), F.col("less_bridges")), F.col("more_bridges")))
+    return _hub_parts(template, h, edges).select(*template.anchors, _without(F.col("answers"), F.col("less_answers")).alias("answers"), bridges.alias("bridges"))
+
+
+def golden_parts(template: Template, edges: Callable[[str], DataFrame], max_answers: int | None = MAX_ANSWERS) -> DataFrame:
+    """The golden sets as id, ``answers`` without ``less_answers``, ``bridges`` without ``less_bridges``, and ``more_bridges``.
+
+    Arrays hold no id twice, those that are lacked may name others too; large arrays are a hub's own, not made for an anchor.
+    """
+    h = hub(template)
+    if h is None or max_answers is not None:
+        none = F.array().cast("array<string>")
+        return golden(template, edges, max_answers).select("id", "answers", none.alias("less_answers"), "bridges", none.alias("less_bridges"), none.alias("more_bridges"))
+    return _hub_parts(template, h, edges).select(_golden_id(template).alias("id"), "answers", "less_answers", "bridges", "less_bridges", "more_bridges")
+
+
 def record_id(prefix: str, parts: list[Column]) -> Column:
     """prefix-, then 12 hex digits of SHA-1 over the parts joined by '|'."""
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha1(F.concat_ws("|", *parts).cast("binary")), 1, 12))
 
 
+def _golden_id(template: Template) -> Column:
+    return record_id("kg", [F.lit(template.name), F.array_join(F.array_sort(F.array(*template.anchors)), "|")])
+
+
 def filter_answers(answers: Column, anchors: list[Column]) -> Column:
     """Answers without anchors and repeats."""
     return F.array_except(answers, F.array(*anchors))
@@ -241,7 +262,7 @@ def golden(template: Template, edges: Callable[[str], DataFrame], max_answers: i
         between = F.concat(*(F.col(f"set_{b}") for b in template.bridges)) if template.bridges else F.array().cast("array<string>")
         got = got.withColumn("bridges", F.array_sort(build_bridges(between, anchors, F.col("answers"))))
     return got.select(
-        record_id("kg", [F.lit(template.name), F.array_join(F.array_sort(F.array(*anchors)), "|")]).alias("id"),
+        _golden_id(template).alias("id"),
         F.array_join(F.array(*anchors), "|").alias("anchors"),
         "answers",
         "bridges",
