@@ -70,6 +70,11 @@ def ndcg_of(gains: Column, n: Column, m: Column, k: int = K) -> Column:
     return _let(_dcg(ideal), lambda best: F.when(best > 0, _dcg(gains) / best).otherwise(0.0))
 
 
+def hash_bound(n: Column, k: int = K) -> Column:
+    """What about 3 k of n hashes are below, as their first 8 hex digits; null where n is too small to gain by it."""
+    return F.when(n > 6 * k, F.lower(F.lpad(F.hex(F.floor(F.lit(3.0 * k * 2**32) / n)), 8, "0")))
+
+
 def hashed_gains(key: Column, tiers: list[tuple[Column, Column | None, float]], k: int = K) -> Column:
     """Gains of the first k ids of disjoint sets (ids without some, gain), all put in the order of SHA-256 of key|id.
 
@@ -79,7 +84,6 @@ def hashed_gains(key: Column, tiers: list[tuple[Column, Column | None, float]],
         return F.array().cast("array<double>")
     names = [f"t{i}" for i in range(len(tiers))]
     n = reduce(add, (F.size(ids) for ids, _, _ in tiers))
-    bound = F.lower(F.lpad(F.hex(F.floor(F.lit(3.0 * k * 2**32) / n)), 8, "0"))
     left = lambda keep: F.struct(*((keep(ids) if less is None else F.array_except(keep(ids), less)).alias(t) for t, (ids, less, _) in zip(names, tiers)))
 
     def first(at: Column) -> Column:
@@ -96,7 +100,7 @@ def hashed_gains(key: Column, tiers: list[tuple[Column, Column | None, float]],
 
         return _let(some, placed)
 
-    return _let(F.struct(F.concat(key, F.lit("|")).alias("key"), F.when(n > 6 * k, bound).alias("bound")), first)
+    return _let(F.struct(F.concat(key, F.lit("|")).alias("key"), hash_bound(n, k).alias("bound")), first)
 
 
 def size_without(ids: Column, less: Column) -> Column:

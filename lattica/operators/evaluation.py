@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.functions.ids import seeded
-from lattica.functions.ranking import f1_set, ndcg_of, ndcg_two_tier, recall_at_k
+from lattica.functions.ranking import f1_set, hash_bound, hashed_gains, ndcg_of, ndcg_two_tier, recall_at_k
 from lattica.operators.splits import PART, indexed, ordered
 from lattica.session import ensure_checkpoint_dir
 
@@ -34,6 +34,36 @@ def score_gains(rows: DataFrame, k: int = 50) -> DataFrame:
     return rows.select("id", "source", F.col("n_predicted").cast("long").alias("n_predicted"), ndcg_of(F.col("gains"), n, F.col("n_bridges"), k).alias("ndcg"), recall.alias("recall"), f1.alias("f1"))
 
 
+def gains_at_hubs(rows: DataFrame, held: DataFrame, k: int = 50) -> DataFrame:
+    """``gains`` (see ``hashed_gains``) of rows whose sets are a hub's all_ and by_ (held, by hub_ and part_), without their own few.
+
+    Rows have hub_, part_, anchor_, id, less_answers, less_bridges, more_bridges, junk, n_answers and n_bridges; other columns stay. Ids
+    are hashed in the condition of a join, which is generated code, and only those below the bound leave it; they are gathered
+    where they are, as the join's keys are a part of the group's. A member without an id brings a row's own columns. Rows
+    with fewer than k ids below their bound take the hub's arrays.
+    """
+    keys, a, b = ["hub_", "part_"], F.col("all_"), F.col("by_")
+    member = lambda ids, answer, bridge: F.transform(ids, lambda q: F.struct(q.alias("q"), F.lit(answer).alias("answer"), F.lit(bridge).alias("bridge")))
+    none = F.array(F.lit(None).cast("string"))
+    members = F.concat(member(none, False, False), member(F.array_except(a, b), True, False), member(F.array_intersect(a, b), True, True), member(F.array_except(b, a), False, True))
+    members = held.select(*keys, F.explode(members).alias("m")).select(*keys, "m.q", "m.answer", "m.bridge")
+    q, columns = F.col("q"), [c for c in rows.columns if c not in (*keys, "anchor_")]
+    rows = rows.withColumns({"key_": F.concat("id", F.lit("|")), "bound_": hash_bound(F.col("n_answers") + F.col("n_bridges") + F.size("junk"), k)})
+    hashed = F.sha2(F.concat("key_", q), 256)
+    gain = F.when(F.col("answer") & ~F.array_contains("less_answers", q), 2.0).when(F.col("bridge") & ~F.array_contains("less_bridges", q), 1.0)
+    met = rows.join(members, keys).where(q.isNull() | F.col("bound_").isNull() | (hashed < F.col("bound_")))
+    met = met.select(*keys, "anchor_", F.when(q.isNull(), F.struct(*columns, "bound_")).alias("own"), F.when(gain.isNotNull(), F.struct(F.unhex(hashed).alias("hash"), gain.alias("gain"))).alias("place"))
+    met = met.groupBy(*keys, "anchor_").agg(F.first("own", ignorenulls=True).alias("own"), F.collect_list("place").alias("places")).select(*keys, "own.*", "places")
+    placed = lambda ids, g: F.transform(ids, lambda q: F.struct(F.unhex(F.sha2(F.concat("id", F.lit("|"), q), 256)).alias("hash"), F.lit(g).alias("gain")))
+    first = F.slice(F.sort_array(F.concat("places", placed("more_bridges", 1.0), placed("junk", 0.0))), 1, k)
+    short = F.col("bound_").isNotNull() & (F.size("places") < k)
+    met = met.select(*keys, *columns, F.transform(first, lambda x: x["gain"]).alias("gains"), short.alias("short_"))
+    whole = [(a, F.col("less_answers"), 2.0), (F.array_except(b, F.array_except(a, F.col("less_answers"))), F.col("less_bridges"), 1.0), (F.col("more_bridges"), None, 1.0), (F.col("junk"), None, 0.0)]
+    held = held.select(*(F.col(c).alias(f"{c}2") for c in keys), "all_", "by_")
+    got = met.join(held, F.col("short_") & (F.col("hub_") == F.col("hub_2")) & (F.col("part_") == F.col("part_2")), "left")
+    return got.select(*columns, F.when(F.col("short_"), hashed_gains(F.col("id"), whole, k)).otherwise(F.col("gains")).alias("gains"))
+
+
 def report(scored: DataFrame) -> DataFrame:
     """Means overall (source 'all') and by source, in one pass of grouping sets."""
     means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in ("ndcg", "recall", "f1")]

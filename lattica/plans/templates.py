@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.plans.triples import RELATIONS
+from lattica.session import ensure_checkpoint_dir
 
 MAX_ANSWERS = 30
 
@@ -163,11 +164,12 @@ def _without(array: Column, few: Column) -> Column:
     return F.when(F.size(few) <= 8, F.filter(array, lambda q: ~F.array_contains(few, q))).otherwise(F.array_except(array, few))
 
 
-def _hub_parts(template: Template, h: Hub, edges: Callable[[str], DataFrame]) -> DataFrame:
-    """Anchors with sets of any size in parts (see ``golden_parts``), without a row a binding.
+def _hub_rows(template: Template, h: Hub, edges: Callable[[str], DataFrame], once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Anchors with sets of any size in parts (see ``golden_parts``), without a row a binding; those that reach hubs in several ways; the hubs.
 
     A hub's answers and ``by`` are gathered once; each anchor has them and lists of what its guards exclude, which are short: what
     its ``of`` alone gives, and whose only answer it is. Only anchors that reach hubs in several ways are grouped once more.
+    ``once``: the hubs are checkpointed, one row each, for those who read them again.
     """
     near, far, sizes, own = _arms(template, h, edges)
     anchor, answer, by = template.anchors[0], template.answer, h.by
@@ -177,7 +179,11 @@ def _hub_parts(template: Template, h: Hub, edges: Callable[[str], DataFrame]) ->
     parts = near.groupBy(h.at).agg(F.count("*").alias("m_")).join(sizes, h.at).select(h.at, F.ceil(F.col("m_") * F.col("n_") / UNIT).alias("parts_"))
     n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [h.at, "part_"]
-    held = held.join(parts, h.at).select(h.at, "all_", "by_", F.arrays_overlap("all_", "by_").alias("mixed_"), F.explode(F.sequence(F.lit(1).cast("long"), "parts_")).alias("part_")).repartition(n, *keys)
+    held = held.join(parts, h.at).select(h.at, "all_", "by_", F.arrays_overlap("all_", "by_").alias("mixed_"), "parts_")
+    if once:
+        ensure_checkpoint_dir(held.sparkSession)
+        held = held.checkpoint()
+    held = held.select(h.at, "all_", "by_", "mixed_", F.explode(F.sequence(F.lit(1).cast("long"), "parts_")).alias("part_")).repartition(n, *keys)
     ways = near.groupBy(anchor).agg(F.count("*").alias("ways_"))
     near = near.join(ways, anchor).join(parts, h.at).join(single, [h.at, h.of], "left").join(lone, [h.at, anchor], "left")
     none = F.array().cast("array<string>")
@@ -194,11 +200,17 @@ def _hub_parts(template: Template, h: Hub, edges: Callable[[str], DataFrame]) ->
     answers = _without(F.col("all_"), F.col("out_"))
     others = F.when(F.col("mixed_"), F.array_except("by_", answers)).otherwise(F.col("by_"))
     kept = F.filter("near_", lambda q: ~F.array_contains("all_", q) | F.array_contains("out_", q))
-    one = met(near.where("ways_ = 1")).select(anchor, F.col("all_").alias("answers"), F.col("out_").alias("less_answers"), others.alias("bridges"), F.concat("not_", "near_").alias("less_bridges"), kept.alias("more_bridges"))
+    one = met(near.where("ways_ = 1")).select(anchor, *keys, F.col("all_").alias("answers"), F.col("out_").alias("less_answers"), others.alias("bridges"), F.concat("not_", "near_").alias("less_bridges"), kept.alias("more_bridges"))
     some = met(near.where("ways_ > 1")).select(anchor, "near_", answers.alias("answers"), _without(F.col("by_"), F.concat("not_", "near_")).alias("others_"))
     some = some.groupBy(anchor).agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("answers", "others_", "near_")))
     some = some.select(anchor, F.sort_array("answers").alias("answers"), none.alias("less_answers"), F.sort_array(F.array_except(F.concat("others_", "near_"), F.col("answers"))).alias("bridges"), none.alias("less_bridges"), none.alias("more_bridges"))
-    return one.union(some)
+    return one, some, held
+
+
+def _hub_parts(template: Template, h: Hub, edges: Callable[[str], DataFrame]) -> DataFrame:
+    """Anchors with sets of any size in parts."""
+    one, some, _ = _hub_rows(template, h, edges)
+    return one.select(*some.columns).union(some)
 
 
 def _hub_sets(template: Template, h: Hub, edges: Callable[[str], DataFrame]) -> DataFrame:
@@ -219,6 +231,21 @@ def golden_parts(template: Template, edges: Callable[[str], DataFrame], max_answ
     return _hub_parts(template, h, edges).select(_golden_id(template).alias("id"), "answers", "less_answers", "bridges", "less_bridges", "more_bridges")
 
 
+def golden_hubs(template: Template, edges: Callable[[str], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """The parts of sets of any size where they are hubs' own (with hub_, part_ and anchor_), of other anchors, and the hubs (hub_, part_, all_, by_).
+
+    The first and the last are dealt out by (hub_, part_). None where the template has no hub.
+    """
+    h = hub(template)
+    if h is None:
+        return None
+    one, some, held = _hub_rows(template, h, edges, once=True)
+    parts = ["answers", "less_answers", "bridges", "less_bridges", "more_bridges"]
+    at = [F.col(h.at).alias("hub_"), "part_"]
+    own = one.select(*at, F.col(template.anchors[0]).alias("anchor_"), _golden_id(template).alias("id"), *parts)
+    return own, some.select(_golden_id(template).alias("id"), *parts), held.select(*at, "all_", "by_")
+
+
 def record_id(prefix: str, parts: list[Column]) -> Column:
     """prefix-, then 12 hex digits of SHA-1 over the parts joined by '|'."""
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha1(F.concat_ws("|", *parts).cast("binary")), 1, 12))
