@@ -8,6 +8,8 @@ costs a few numpy passes over its bytes and no Python object a word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,6 +143,24 @@ def unused(df, *names: str) -> list[str]:
     return out
 
 
+def release() -> None:
+    """Gives free memory of this process back to the system, and what can be made again in some milliseconds."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def tidy(rows: Iterator) -> Iterator:
+    """Passes a task's rows on. At its end the worker, which Spark keeps for later tasks and stages, holds no memory of this one."""
+    yield from rows
+    del rows
+    release()
+
+
 def limits(spark) -> None:
     """Bounds what an Arrow batch holds by rows and bytes; long texts then come in small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

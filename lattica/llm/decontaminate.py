@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm._text import TO_WORDS, limits
+from lattica.llm._text import TO_WORDS, limits, tidy
 from lattica.session import ensure_checkpoint_dir, ship, table
 
 WINDOW = 10
@@ -165,7 +165,7 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_
     """The rows of docs, all columns, that hold no window of an item."""
     ship(docs.sparkSession)
     limits(docs.sparkSession)
-    return _each_page(docs, benchmark, max_item_bytes, lambda df, sent: df.mapInArrow(lambda it: _clean(it, sent, window), docs.schema))
+    return _each_page(docs, benchmark, max_item_bytes, lambda df, sent: df.mapInArrow(lambda it: tidy(_clean(it, sent, window)), docs.schema))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm._text import limits, slices
+from lattica.llm._text import limits, slices, tidy
 from lattica.llm.quality import held_out
 from lattica.session import ship, table
 
@@ -272,7 +272,7 @@ def known_only(docs: DataFrame, parser: Parser) -> DataFrame:
     ship(spark)
     limits(spark)
     sent = spark.sparkContext.broadcast(parser)
-    return docs.mapInArrow(lambda it: _known(it, sent), docs.schema)
+    return docs.mapInArrow(lambda it: tidy(_known(it, sent)), docs.schema)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

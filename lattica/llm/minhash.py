@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from lattica.llm._text import U, limits, shingles, slices, splitmix, unused, words
+from lattica.llm._text import U, limits, shingles, slices, splitmix, tidy, unused, words
 from lattica.llm.components import components
 from lattica.session import ensure_checkpoint_dir, ship, table
 
@@ -228,7 +228,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLO
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow = to_arrow_type(docs.schema["doc_id"].dataType)
     rows = docs.select(F.col("doc_id").alias("d"), "text")
-    marks = rows.mapInArrow(_marks, f"d {kind}, e1 long, e2 long, some boolean, bands array<long>").checkpoint()
+    marks = rows.mapInArrow(lambda it: tidy(_marks(it)), f"d {kind}, e1 long, e2 long, some boolean, bands array<long>").checkpoint()
     copies = marks.where("some and d is not null").groupBy("e1", "e2").agg(F.min("d").alias("n")).checkpoint()
     nodes = marks.where("some").join(copies.select(F.col("n"), F.col("e1").alias("x1"), F.col("e2").alias("x2")), (F.col("d") == F.col("n")) & (F.col("e1") == F.col("x1")) & (F.col("e2") == F.col("x2")))
     banded = nodes.select("n", F.posexplode("bands").alias("band", "bh")).checkpoint()
@@ -240,7 +240,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLO
     texts = rows.join(wanted, F.col("d") == F.col("w"), "left_semi").checkpoint()
     side = lambda k: texts.select(F.col("d").alias(f"d{k}"), F.col("text").alias(f"t{k}"))
     matched = pairs.join(side("b"), F.col("b") == F.col("db")).join(side("a"), F.col("a") == F.col("da")).select("a", "b", "ta", "tb")
-    links = matched.mapInArrow(lambda it: _verify(it, threshold), f"a {kind}, b {kind}").checkpoint()
+    links = matched.mapInArrow(lambda it: tidy(_verify(it, threshold)), f"a {kind}, b {kind}").checkpoint()
     labels = components(links)
     # Buckets that still hold several components: their other pairs.
     comp = labels.select(F.col("n").alias("n2"), "c")

@@ -47,37 +47,34 @@ _EDGE = np.arange(GROUPS + 1)
 MIXIN = np.where(_EDGE[None, :] <= np.arange(GROUPS)[:, None], _EDGE * FLOOR, 65536 - (GROUPS - _EDGE) * FLOOR).astype(np.int32) << FINE
 
 
-def _slot1(a: np.ndarray) -> np.ndarray:
-    return (a * 40503 >> 4) & (T1 - 1)
+def _contexts(ids: np.ndarray, order: int, at: int, end: int) -> np.ndarray:
+    """check << bits of a slot | slot, in an order, of the ids from at to end."""
+    a, b = (np.concatenate([np.zeros(max(0, min(end, k) - at), np.int64), ids[max(0, at - k) : max(0, end - k)].astype(np.int64)]) for k in (1, 2))
+    return a * 40503 >> 4 & (T1 << 8) - 1 if order == 1 else a * 40503 + b * 60493 >> 5 & (T2 << 8) - 1
 
 
-def _slot2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * 40503 + b * 60493) >> 5) & (T2 - 1)
-
-
-def _check1(a: np.ndarray) -> np.ndarray:
-    return (a * 40503 >> 14) & 255
-
-
-def _check2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * 40503 + b * 60493) >> 16) & 255
-
-
-def _commonest(ids: np.ndarray, order: int, slots: int, step: int = 1 << 18) -> np.ndarray:
-    """Of each slot of an order, check << 16 | id of the commonest successor. One array of 8 bytes an id is held, and sorted in place."""
+def _commonest(ids: np.ndarray, order: int, slots: int, step: int = 1 << 18, parts: int = 8) -> np.ndarray:
+    """Of each slot of an order, check << 16 | id of the commonest successor. Slots are sorted in parts; beside the ids, 4 bytes an id are held and a part."""
     n = len(ids)
-    pair = np.empty(n, np.int64)
+    context = np.empty(n, np.uint32)
     for at in range(0, n, step):
-        x = ids[at : at + step].astype(np.int64)
-        a, b = (np.concatenate([np.zeros(max(0, k - at), np.int64), ids[max(0, at - k) : at + len(x) - k].astype(np.int64)])[: len(x)] for k in (1, 2))
-        slot, check = (_slot1(a), _check1(a)) if order == 1 else (_slot2(a, b), _check2(a, b))
-        pair[at : at + len(x)] = slot << 24 | check << 16 | x
-    pair.sort()
-    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    times, pair = np.diff(first, append=n), pair[first]
-    last = np.lexsort((pair, times))  # the last write of a slot is its commonest successor
+        context[at : at + step] = _contexts(ids, order, at, min(at + step, n))
     out = np.zeros(slots, np.int32)
-    out[pair[last] >> 24] = pair[last] & 0xFFFFFF
+    for part in range(parts):
+        pair = []
+        for at in range(0, n, step):
+            c = context[at : at + step]
+            on = np.flatnonzero(c & np.uint32(parts - 1) == part)
+            pair.append((c[on] // np.uint32(parts) << np.uint32(16)) | ids[at : at + step][on].astype(np.uint32))
+        pair = np.concatenate(pair)
+        if not len(pair):
+            continue
+        pair.sort()
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        times, pair = np.diff(first, append=len(pair)), pair[first].astype(np.int64)
+        last = pair[np.lexsort((pair, times))]  # the last write of a slot is its commonest successor
+        c = (last >> 16) * parts + part
+        out[c % slots] = c // slots << 16 | last & 0xFFFF
     return out
 
 
@@ -112,7 +109,9 @@ class Prior:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Prior:
-        n = np.bincount(ids, minlength=VOCAB)
+        n = np.zeros(VOCAB, np.int64)
+        for at in range(0, len(ids), 1 << 18):  # bincount makes 8 bytes of an id
+            n += np.bincount(ids[at : at + (1 << 18)], minlength=VOCAB)
         some = np.flatnonzero(n)
         freq = np.zeros(VOCAB, np.int64)
         freq[some] = np.maximum(1, n[some] * (65536 - len(some)) // n.sum())
@@ -221,11 +220,25 @@ def _live(n: int, lanes: int, block: int, k: int) -> int:
 
 class _Writer:
     def __init__(self, lanes: int, words: int):
+        """``words`` is what a lane has room for at first."""
         self.low, self.rng = np.zeros(lanes, U), np.full(lanes, 1 << 56, U)
         self.out, self.pos = np.zeros((lanes, words), np.uint16), np.zeros(lanes, np.int64)
+        self.upto = 0  # no lane is beyond this
+
+    def _room(self) -> None:
+        """Makes lanes longer once one of them is nearly full."""
+        self.upto = int(self.pos.max())
+        lanes, words = self.out.shape
+        if self.upto + 64 > words:
+            out = np.zeros((lanes, words + max(words // 2, 128)), np.uint16)
+            out[:, :words] = self.out
+            self.out = out
 
     def put(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        """Codes intervals of 2^24 on some lanes, or on the first ones."""
+        """Codes intervals of 2^24 on some lanes, or on the first ones; a lane puts out two words at most."""
+        self.upto += 2
+        if self.upto + 8 > self.out.shape[1]:
+            self._room()
         old = self.low[lanes]
         r = self.rng[lanes] >> U(24)
         new = old + r * start.view(U)
@@ -264,7 +277,7 @@ class _Writer:
 
 class _Reader:
     def __init__(self, blocks: list[bytes]):
-        self.words = np.frombuffer(b"".join(blocks) + bytes(16), "<u2").astype(U)
+        self.words = np.frombuffer(b"".join([*blocks, bytes(16)]), "<u2")
         self.pos = np.concatenate([[0], np.cumsum([len(b) // 2 for b in blocks])[:-1]])
         # The decoder needs the code less low only.
         self.rng, self.code = np.full(len(blocks), 1 << 56, U), np.zeros(len(blocks), U)
@@ -296,13 +309,13 @@ def encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
     """The coded blocks of a sequence of ids that the prior knows."""
     n = len(ids)
     lanes = -(-n // block)
-    grid = np.zeros(lanes * block, np.int32)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model, writer = Model(lanes, prior), _Writer(lanes, 4 * block + 16)
+    grid, full = np.zeros((block, lanes), np.uint16), n // block
+    grid[:, :full] = ids[: full * block].reshape(full, block).T
+    grid[: n - full * block, full:] = ids[full * block :, None]
+    model, writer = Model(lanes, prior), _Writer(lanes, block // 2 + 128)
     for k in range(min(n, block)):
         m = _live(n, lanes, block, k)
-        x = grid[k, :m]
+        x = grid[k, :m].astype(np.int32)
         y1, y2, end2, end1 = model.predict(m)
         is2 = x == y2
         is1 = (x == y1) & ~is2
@@ -326,9 +339,9 @@ def decode(blocks: list[bytes], n: int, prior: Prior, block: int) -> np.ndarray:
     """The n ids of coded blocks, in their order; all blocks but the last hold ``block`` ids."""
     lanes = len(blocks)
     if not lanes:
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.uint16)
     model, reader = Model(lanes, prior), _Reader(blocks)
-    grid = np.zeros((block, lanes), np.int32)
+    grid = np.zeros((block, lanes), np.uint16)
     for k in range(min(n, block)):
         m = _live(n, lanes, block, k)
         y1, y2, end2, end1 = model.predict(m)

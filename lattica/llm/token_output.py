@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.llm import rangecoder
-from lattica.llm._text import limits
+from lattica.llm._text import limits, release, tidy
 from lattica.session import ensure_checkpoint_dir, ship, table
 
 END, SHARD = 2, 6_000_000
@@ -149,7 +149,7 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
             raise ValueError(f"block {len(blocks) - 1} is damaged")
     nulls = np.frombuffer(docs, "u1", n_docs, n_docs * 8)
     doc_ids = [None if z else d for d, z in zip(np.frombuffer(docs, "<i8", n_docs).tolist(), nulls)]
-    return doc_ids, np.frombuffer(docs, "<u4", n_docs, n_docs * 9).astype(np.int64), rangecoder.decode(blocks, n_ids, rangecoder.Prior.unpack(start), block) if n_ids else np.zeros(0, np.int32)
+    return doc_ids, np.frombuffer(docs, "<u4", n_docs, n_docs * 9).astype(np.int64), rangecoder.decode(blocks, n_ids, rangecoder.Prior.unpack(start), block) if n_ids else np.zeros(0, np.uint16)
 
 
 def _write(batches: Iterable[pa.RecordBatch], vocab: str, shard: int) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,9 @@ def _write(batches: Iterable[pa.RecordBatch], vocab: str, shard: int) -> Iterato
 
     def close() -> pa.RecordBatch:
         nonlocal seq, docs, lengths, ids, held
-        data = pack(docs, lengths, np.frombuffer(b"".join(ids), "<u2").astype(np.int32))
+        ids[:] = [b"".join(ids)]
+        release()  # what tokenising left, before the coder takes its own
+        data = pack(docs, lengths, np.frombuffer(ids[0], "<u2"))
         row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_ids", "shard"])
         seq, docs, lengths, ids, held = seq + 1, [], [], [], 0
         return row
@@ -180,11 +182,11 @@ def _write(batches: Iterable[pa.RecordBatch], vocab: str, shard: int) -> Iterato
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, seq, data in zip(*(batch.column(k).to_pylist() for k in ("part", "seq", "shard"))):
-            docs, lengths, ids = unpack(data)
+        for part, seq, data in zip(*(batch.column(k) for k in ("part", "seq", "shard"))):
+            part, seq = part.as_py(), seq.as_py()
+            docs, lengths, ids = unpack(data.as_py())
             before = np.concatenate([[0], np.cumsum(lengths)])
-            raw = ids.astype("<u4").tobytes()
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
+            crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
             n = len(docs)
             yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(docs, pa.int64()), pa.array(before[:-1]), pa.array(lengths), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
@@ -196,7 +198,7 @@ def write_shards(docs: DataFrame, path: str, vocab: str, shard: int = SHARD) ->
     limits(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows.mapInArrow(lambda it: _write(it, vocab, shard), "part int, seq int, n_ids long, shard binary").write.option("compression", "none").parquet(path)
+    rows.mapInArrow(lambda it: tidy(_write(it, vocab, shard)), "part int, seq int, n_ids long, shard binary").write.option("compression", "none").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -208,7 +210,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     ranges = ranges.select(F.col("part").alias("p"), before.alias("before"))
     within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("within", within).join(ranges, F.col("part") == F.col("p")).select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("before") + F.col("within")).alias("first"))
-    docs = shards.select("part", "seq", "shard").mapInArrow(_read, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    docs = shards.select("part", "seq", "shard").mapInArrow(lambda it: tidy(_read(it)), "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return docs.join(starts, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 

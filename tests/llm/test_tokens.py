@@ -1,10 +1,11 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
-from lattica.llm import rangecoder, token_counts, token_output
+from lattica.llm import _text, rangecoder, token_counts, token_output
 
 tokenizers = pytest.importorskip("tokenizers")
 pytest.importorskip("public_tokenizers")
@@ -116,3 +117,27 @@ def test_counts_of_odd_rows(odd, none):
     c = token_counts.Counter(vocab)
     assert c.texts(ODD) == [len(t.encode(x, add_special_tokens=False).ids) for x in ODD]
     assert token_counts.Counter([]).texts(["ab c", ""])[1] == 0
+
+
+def most_bytes(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_shard_takes_few_bytes_an_id():
+    n = 150 * rangecoder.BLOCK
+    ids = (np.random.default_rng(0).zipf(1.3, n) % 50257).astype("<u2")
+    prior, by_prior = most_bytes(lambda: rangecoder.Prior.of(ids))
+    blocks, by_encode = most_bytes(lambda: rangecoder.encode(ids, prior, rangecoder.BLOCK))
+    back, by_decode = most_bytes(lambda: rangecoder.decode(blocks, n, prior, rangecoder.BLOCK))
+    assert (back == ids).all()
+    assert by_prior < 30 * n and by_encode < 10 * n and by_decode < 11 * n
+
+
+def test_a_task_leaves_nothing_in_its_worker():
+    _text.words(np.frombuffer(b"some words", np.uint8), np.array([0, 10]))
+    assert _text._powers and list(_text.tidy(iter([1, 2]))) == [1, 2] and not _text._powers
