@@ -44,6 +44,8 @@ STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in ran
 SQUASH = np.array([min(MOST, max(FEWEST, round(65536 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 #: What the cumulative shares of groups move to when a group comes, [group, edge].
 _EDGE = np.arange(GROUPS + 1)
+#: By whether order 1 names the id of order 2; by a confidence, what a hit adds; what a probability moves to, by hit.
+SIGN, RAISE, HIT = np.array([-1, 1], np.int32), np.minimum(15 - np.arange(16), 2).astype(np.int32), np.array([32, MOST - 32], np.int32)
 MIXIN = np.where(_EDGE[None, :] <= np.arange(GROUPS)[:, None], _EDGE * FLOOR, 65536 - (GROUPS - _EDGE) * FLOOR).astype(np.int32) << FINE
 
 
@@ -140,69 +142,100 @@ class Prior:
 
 
 class Model:
-    """The adaptive state of all lanes; ``lanes`` are blocks in step."""
+    """The adaptive state of all lanes; ``lanes`` are blocks in step. Arrays of two rows are of order 1 and order 2."""
 
     def __init__(self, lanes: int, prior: Prior):
         # A slot holds id << 12 | check << 4 | confidence.
         first = lambda x: (x & 0xFFFF) << 12 | (x >> 16) << 4 | 1
         self.prior = prior
-        self.t1, self.t2 = (np.tile(first(x.astype(np.int32)), lanes) for x in (prior.first1, prior.first2))
-        self.w1, self.w2 = (np.tile(np.minimum(1024 + 3072 * np.arange(16), MOST).astype(np.int32), lanes) for _ in range(2))
+        self.slots = np.concatenate([np.tile(first(x.astype(np.int32)), lanes) for x in (prior.first1, prior.first2)])
+        self.belief = np.tile(np.minimum(1024 + 3072 * np.arange(16), MOST).astype(np.int32), 2 * lanes)
         self.groups = np.tile(prior.edges.astype(np.int32) << FINE, (lanes, 1))
         # Weights of 2^16: of order 2, 1, 0 for the first candidate (by whether order 1 names it too), of order 1, 0 for the second.
-        self.mix = [np.tile(np.array(w, np.int32), lanes) for w in ([60000, 60000], [6000, 30000], [6000, 6000])]
-        self.mix_b = [np.full(lanes, w, np.int32) for w in (60000, 6000)]
-        self.at1, self.at2, self.at16 = (np.arange(lanes, dtype=np.int64) * k for k in (T1, T2, 16))
-        self.at_set = np.arange(lanes, dtype=np.int64) * 2
+        self.mix = np.concatenate([np.tile(np.array(w, np.int32), lanes) for w in ([60000, 60000], [6000, 30000], [6000, 6000])])
+        self.mix_b = np.repeat(np.array([[60000], [6000]], np.int32), lanes, 1)
+        lane = np.arange(lanes, dtype=np.int64)
+        self.at_slot = np.stack([lane * T1, lanes * T1 + lane * T2])
+        self.at_belief = np.stack([lane * 16, lanes * 16 + lane * 16])
+        self.at_mix = np.stack([lane * 2 + 2 * lanes * k for k in range(3)])
         self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, m: int) -> tuple[np.ndarray, ...]:
         """For the first m lanes: the two ids, and the ends of their intervals of 2^16."""
-        a = self.p1[:m]
-        h = a * 40503
+        h = self.p1[:m] * 40503
         k = h + self.p2[:m] * 60493
-        self.i1, self.i2 = self.at1[:m] + (h >> 4 & (T1 - 1)), self.at2[:m] + (k >> 5 & (T2 - 1))
-        self.c1, self.c2 = (h >> 14 & 255).astype(np.int32), (k >> 16 & 255).astype(np.int32)
-        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.ok1, self.ok2 = self.e1 >> 4 & 255 == self.c1, self.e2 >> 4 & 255 == self.c2
-        self.j1, self.j2 = self.at16[:m] + (self.e1 & 15) * self.ok1, self.at16[:m] + (self.e2 & 15) * self.ok2
-        y1, y2 = self.e1 >> 12, self.e2 >> 12
-        self.v1, self.v2 = self.w1.take(self.j1), self.w2.take(self.j2)
-        s1, s2 = STRETCH.take(self.v1 >> 4), STRETCH.take(self.v2 >> 4)
-        self.same = y1 == y2
-        self.set = self.at_set[:m] + self.same
-        self.in_a = (s2, np.where(self.same, s1, -s1), self.prior.stretch.take(y2))
-        self.in_b = (s1, self.prior.stretch.take(y1))
-        self.wa = [w.take(self.set) for w in self.mix]
-        (a2, a1, a0), (x2, x1, x0) = self.wa, self.in_a
-        self.pa = SQUASH.take((a2 * x2 + a1 * x1 + a0 * x0 >> 16) + 2047, mode="clip")
-        self.pb = SQUASH.take((self.mix_b[0][:m] * self.in_b[0] + self.mix_b[1][:m] * self.in_b[1] >> 16) + 2047, mode="clip")
+        self.i, self.c = np.empty((2, m), np.int64), np.empty((2, m), np.int32)
+        self.i[0], self.i[1] = h >> 4 & (T1 - 1), k >> 5 & (T2 - 1)
+        self.c[0], self.c[1] = h >> 10 & 0xFF0, k >> 12 & 0xFF0
+        self.i += self.at_slot[:, :m]
+        self.e = e = self.slots.take(self.i)
+        self.ok, self.sure = e & 0xFF0 == self.c, e & 15
+        self.j = self.at_belief[:, :m] + self.sure * self.ok
+        self.y = y = e >> 12
+        self.v = self.belief.take(self.j)
+        s = STRETCH.take(self.v >> 4)
+        self.in_b = self.prior.stretch.take(y)
+        self.same = y[0] == y[1]
+        self.k = self.at_mix[:, :m] + self.same
+        self.in_a = np.empty((3, m), np.int32)
+        self.in_a[0], self.in_a[2] = s[1], self.in_b[1]
+        np.multiply(s[0], SIGN.take(self.same), out=self.in_a[1])
+        self.in_b[1] = self.in_b[0]
+        self.in_b[0] = s[0]
+        self.wa = self.mix.take(self.k)
+        x = self.wa * self.in_a
+        self.pa = SQUASH.take((x[0] + x[1] + x[2] >> 16) + 2047, mode="clip")
+        x = self.mix_b[:, :m] * self.in_b
+        self.pb = SQUASH.take((x[0] + x[1] >> 16) + 2047, mode="clip")
         end2 = self.pa.astype(np.int64)
-        return y1, y2, end2, end2 + ((65536 - end2) * self.pb >> 16) * ~self.same
+        return y[0], y[1], end2, end2 + ((65536 - end2) * self.pb >> 16) * ~self.same
 
-    def update(self, m: int, ids: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> None:
+    def update(self, m: int, ids: np.ndarray) -> None:
         ids = ids.astype(np.int32)
-        for y, e, c, ok, table, i, weight, j, v in ((y1, self.e1, self.c1, self.ok1, self.t1, self.i1, self.w1, self.j1, self.v1), (y2, self.e2, self.c2, self.ok2, self.t2, self.i2, self.w2, self.j2, self.v2)):
-            hit = y == ids
-            sure = e & 15
-            new = np.where(sure > 1, e - 1, ids << 12 | c << 4 | 1)  # a miss: less confidence, or the id that came
-            np.copyto(new, np.where(ok, e + np.minimum(15 - sure, 2), y << 12 | c << 4 | sure), where=hit)
-            table[i] = new
-            weight[j] = v + (hit * (MOST - 64) + 32 - v >> 5)
+        hit = self.y == ids
+        some = self.c | 1
+        some |= ids << 12
+        new = np.where(self.sure > 1, self.e - 1, some)  # a miss: less confidence, or the id that came
+        surer = RAISE.take(self.sure) * self.ok
+        surer += self.e & ~0xFF0
+        surer += self.c
+        self.slots[self.i] = np.where(hit, surer, new)
+        x = HIT.take(hit.view(np.uint8))
+        x -= self.v
+        x >>= 5
+        x += self.v
+        self.belief[self.j] = x
         # Weights follow the gradient of the coding cost: the error times the input.
-        hit = y2 == ids
-        error = (hit * 65536 - self.pa) >> 4
-        for w, now, x in zip(self.mix, self.wa, self.in_a):
-            w[self.set] = np.minimum(np.maximum(now + (x * error >> 11), -MOST_WEIGHT), MOST_WEIGHT)
-        error = ((y1 == ids) * 65536 - self.pb >> 4) * ~(hit | self.same)
-        for w, x in zip(self.mix_b, self.in_b):
-            w[:m] = np.minimum(np.maximum(w[:m] + (x * error >> 11), -MOST_WEIGHT), MOST_WEIGHT)
+        hit = hit.astype(np.int32)
+        hit <<= 16
+        x = self.in_a * (hit[1] - self.pa >> 4)
+        x >>= 11
+        x += self.wa
+        self.mix[self.k] = x.clip(-MOST_WEIGHT, MOST_WEIGHT, out=x)
+        x = self.in_b * ((hit[0] - self.pb >> 4) * ((hit[1] == 0) & ~self.same))
+        x >>= 11
+        x += self.mix_b[:, :m]
+        x.clip(-MOST_WEIGHT, MOST_WEIGHT, out=self.mix_b[:, :m])
         self.p2[:m] = self.p1[:m]
         self.p1[:m] = ids
 
-    def learn(self, lanes: np.ndarray, edges: np.ndarray, group: np.ndarray) -> None:
-        """Order 0 of these lanes, whose edges are given, moves to the group that came."""
-        self.groups[lanes] = edges + (MIXIN[group] - edges >> RATE)
+    def find(self, lanes: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """The last group of order 0 of these lanes that begins at ``upto`` or before."""
+        edges, at = self.groups.ravel(), lanes * (GROUPS + 1)
+        first, step = at, GROUPS // 2
+        while step:
+            at = at + step * (edges.take(at + step) <= upto)
+            step //= 2
+        return at - first
+
+    def learn(self, lanes: np.ndarray, group: np.ndarray) -> None:
+        """Order 0 of these lanes moves to the group that came."""
+        edges = self.groups.take(lanes, 0)
+        x = MIXIN.take(group, 0)
+        x -= edges
+        x >>= RATE
+        x += edges
+        self.groups[lanes] = x
 
 
 def block_size(n: int) -> int:
@@ -313,6 +346,7 @@ def encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
     grid[:, :full] = ids[: full * block].reshape(full, block).T
     grid[: n - full * block, full:] = ids[full * block :, None]
     model, writer = Model(lanes, prior), _Writer(lanes, block // 2 + 128)
+    edges = model.groups.ravel()
     for k in range(min(n, block)):
         m = _live(n, lanes, block, k)
         x = grid[k, :m].astype(np.int32)
@@ -321,17 +355,18 @@ def encode(ids: np.ndarray, prior: Prior, block: int) -> list[bytes]:
         is1 = (x == y1) & ~is2
         start, size = end2 * is1 << 8, np.where(is2, end2, end1 - end2) << 8
         on = np.flatnonzero(~(is1 | is2))
-        group = prior.group.take(x[on])
-        edges = model.groups[on]
-        rest, row = 65536 - end1[on], np.arange(len(on))
-        low = rest * edges[row, group] >> FINE + 8
-        start[on] = low + (end1[on] << 8)
-        size[on] = (rest * edges[row, group + 1] >> FINE + 8) - low
+        gone = x[on]
+        group = prior.group.take(gone)
+        end, edge = end1[on], on * (GROUPS + 1) + group
+        rest = 65536 - end
+        low = rest * edges.take(edge) >> FINE + 8
+        start[on] = low + (end << 8)
+        size[on] = (rest * edges.take(edge + 1) >> FINE + 8) - low
         writer.put(slice(0, m), start, size)
         if len(on):
-            writer.put(on, prior.cum.take(x[on]) << 8, prior.share.take(x[on]) << 8)
-            model.learn(on, edges, group)
-        model.update(m, x, y1, y2)
+            writer.put(on, prior.cum.take(gone) << 8, prior.share.take(gone) << 8)
+            model.learn(on, group)
+        model.update(m, x)
     return writer.blocks()
 
 
@@ -342,6 +377,7 @@ def decode(blocks: list[bytes], n: int, prior: Prior, block: int) -> np.ndarray:
         return np.zeros(0, np.uint16)
     model, reader = Model(lanes, prior), _Reader(blocks)
     grid = np.zeros((block, lanes), np.uint16)
+    edges = model.groups.ravel()
     for k in range(min(n, block)):
         m = _live(n, lanes, block, k)
         y1, y2, end2, end1 = model.predict(m)
@@ -351,20 +387,21 @@ def decode(blocks: list[bytes], n: int, prior: Prior, block: int) -> np.ndarray:
         x = np.where(is2, y2, y1)
         start, size = end2 * is1 << 8, np.where(is2, end2, end1 - end2) << 8
         on = np.flatnonzero(~(is1 | is2))
-        edges = model.groups[on]
-        rest, row = 65536 - end1[on], np.arange(len(on))
-        inside = v[on] - (end1[on] << 8)
-        upto = ((inside + 1 << FINE + 8) - 1) // rest  # the greatest edge that isn't above
-        group = np.minimum((edges[:, 1:] <= upto.astype(np.int32)[:, None]).sum(1), GROUPS - 1)
-        low = rest * edges[row, group] >> FINE + 8
-        start[on] = low + (end1[on] << 8)
-        size[on] = (rest * edges[row, group + 1] >> FINE + 8) - low
+        end = end1[on]
+        rest, edge = 65536 - end, end << 8
+        upto = ((v[on] - edge + 1 << FINE + 8) - 1) // rest  # the greatest edge that isn't above
+        group = model.find(on, upto)
+        at = on * (GROUPS + 1) + group
+        low = rest * edges.take(at) >> FINE + 8
+        start[on] = low + edge
+        size[on] = (rest * edges.take(at + 1) >> FINE + 8) - low
         reader.take(slice(0, m), start, size)
         if len(on):
             w = reader.peek(on)
-            x[on] = prior.slot.take(group << 16 | w >> 8)
-            reader.take(on, prior.cum.take(x[on]) << 8, prior.share.take(x[on]) << 8)
-            model.learn(on, edges, group)
+            came = prior.slot.take(group << 16 | w >> 8)
+            x[on] = came
+            reader.take(on, prior.cum.take(came) << 8, prior.share.take(came) << 8)
+            model.learn(on, group)
         grid[k, :m] = x
-        model.update(m, x, y1, y2)
+        model.update(m, x)
     return np.ascontiguousarray(grid.T).ravel()[:n]

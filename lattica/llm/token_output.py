@@ -37,6 +37,8 @@ from lattica.session import ensure_checkpoint_dir, ship, table
 END, SHARD = 2, 6_000_000
 #: Words whose ids a worker remembers, in each of two generations.
 MEMO = 250_000
+#: Words that go to the library at a time.
+RUN = 64
 HEAD = struct.Struct("<4sHHIQII")
 
 
@@ -51,8 +53,8 @@ class Encoder:
     """Ids of texts as little-endian 16-bit bytes, equal to the library's own; words seen before come from a memo.
 
     A byte-level BPE splits before a space between two other characters, so a text is the sum of its space-separated words. A
-    text with any other use of white space next to a space goes to the library whole. A word of letters, or of letters and then
-    punctuation, is known to be one pre-token, or two: it goes to the library's BPE model directly.
+    text with any other use of white space next to a space goes to the library whole. New words go to it RUN at a time, as one
+    text, and their ids part where a piece begins with a space.
     The memo has two generations; when the younger is full, what it hasn't met since goes.
     """
 
@@ -64,41 +66,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
+        space = byte_letters()[32]
+        self.begins = np.zeros(1 << 16, bool)
+        self.begins[[i for piece, i in self.tokenizer.get_vocab().items() if piece[:1] == space]] = True
         self.memo: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one pre-token."""
-        ids = [t.id for t in self.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}H", *ids)
+    def _runs(self, words: list[str]) -> list[bytes]:
+        """Ids of words that begin with their only space."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 64 * RUN):
+            runs = [words[i : i + RUN] for i in range(at, min(at + 64 * RUN, len(words)), RUN)]
+            for run, raw in zip(runs, self._ids(["".join(r) for r in runs])):
+                cut = (np.flatnonzero(self.begins[np.frombuffer(raw, "<u2")]) * 2).tolist()
+                out += map(raw.__getitem__, map(slice, cut, [*cut[1:], len(raw)])) if len(cut) == len(run) else self._ids(run)
+        return out
 
     def _learn(self, words: set[str]) -> None:
-        memo, old, rest = self.memo, self.old, []
+        memo, old, runs, rest = self.memo, self.old, [], []
         for w in words:
             if w in old:
                 memo[w] = old[w]
                 continue
-            body = w.rstrip(".,;:!?")
-            if (body[1:] if body[:1] == " " else body).isalpha():
-                ids = memo.get(body) or old.get(body) or self._piece(body)
-                memo[body] = ids
-                if len(body) < len(w):
-                    memo[w] = ids + self._piece(w[len(body) :])
-            elif w and w != " " and (core := w[1:] if w[0] == " " else w).strip() == core:
+            core = w[1:] if w[:1] == " " else w
+            if not core or core.strip() != core:
+                memo[w] = None
+            elif core is w:
                 rest.append(w)
             else:
-                memo[w] = None
+                runs.append(w)
+        memo.update(zip(runs, self._runs(runs)))
         memo.update(zip(rest, self._ids(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        for c in cut:
-            c[1:] = map(" ".__add__, c[1:])
+        cut = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [w if not i else f" {w}" for i, w in enumerate(t.split(" "))] for t in texts]
         need = set().union(*cut)
         new = need - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:

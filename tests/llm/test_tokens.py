@@ -141,3 +141,26 @@ def test_a_shard_takes_few_bytes_an_id():
 def test_a_task_leaves_nothing_in_its_worker():
     _text.words(np.frombuffer(b"some words", np.uint8), np.array([0, 10]))
     assert _text._powers and list(_text.tidy(iter([1, 2]))) == [1, 2] and not _text._powers
+
+
+def test_new_words_go_to_the_library_in_runs():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgé") for _ in range(9)) + end for end in ("", ".", "!?", "\nx", "3's") for _ in range(400)]
+    e, sent = token_output.Encoder(token_output.default_vocab()), []
+    ids, t = e._ids, tokenizer()
+    e._ids = lambda texts: [sent.extend(texts), ids(texts)][1]
+    e.model = None  # nothing goes round the library's own split
+    texts = [" ".join(words[:1500]), " ".join(words[1500:]) + " \0 a\0b", "Ġab Ċ ab"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(sent) < 2 * len(words) / token_output.RUN
+
+
+def test_bytes_of_the_format():
+    rng, crc = np.random.default_rng(3), 0
+    for n, block in ((1, 256), (257, 256), (9000, 256), (9000, 4096)):
+        ids = np.where(rng.random(n) < 0.5, np.arange(n) % 7, rng.integers(0, 1 << 16, n) >> rng.integers(0, 15, n))
+        prior = rangecoder.Prior.of(ids.astype(np.int32))
+        blocks = rangecoder.encode(ids.astype(np.int32), prior, block)
+        crc = zlib.crc32(prior.pack()[-4:] + b"".join(blocks), crc)  # the Adler sum: packing may differ
+        assert (rangecoder.decode(blocks, n, prior, block) == ids).all()
+    assert crc == 2484480047
